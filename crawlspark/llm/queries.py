@@ -12,7 +12,9 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .packing import pack_documents
+from .scratch import Scratch
 from .url_filter import parse_rule, url_verdicts
+from .warc_bundle import read_records, resolve_revisits, write_bundles
 
 URL_RULES = [parse_rule("block", "net/"), parse_rule("allow", "example.net/en/"), parse_rule("block", "example.com/de/"), parse_rule("allow", "org/fr/")]
 
@@ -21,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    index = write_bundles(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch.path("warc"), scratch)
+    out = resolve_revisits(read_records(index), scratch)
+    return out.select(F.col("id").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -45,6 +54,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS keeper FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+FROM g
+"""
+
 OP3_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -91,6 +109,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": op2_warc,
         "op3_line_dedup": op3_line_dedup,
         "op4_mixing": op4_mixing,
         "op8_url_filter": op8_url_filter,
@@ -100,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL}
