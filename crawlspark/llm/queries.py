@@ -13,6 +13,8 @@ from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .packing import pack_documents
 from .scratch import Scratch
+from .topk import top_k_inner_product
+from .toxicity import fold, score, train
 from .url_filter import parse_rule, url_verdicts
 from .warc_bundle import read_records, resolve_revisits, write_bundles
 
@@ -23,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels").where(fold("doc_id") != 0).select("doc_id", "toxic"))
+    return score(docs, model).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     index = write_bundles(table(spark, sf_dir, "pages").select("page_id", "url", "html"), scratch.path("warc"), scratch)
@@ -39,6 +47,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_inner_product(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
@@ -80,6 +92,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 OP8_SQL = r"""
 WITH p AS (
   SELECT page_id,
@@ -109,9 +133,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_warc": op2_warc,
         "op3_line_dedup": op3_line_dedup,
         "op4_mixing": op4_mixing,
+        "op6_topk": op6_topk,
         "op8_url_filter": op8_url_filter,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_packing": op10_packing,
@@ -119,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op6_topk": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL}
