@@ -3,8 +3,9 @@
 A document's features are the hashed n-grams that its lower-cased text has at least once. Of a bounded sample of
 labelled documents (``max_per_class`` of each class, those with the smallest hashes of their ids), the ratio
 r = log((documents of class 1 with the feature + 1) / (class 1 documents + 2)) - the same for class 0 is counted on the
-cluster; the ``max_features`` features of the largest |r| * sqrt(documents) are used. A logistic regression over
-features of value r is fitted to the same sample, and every whole text is scored by the executors.
+cluster; features are used whose r is at least ``min_z`` standard errors from 0, at most ``max_features`` of them, the
+surest first, so that a long text's many rare n-grams don't add up to evidence. A logistic regression over features of
+value r, both classes of the same weight, is fitted to the same sample, and executors score every whole text.
 
 Defined results: null and empty texts have no features and get the score of the intercept; labels that are null, or
 whose document is missing, are not used; of several labels of a document the largest counts; without a labelled
@@ -69,20 +70,21 @@ def ngram_features(texts: list[str], slots: np.ndarray) -> tuple[np.ndarray, np.
 
 def _fit_logistic(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, ratios: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
     """Adam on the mean log loss over features of value ratio; rows and slots name the features that are present."""
-    w, b = np.zeros(len(ratios)), float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1)))
+    w, b = np.zeros(len(ratios)), 0.0
+    share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
     value = ratios[slots]
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):
         margin = b + np.bincount(rows, weights=w[slots] * value, minlength=len(labels))
-        error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels
-        gradient = np.append(np.bincount(slots, weights=error[rows] * value, minlength=len(w)) / len(labels) + l2 * w, error.mean())
+        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels) * share
+        gradient = np.append(np.bincount(slots, weights=error[rows] * value, minlength=len(w)) + l2 * w, error.sum())
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         move = 0.02 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = 2500, max_features: int = 1 << 14) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = 2500, max_features: int = 1 << 14, min_z: float = 3.0) -> Model:
     """``labels`` holds id and label of the rows that may be learned from."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -109,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         return Model(np.zeros(0, np.int64), np.zeros(0), prior)
     counts = drawn.select("y", F.explode("buckets").alias("b")).groupBy("b").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
     ratio = F.log((F.col("p") + 1) / (positive + 2.0)) - F.log((F.col("n") - F.col("p") + 1) / (negative + 2.0))
-    best = counts.where("n > 1").select("b", ratio.alias("r"), (F.abs(ratio) * F.sqrt("n")).alias("s")).orderBy(F.desc("s"), "b").limit(max_features).toPandas().sort_values("b")
+    sureness = F.abs(ratio) / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("n") - F.col("p") + 1))
+    best = counts.select("b", ratio.alias("r"), sureness.alias("z")).where(F.col("z") >= min_z).orderBy(F.desc("z"), "b").limit(max_features).toPandas().sort_values("b")
     buckets, ratios = best["b"].to_numpy(np.int64), best["r"].to_numpy(np.float64)
     chosen = np.full(1 << BUCKET_BITS, -1, dtype=np.int32)
     chosen[buckets] = np.arange(len(buckets), dtype=np.int32)
