@@ -39,7 +39,8 @@ def _split_level(rows: DataFrame, scratch: Scratch, width: int, id_col: str, car
     groups = scratch.save(sizes, "groups").withColumnsRenamed({c: f"{c}_g" for c in ("__group", "__piece", "__ended")})
     on = [keyed[c] == groups[f"{c}_g"] for c in ("__group", "__piece", "__ended")]
     goes_on = F.col("__next").isNotNull() & ~F.col("__ended")
-    return keyed.join(groups, on, "left").select(
+    # Merged by shuffle at every size: the groups grow with the input, and a broadcast of them would stop fitting.
+    return keyed.join(groups.hint("merge"), on, "left").select(
         id_col,
         *carry,
         F.when(~goes_on, F.when(F.col("__next").isNotNull(), F.col("__max")).otherwise(F.col(id_col))).alias("keep_id"),
