@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .packing import pack_documents
 from .scratch import Scratch
+from .suffix_dedup import repeated_bytes
 from .topk import top_k_inner_product
 from .toxicity import fold, score, train
 from .url_filter import parse_rule, url_verdicts
@@ -56,6 +57,11 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_inner_product(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
@@ -159,6 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": op4_mixing,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_topk": op6_topk,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_url_filter": op8_url_filter,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_packing": op10_packing,
