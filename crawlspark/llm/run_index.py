@@ -19,12 +19,13 @@ class RunIndex:
     def __init__(self, text: np.ndarray):
         """text: bytes of strings, each followed by SEPARATOR."""
         self.n = len(text)
-        padded = np.concatenate([text, np.full(16, SEPARATOR, dtype=np.uint8)]).astype(np.uint64)
+        padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)]).astype(np.uint64)  # the end sorts first
         words = np.zeros(self.n, dtype=np.uint64)
         for j in range(8):
             words = (words << np.uint64(8)) | padded[j : j + self.n]
         order = self._sort(words)
-        before = text[order - 1]  # of the first suffix it is the last separator
+        before = text[order - 1].astype(np.int16)
+        before[order == 0] = -1  # nothing stands before the whole text
         border = np.flatnonzero(before[1:] != before[:-1])
         self.heads = np.concatenate([[0], border + 1])
         self.runs = before[self.heads]
@@ -74,7 +75,7 @@ class RunIndex:
             out[live[same]] = at + 8
             live = live[same]
             at += 8
-        return out
+        return np.minimum(out, self.n - np.maximum(a, b))
 
     def statistics(self) -> np.ndarray:
         """For every position, the length of the longest match of its suffix with another one."""

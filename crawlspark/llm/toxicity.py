@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     drawn = scratch.save(drawn, "sample")
     n = {r["y"]: r["count"] for r in drawn.groupBy("y").count().collect()}
     negative, positive = n.get(0, 0), n.get(1, 0)
-    prior = float(np.log((positive + 1) / (negative + 1)))
+    prior = float(np.log((positive + 0.5) / (negative + 1.5)))  # nothing known: not toxic
     if not negative or not positive:
         scratch.drop(drawn)
         return Model(np.zeros(0, np.int64), np.zeros(0), prior)
