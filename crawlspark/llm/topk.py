@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 CANDIDATE_BLOCK, QUERY_BLOCK, TILE = 4096, 512, 1024
+#: The longest vectors that give every query its first floor.
+FIRST = 8192
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -95,27 +97,49 @@ def best_of(row: np.ndarray, score: np.ndarray, id_: np.ndarray, k: int) -> np.n
     return order[np.arange(len(order)) - first < k]
 
 
+def _exact_kind(longest: float) -> type:
+    """The fastest type in which sums of integer products up to ``longest`` are exact."""
+    return np.float32 if longest < 1 << 23 else np.float64 if longest < 1 << 52 else np.int64
+
+
 def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, rotation: np.ndarray, floor: np.ndarray, k: int, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate id, score): the k best of each query among x, leaving out scores below ``floor``."""
+    """(query row, candidate id, score): the k best of each query among x, leaving out scores below ``floor``.
+
+    Pairs that the partial sums leave are multiplied out one by one if they are few, else as whole tiles.
+    """
     qr = q.astype(np.float64) @ rotation
     xr = x.astype(np.float64) @ rotation
     q_norm, x_norm = np.linalg.norm(qr, axis=1), np.linalg.norm(xr, axis=1)
     by_length = np.argsort(-x_norm, kind="stable")
-    q_rest, x_rest = np.linalg.norm(qr[:, head:], axis=1), np.linalg.norm(xr[:, head:], axis=1)
+    q_rest, x_rest = np.linalg.norm(qr[:, head:], axis=1).astype(np.float32), np.linalg.norm(xr[:, head:], axis=1).astype(np.float32)
+    q_head, x_head = qr[:, :head].astype(np.float32), xr[:, :head].astype(np.float32)
+    kind = _exact_kind(q_norm.max(initial=0) * x_norm.max(initial=0))
+    q_full, x_full = q.astype(kind), x.astype(kind)
     rows, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     floor = floor.copy()
     for at in range(0, len(x), TILE):
         tile = by_length[at : at + TILE]
-        slack = 1e-9 * q_norm * x_norm[tile[0]] + 1e-6
+        slack = 1e-5 * q_norm * x_norm[tile[0]] + 1e-3
         live = np.flatnonzero(q_norm * x_norm[tile[0]] + slack >= floor)
         if not len(live):
             break
-        bound = qr[live, :head] @ xr[tile, :head].T + np.outer(q_rest[live], x_rest[tile]) + slack[live, None]
-        i, j = np.nonzero(bound >= floor[live, None])
+        low = (floor - slack)[live, None].astype(np.float32)
+        bound = q_head[live] @ x_head[tile].T
+        bound += np.outer(q_rest[live], x_rest[tile])
+        left = bound >= low
+        if left.mean() > 0.02:
+            product = q_full[live] @ x_full[tile].T
+            left &= product >= floor[live, None]
+            i, j = np.nonzero(left)
+            exact = product[i, j].astype(np.int64)
+        else:
+            i, j = np.nonzero(left)
+            exact = np.concatenate([np.einsum("ij,ij->i", q[live[i[a : a + 65536]]], x[tile[j[a : a + 65536]]]) for a in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
         i, j = live[i], tile[j]
-        other = q_ids[i] != x_ids[j]
-        i, j = i[other], j[other]
-        exact = np.concatenate([np.einsum("ij,ij->i", q[i[a : a + 65536]], x[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+        kept = (q_ids[i] != x_ids[j]) & (exact >= floor[i])
+        i, j, exact = i[kept], j[kept], exact[kept]
+        if not len(i):
+            continue
         rows, ids, scores = np.concatenate([rows, i]), np.concatenate([ids, x_ids[j]]), np.concatenate([scores, exact])
         keep = best_of(rows, scores, ids, k)
         rows, ids, scores = rows[keep], ids[keep], scores[keep]
@@ -133,7 +157,7 @@ def top_k_inner_product(vectors: DataFrame, is_query: Callable[[Column], Column]
     batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     rows = scratch.save(quantised(vectors, id_col, vec_col, scale), "rows")
     dim = max(rows.agg(F.max(F.size("v"))).first()[0] or 1, 1)
-    longest = rows.orderBy(F.desc("norm"), "id").limit(CANDIDATE_BLOCK).select("id", "v").toPandas()
+    longest = rows.orderBy(F.desc("norm"), "id").limit(FIRST).select("id", "v").toPandas()
     if longest.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rotation = rotation_of(rows, dim)
