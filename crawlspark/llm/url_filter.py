@@ -92,7 +92,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defa
         tokens.join(hint(filed), "__token")
         .where(F.expr("__target rlike pattern"))
         .groupBy("__url")
-        .agg(F.min(F.struct((-F.col("length")).alias("n"), "rule", "verdict")).alias("best"))
+        .agg(F.min(F.struct((-F.col("length")).alias("n"), "rule", "verdict")).alias("__best"))
     )
     clash = [c for c in ("host", "path", "rule", "verdict") if c in pages.columns]
     return (
@@ -102,7 +102,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defa
             *[F.col(c) for c in pages.columns if c not in clash],
             host_of(F.col(url)).alias("host"),
             path_of(F.col(url)).alias("path"),
-            F.col("best.rule").alias("rule"),
-            F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+            F.col("__best.rule").alias("rule"),
+            F.coalesce("__best.verdict", F.lit(default)).alias("verdict"),
         )
     )

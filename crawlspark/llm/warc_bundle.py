@@ -10,8 +10,8 @@ Duplicates: of records with equal payloads of at least ``min_bytes`` bytes the o
 and the others are revisits, which have no payload of their own. Equality goes by SHA-1, WARC's payload digest, and the
 length; groups are counted with partial sums, and only groups of two or more are joined back.
 
-Defined results: a null payload is empty; a null URL leaves out WARC-Target-URI; rows without an id can't be addressed
-and are refused with an error; repeated rows with the largest id are all responses; an empty table gives no bundle.
+Defined results: a null payload is empty; a null URL leaves out WARC-Target-URI; rows without an id are
+responses that only their place in the index tells apart; repeated rows with the largest id are all responses; an empty table gives no bundle.
 """
 
 from __future__ import annotations
@@ -36,12 +36,14 @@ DATE = "2024-01-01T00:00:00Z"
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 64 << 20
 
 
-def record_id(id_: int) -> str:
+def record_id(id_: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{id_}')}>"
 
 
-def make_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    headers = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"X-Page-Id: {page_id}", f"WARC-Date: {DATE}"]
+def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    headers = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
+    if page_id is not None:
+        headers.append(f"X-Page-Id: {page_id}")
     if url is not None:
         headers.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     headers.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -184,8 +186,6 @@ def write_bundles(
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for id_, at, payload, digest, refers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    if id_ is None:
-                        raise ValueError("a page without an id can't be addressed in an archive")
                     yield from writer.add(id_, make_record(id_, at, payload, digest, refers))
             yield from writer.end()
 

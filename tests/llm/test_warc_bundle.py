@@ -1,7 +1,5 @@
 import hashlib
 
-import pytest
-
 from crawlspark.llm.queries import op2_warc
 from crawlspark.llm.scratch import Scratch
 from crawlspark.llm.warc_bundle import BundleReader, parse_record, read_records, resolve_revisits, write_bundles
@@ -41,10 +39,11 @@ def test_round_trip(spark):
     assert seen == index.where(index.bundle == row.bundle).count()
 
 
-def test_rows_without_id_are_refused(spark):
+def test_rows_without_id(spark):
     scratch = Scratch(spark)
-    with pytest.raises(Exception, match="can't be addressed"):
-        write_bundles(table(spark, [(None, "u", "x")]), scratch.path("warc"), scratch)
+    index = write_bundles(table(spark, [(None, "u", BIG), (None, "v", BIG), (1, "w", BIG)]), scratch.path("warc"), scratch)
+    facts = resolve_revisits(read_records(index), scratch).collect()
+    assert sorted((str(r.id), r.type, r.n_bytes) for r in facts) == [(i, "response", len(BIG.encode())) for i in ("1", "None", "None")]
 
 
 def test_empty_table(spark, tmp_path):
