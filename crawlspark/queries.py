@@ -159,7 +159,8 @@ _PLAIN = {
     "percent": (lambda: text.percent(F.col("page_id") % 7, F.col("page_id") % 9).alias("percent"), "CASE WHEN page_id % 9 > 0 THEN CAST(floor(100.0 * (page_id % 7) / (page_id % 9) + 0.5) AS BIGINT) ELSE 0 END AS percent"),
     "paragraphs": (
         lambda: F.array_join(html.paragraphs(F.col("html")), "\n").alias("paragraphs"),
-        None,
+        "array_to_string(list_filter(list_transform(regexp_extract_all(" + _VISIBLE + r", '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda p: "
+        + _trim("regexp_replace(" + _UNESCAPE.format("regexp_replace(p, '(?s)<[^>]*>', '', 'g')") + r", '\s+', ' ', 'g')") + "), lambda t: t <> ''), chr(10)) AS paragraphs",
     ),
 }
 for _name, (_column, _sql) in _PLAIN.items():
@@ -198,7 +199,7 @@ def dom_extract(spark, d):
     return found.select("page_id", "s.title", "s.description", "s.h1", "s.canonical", "s.robots")
 
 
-@query("readability_text")
+@query("readability_text", "SELECT page_id, " + _trim("regexp_replace(" + _UNESCAPE.format("regexp_replace(regexp_extract(regexp_replace(" + _VISIBLE + r", '(?is)<(header|footer|nav)\b.*?</(header|footer|nav)>', '', 'g'), '(?is)<article\b[^>]*>(.*)</article>', 1), '(?s)<[^>]*>', ' ', 'g')") + r", '\s+', ' ', 'g')") + " AS content FROM pages")
 def readability_text(spark, d):
     return pages(spark, d).select("page_id", html.article_text(F.col("html")).alias("content"))
 
