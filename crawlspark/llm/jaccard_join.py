@@ -7,8 +7,8 @@
    dual traversal drops pairs of nodes whose largest possible overlap is too small, or which are connected already.
 4. The pairs that are left are verified with the whole sets.
 
-The first round uses only the smallest hashes and takes a spanning forest of each bucket's pairs, which joins nearly
-all classes that belong together. The second round uses all prefix hashes, drops buckets that lie in one component,
+The first round uses only the smallest hashes and takes a spanning forest of each bucket's pairs, the most similar
+first, which joins nearly all classes that belong together. The second round uses all prefix hashes, drops buckets that lie in one component,
 keeps one of buckets with the same members, and takes every pair that the trees let through and that no component
 joins yet; so no link between components is lost, and a group of near copies never gives all its pairs. A bucket of
 more than ``BUCKET`` classes is dealt over several tasks as pairs of parts.
@@ -88,7 +88,10 @@ def _traverse(rows: DataFrame, forest: bool) -> DataFrame:
     """rows: (bucket, p, q, side, node, comp, n, map), a bucket's rows in one partition and in order -> (a, b) pairs."""
 
     def pairs(part: dict) -> tuple[np.ndarray, np.ndarray]:
-        i, j = candidate_pairs(part["map"], part["n"], part["comp"], part["side"])
+        i, j, similar = candidate_pairs(part["map"], part["n"], part["comp"], part["side"])
+        if forest:  # the most similar pairs first: they will hardly fail the whole sets
+            order = np.argsort(-similar, kind="stable")
+            i, j = i[order], j[order]
         a, b = part["node"][i], part["node"][j]
         if forest and len(i):
             keep = _forest(i, j, len(part["node"]))

@@ -68,9 +68,16 @@ def _may_link(a: Level, i: np.ndarray, b: Level, j: np.ndarray, sets: bool) -> n
     return near
 
 
-def dual_traversal(a: list[Level], b: list[Level], own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sets (of one tree if ``own``) that may have a similarity of 0.8."""
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+def _similarity(a: Level, i: np.ndarray, b: Level, j: np.ndarray) -> np.ndarray:
+    """The largest similarity that two sets can have by their bitmaps."""
+    common = np.concatenate([np.bitwise_count(a.maps[i[s : s + SLICE]] & b.maps[j[s : s + SLICE]]).sum(axis=1, dtype=np.int64) for s in range(0, len(i), SLICE)])
+    overlap = np.minimum(a.slack[i], b.slack[j]) + common
+    return overlap / np.maximum(a.least[i] + b.least[j] - overlap, 1)
+
+
+def dual_traversal(a: list[Level], b: list[Level], own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of sets (of one tree if ``own``) that may have a similarity of 0.8, with the largest that they can have."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     stack = [(len(a) - 1, len(b) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
     while stack:
         p, q, i, j = stack.pop()
@@ -85,7 +92,7 @@ def dual_traversal(a: list[Level], b: list[Level], own: bool) -> tuple[np.ndarra
         if not len(i):
             continue
         if p == q == 0:
-            found.append((i, j))
+            found.append((i, j, _similarity(a[0], i, b[0], j)))
             continue
         if p >= q:
             i, j = np.repeat(i * FANOUT, FANOUT) + np.tile(np.arange(FANOUT), len(i)), np.repeat(j, FANOUT)
@@ -97,14 +104,14 @@ def dual_traversal(a: list[Level], b: list[Level], own: bool) -> tuple[np.ndarra
             i, j = i[(k := j < len(b[q].least))], j[k]
         stack.append((p, q, i, j))
     if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return tuple(np.concatenate([x[k] for x in found]) for k in range(3))
 
 
-def candidate_pairs(maps: list[bytes], sizes: np.ndarray, classes: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among sets, one tree per width of bitmap; sides: 0 and 1 meet only each other, 2 meets itself."""
+def candidate_pairs(maps: list[bytes], sizes: np.ndarray, classes: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs among sets and how similar they may be, by one tree per width of bitmap; sides: 0 and 1 meet only each other, 2 meets itself."""
     widths = np.array([len(m) // 8 for m in maps])
-    out_i, out_j = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    out_i, out_j, similar = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
     groups = {}
     for side in np.unique(sides):
         for w in np.unique(widths[sides == side]):
@@ -115,7 +122,8 @@ def candidate_pairs(maps: list[bytes], sizes: np.ndarray, classes: np.ndarray, s
     def meet(x: tuple, y: tuple) -> None:
         (at, _), (bt, wide) = groups[x], groups[y]
         right = trees[y] if x[1] == y[1] else build(fold(wide, x[1]), sizes[bt], classes[bt])
-        i, j = dual_traversal(trees[x], right, x == y)
+        i, j, may = dual_traversal(trees[x], right, x == y)
+        similar.append(may)
         out_i.append(at[i])
         out_j.append(bt[j])
 
@@ -124,4 +132,4 @@ def candidate_pairs(maps: list[bytes], sizes: np.ndarray, classes: np.ndarray, s
             together = (side == other == 2) or (side, other) in ((0, 1), (1, 0))
             if together and (v == 2 * w or v == w and side <= other):
                 meet((side, w), (other, v))
-    return np.concatenate(out_i), np.concatenate(out_j)
+    return np.concatenate(out_i), np.concatenate(out_j), np.concatenate(similar)

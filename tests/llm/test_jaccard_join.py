@@ -86,12 +86,12 @@ def test_trees_let_every_similar_pair_through():
     maps = [bitmap(s) for s in sets]
     true = {(a, b) for b in range(len(sets)) for a in range(b) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
     own = np.arange(len(sets))
-    i, j = candidate_pairs(maps, sizes, own, np.full(len(sets), 2))
+    i, j, _ = candidate_pairs(maps, sizes, own, np.full(len(sets), 2))
     found = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())}
     assert true and true <= found and len(found) < len(sets) ** 2 / 4
     sides = own % 2
-    i, j = candidate_pairs(maps, sizes, own, sides)
+    i, j, _ = candidate_pairs(maps, sizes, own, sides)
     found = {(min(p), max(p)) for p in zip(i.tolist(), j.tolist())}
     assert {p for p in true if sides[p[0]] != sides[p[1]]} <= found and all(sides[a] != sides[b] for a, b in found)
-    i, _ = candidate_pairs(maps, sizes, np.zeros(len(sets), np.int64), np.full(len(sets), 2))
+    i, _, _ = candidate_pairs(maps, sizes, np.zeros(len(sets), np.int64), np.full(len(sets), 2))
     assert not len(i)  # all in one class already
