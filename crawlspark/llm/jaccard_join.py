@@ -34,6 +34,7 @@ from .scratch import Scratch
 from .shingles import mix, shingle_sets
 from .signature_tree import bitmap, candidate_pairs
 
+#: More classes than this are dealt over several tasks. (Joins here are merged by shuffle: both sides grow with the input.)
 BUCKET = 4096
 #: Hashes of the prefix that the first round uses.
 FIRST_HASHES = 2
@@ -152,7 +153,7 @@ def _parts(rows: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text: str) -> DataFrame:
     """The pairs whose whole sets have a similarity of 0.8 or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "th"), "node")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "th").hint("merge"), "node")
     wanted = scratch.save(wanted, "wanted")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +170,10 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratc
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__th"), F.col(text).alias("__text"))
-    sets = texts.join(wanted, (F.col("__id") == F.col("id")) & (F.col("__th") == F.col("th"))).select("node", "__text")
+    sets = texts.join(wanted.hint("merge"), (F.col("__id") == F.col("id")) & (F.col("__th") == F.col("th"))).select("node", "__text")
     sets = scratch.save(sets.mapInArrow(build, "node long, elements binary").dropDuplicates(["node"]), "sets")
     left, right = sets.withColumnsRenamed({"node": "a", "elements": "x"}), sets.withColumnsRenamed({"node": "b", "elements": "y"})
-    out = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    out = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
     out = scratch.save(out.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     scratch.drop(sets)
     _collect_garbage(docs.sparkSession)
@@ -195,13 +196,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     # First round: a forest of what the smallest hashes bring together.
     first = nodes.select(F.explode(F.slice("prefix", 1, FIRST_HASHES)).alias("bucket"), "node", "n", "map", F.get("prefix", F.lit(0)).alias("first"))
     shared = scratch.save(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
-    met = first.join(shared, "bucket").withColumn("comp", F.col("node"))
+    met = first.join(shared.hint("merge"), "bucket").withColumn("comp", F.col("node"))
     pairs = scratch.save(_traverse(_parts(met), forest=True), "pairs")
     links = _verify(pairs, nodes, docs, scratch, id_col, text)
     roots = components(links, scratch)
 
     # Second round: all prefix hashes, between the components of the first.
-    nodes_in = nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    nodes_in = nodes.join(roots.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     tokens = nodes_in.select(F.explode("prefix").alias("bucket"), "node", "comp")
     mixed = (
         tokens.groupBy("bucket")
@@ -212,9 +213,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         .select("bucket", "members")
     )
     mixed = scratch.save(mixed, "mixed")
-    live = scratch.save(tokens.join(mixed, "bucket"), "live")
+    live = scratch.save(tokens.join(mixed.hint("merge"), "bucket"), "live")
     bodies = nodes.select("node", "n", "map", F.get("prefix", F.lit(0)).alias("first"))
-    pairs = scratch.save(_traverse(_parts(live.join(bodies, "node")), forest=False), "pairs")
+    pairs = scratch.save(_traverse(_parts(live.join(bodies.hint("merge"), "node")), forest=False), "pairs")
     more = _verify(pairs, nodes, docs, scratch, id_col, text)
     roots = components(links.unionByName(more), scratch)
 

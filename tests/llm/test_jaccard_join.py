@@ -5,8 +5,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from crawlspark.llm import jaccard_join
+from crawlspark.llm import components, jaccard_join
 from crawlspark.llm.jaccard_join import near_duplicates
+from crawlspark.llm.scratch import Scratch
 from crawlspark.llm.shingles import shingle_sets
 from crawlspark.llm.signature_tree import bitmap, candidate_pairs
 
@@ -67,6 +68,16 @@ def test_empty_table(docs):
     assert near_duplicates(docs([])).collect() == []
 
 
+@pytest.mark.parametrize("small", [0, 1 << 14])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
+    pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 120)] + [(200, 201), (201, 202), (203, 202), (300, 300), (7, 100), (41, 40), (50, 51), (51, 50)]
+    out = components.components(spark.createDataFrame(pairs, "u long, v long"), Scratch(spark)).collect()
+    want = {k: 0 for k in [*range(1, 42), *range(100, 120)]} | {201: 200, 202: 200, 203: 200, 51: 50}
+    assert {r.node: r.root for r in out} == want and len(out) == len(want)
+    assert components.components(spark.createDataFrame([], "u long, v long"), Scratch(spark)).collect() == []
+
+
 def test_shingles_of_slices_and_nulls():
     texts = ["a b c d e f", None, "", "A  B\tc\nd\x0be", "x", "é ü"] * 3
     sets = shingle_sets(pa.array(texts).slice(1, 15))
