@@ -1,13 +1,10 @@
 """Connected components of a table of edges, by alternating large-star and small-star steps.
 
-Tables of at most ``SMALL`` edges, whose rounds would be all overhead, are settled by one task instead.
+Every size takes the same steps, and their joins are merged by shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +15,7 @@ def _star(edges: DataFrame, scratch: Scratch, large: bool) -> DataFrame:
     """Joins every node's neighbours to the least of them; only minima are aggregated, never lists of neighbours."""
     directed = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = scratch.save(directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    met = directed.join(least.withColumnRenamed("u", "n"), F.col("u") == F.col("n"))
+    met = directed.join(least.withColumnRenamed("u", "n").hint("merge"), F.col("u") == F.col("n"))
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -27,33 +24,10 @@ def _star(edges: DataFrame, scratch: Scratch, large: bool) -> DataFrame:
     return scratch.save(out, "edges")
 
 
-SMALL = 1 << 14
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over all edges; the least node of a component becomes its root."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (above := parent.setdefault(x, x)) != x:
-            parent[x] = parent[above]
-            x = above
-        return x
-
-    for batch in batches:
-        for u, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            u, v = sorted((root(u), root(v)))
-            parent[v] = u
-    nodes = [x for x in parent if root(x) != x]
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "root"])
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v) edges of long ids -> (node, root) of every node that isn't its component's least; root is the least."""
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = scratch.save(edges, "edges"), None
-    if edges.count() <= SMALL:
-        return scratch.save(edges.coalesce(1).mapInArrow(_settle, "node long, root long"), "roots")
     while True:
         state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == before or not state[0]:

@@ -219,10 +219,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     more = _verify(pairs, nodes, docs, scratch, id_col, text)
     roots = components(links.unionByName(more), scratch)
 
-    named = nodes.select("node", "f1", "f2", "n", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("node", "f1", "f2", "n", "id").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.save(named, "named")
     least = scratch.save(named.groupBy("root").agg(F.min("id").alias("component_id")), "least")
-    classes = scratch.save(named.join(least, "root").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), "component_id"), "classes")
+    classes = scratch.save(named.join(least.hint("merge"), "root").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), "component_id"), "classes")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     joined = facts.join(classes.hint("merge"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m")), "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))

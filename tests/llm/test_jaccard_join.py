@@ -68,9 +68,7 @@ def test_empty_table(docs):
     assert near_duplicates(docs([])).collect() == []
 
 
-@pytest.mark.parametrize("small", [0, 1 << 14])
-def test_components(spark, monkeypatch, small):
-    monkeypatch.setattr(components, "SMALL", small)
+def test_components(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 120)] + [(200, 201), (201, 202), (203, 202), (300, 300), (7, 100), (41, 40), (50, 51), (51, 50)]
     out = components.components(spark.createDataFrame(pairs, "u long, v long"), Scratch(spark)).collect()
     want = {k: 0 for k in [*range(1, 42), *range(100, 120)]} | {201: 200, 202: 200, 203: 200, 51: 50}
