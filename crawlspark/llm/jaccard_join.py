@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     bodies = nodes.select("node", "n", "map", F.get("prefix", F.lit(0)).alias("first"))
     pairs = scratch.save(_traverse(_parts(live.join(bodies.hint("merge"), "node")), forest=False), "pairs")
     more = _verify(pairs, nodes, docs, scratch, id_col, text)
-    roots = components(links.unionByName(more), scratch)
+    known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))  # connects what the first links do, as stars
+    roots = components(known.unionByName(more), scratch)
 
     named = nodes.select("node", "f1", "f2", "n", "id").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.save(named, "named")
