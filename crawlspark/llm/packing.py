@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -105,16 +106,24 @@ class TextTokenizer:
     """Token ids of whole texts as little-endian unsigned 32-bit integers.
 
     A byte-level BPE file whose ids follow its merges is run by its ranks, which gives the same ids in a fraction of the
-    time; any other file is run by its own library.
+    time; any other file is run by its own library, and so is a text whose runs of white space are too long for the
+    pattern's backtracking.
     """
 
     def __init__(self, path: str):
+        self.path = path
         self.ranks = _rank_encoding(path)
-        self.tokenizer = None if self.ranks else tokenizers.Tokenizer.from_file(path)
+
+    @cached_property
+    def tokenizer(self) -> tokenizers.Tokenizer:
+        return tokenizers.Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
         if self.ranks:
-            return self.ranks.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+            try:
+                return self.ranks.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+            except ValueError:  # "Max stack size exceeded for backtracking"
+                pass
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 

@@ -64,3 +64,15 @@ def test_best_fit_decreasing_finds_the_tightest():
 
 def test_empty_table(docs):
     assert pack_documents(docs([]), BPE).collect() == []
+
+
+@pytest.mark.parametrize("text", [" " * 1_200_000, "a" + "\n" * 1_200_000 + "b", "<|endoftext|>x" + " \t" * 600_000 + "é <|endoftext|>"])
+def test_long_runs_of_white_space(text):
+    own, library = TextTokenizer(BPE), Tokenizer.from_file(BPE)
+    assert own.ranks and own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_long_run_among_other_documents(docs):
+    out = pack_documents(docs([(1, "a b"), (2, " " * 1_200_000), (3, "c")]), BPE).select("doc_id", "doc_tokens").distinct().collect()
+    n = len(Tokenizer.from_file(BPE).encode(" " * 1_200_000, add_special_tokens=False).ids) + 1
+    assert {r.doc_id for r in out} == {1, 2, 3} and {r.doc_tokens for r in out if r.doc_id == 2} == {n}
