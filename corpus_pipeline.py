@@ -37,17 +37,31 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    groups = Scratch(spark).save(jaccard_join.near_duplicates(docs.select("doc_id", "text")), "groups")
-    dropped = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: that with the smallest id, then text hash, then JSON of all columns.
+
+    Rows are told apart by (doc_id, hash of the text). Rows without an id or without words are in no group and all stay.
+    """
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").alias("doc"), th.alias("th"))).alias("key"), "text")
+    groups = Scratch(spark).save(jaccard_join.near_duplicates(keyed, "key"), "groups").where("key is not null and n_shingles > 0")
+    fates = groups.groupBy("key").agg(F.bool_or(F.col("component_id") == F.col("key")).alias("__stays"), F.count(F.lit(1)).alias("__n")).where("not __stays or __n > 1")
+    fates = Scratch(spark).save(fates.select(F.col("key.doc").alias("__doc"), F.col("key.th").alias("__key_th"), "__stays"), "fates")
+    named = docs.where("doc_id is not null").withColumn("__th", th)
+    same = (F.col("doc_id") == F.col("__doc")) & (F.col("__th") == F.col("__key_th"))
+    alone = named.join(fates.hint("merge"), same, "left_anti").select(*docs.columns)
+    # Equal keys that stay: partial minima leave one row of each, however often it is repeated.
+    repeated, row = named.join(fates.where("__stays").hint("merge"), same), F.struct(*docs.columns)
+    one = repeated.groupBy("__doc", "__key_th").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return alone.unionByName(one).unionByName(docs.where("doc_id is null"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, which may be not at all."""
-    taken = Scratch(spark).save(mixing.mix_sources(docs.select("doc_id", "text", "source")), "taken")
-    times = taken.where("taken > 0").groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times")).withColumnRenamed("doc_id", "__doc")
-    met = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc")))
+    """Every row as often as the mix takes it, which may be not at all; rows with one id are rows of their own."""
+    scratch = Scratch(spark)
+    numbered = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    taken = scratch.save(mixing.mix_sources(numbered.select("doc_id", "text", "source", "__row"), carry=["__row"]), "taken")
+    times = taken.where("taken > 0").select("__row", (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    met = numbered.join(times.hint("merge"), "__row")
     return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 

@@ -97,12 +97,12 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, max_repe
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: int = 42
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (5, 2, 1), max_repeats: int = 3, seed: int = 42, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target (both of its source) and taken, in words."""
+    """One row per row of ``docs``: id, size, source_size, target (both of its source), taken, in words, and the columns in ``carry``."""
     scratch = Scratch(docs.sparkSession)
     drawn = F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text), F.lit("")))
-    sized = docs.select(F.col(id_col).alias("__id"), F.col(source).alias("__source"), word_count(F.col(text)).alias("__size"), drawn.alias("__h"))
+    sized = docs.select(F.col(id_col).alias("__id"), F.col(source).alias("__source"), word_count(F.col(text)).alias("__size"), drawn.alias("__h"), *carry)
     sized = scratch.save(sized.withColumn("__b", F.shiftrightunsigned("__h", 54).cast("int")), "sized")
     ranges = scratch.save(sized.groupBy("__source", "__size", "__b").agg(F.count(F.lit(1)).alias("__n")), "ranges")
     lengths = ranges.groupBy("__source", "__size").agg(F.sum("__n").alias("__n"))
@@ -133,4 +133,5 @@ def mix_sources(
         "source_size",
         "target",
         (F.col("__size") * (F.col("__whole") + F.when(rank <= F.col("__take"), 1).otherwise(0))).alias("taken"),
+        *carry,
     )

@@ -50,3 +50,32 @@ def test_empty_table(spark, tmp_path):
 def test_labels_stay_out_of_the_score(spark):
     """The model only sees hashed n-grams of texts."""
     assert set(toxicity.Model._fields) == {"buckets", "weights", "intercept"}
+
+
+def table(spark, data):
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_repeated_ids_near_duplicates(spark, tmp_path):
+    clean = [r[1] for r in rows()]
+    near = clean[0] + " one more"
+    data = [(i, clean[i], "en", "s", 0) for i in range(3)]
+    data += [(1, clean[1], "en", "s", 0)] * 3 + [(2, clean[2], "de", "s", 0)]  # rows repeated, one with another column
+    data += [(7, near, "en", "s", 0), (7, clean[9], "en", "s", 0)]  # one id, a near copy and a clean text
+    data += [(8, "", "en", "s", 0)] * 2 + [(None, clean[0], "en", "s", 0)] * 2
+    data += [(9, clean[20] + " one more", "en", "s", 0), (9, clean[20], "en", "s", 0)]  # near copies of one id
+    out = sorted(((r.doc_id, r.text, r.lang) for r in corpus_pipeline.one_of_near_duplicates(spark, table(spark, data), str(tmp_path)).collect()), key=str)
+    of_nine = [r for r in out if r[0] == 9]
+    assert len(of_nine) == 1 and of_nine[0][1].startswith(clean[20])
+    want = [(0, clean[0], "en"), (1, clean[1], "en"), (2, clean[2], "de"), (7, clean[9], "en"), (8, "", "en"), (8, "", "en"), (None, clean[0], "en"), (None, clean[0], "en")]
+    assert sorted([r for r in out if r[0] != 9], key=str) == sorted(want, key=str)
+
+
+def test_repeated_ids_mixing(spark, tmp_path):
+    from crawlspark.llm import mixing
+
+    data = [(i % 4, " ".join(f"w{i}x{k}" for k in range(1 + i % 9)), "en", f"s{i % 3}", 0) for i in range(90)] + [(5, "a b c", "en", "s0", 0)] * 5 + [(None, "d e", "en", "s1", 0)] * 4
+    docs = table(spark, data)
+    want = sum(r.taken for r in mixing.mix_sources(docs.select("doc_id", "text", "source")).collect())
+    out = corpus_pipeline.mixed(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sum(len(r.text.split()) for r in out.collect()) == want
