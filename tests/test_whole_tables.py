@@ -1,0 +1,21 @@
+import duckdb
+import pytest
+
+from crawlspark import queries
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.mark.parametrize("name", ["html_escape_whole"])
+def test_whole_pages(spark, name):
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
+    want = db.sql(queries.ORACLES[name])
+    columns = sorted(want.columns)
+    got = queries.QUERIES[name](spark, DATA)
+    assert sorted(got.columns) == columns
+    listed = lambda rows: sorted(str(tuple(r)) for r in rows)
+    rows = got.select(*columns).collect()
+    assert listed(rows) == listed(want.select(*[f'"{c}"' for c in columns]).fetchall())
+    n, size = db.sql("SELECT count(*), sum(octet_length(encode(html))) FROM pages").fetchall()[0]
+    assert len(rows) == n and sum(len(r.escaped.encode()) for r in rows) >= size
