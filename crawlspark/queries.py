@@ -529,6 +529,16 @@ def crawl_outbound(spark, d):
     return _crawl(spark, d, CrawlConfig(crawl_mode="list", fetch_outbound=True), seed="page_id % 9 = 4")
 
 
+@query("crawl_list_all", _RECORDS + " SELECT href AS url, 0 AS depth FROM rec")
+def crawl_list_all(spark, d):
+    return _crawl(spark, d, CrawlConfig(crawl_mode="list"), seed="true")
+
+
+@query("crawl_outbound_all", _EDGES + " SELECT href AS url, 0 AS depth FROM rec UNION ALL (SELECT DISTINCT target, 1 FROM edges WHERE target IN (SELECT href FROM rec) AND target NOT IN (SELECT href FROM rec))")
+def crawl_outbound_all(spark, d):
+    return _crawl(spark, d, CrawlConfig(crawl_mode="list", fetch_outbound=True), seed="true")
+
+
 @query("error_records", _EDGES + " SELECT DISTINCT target AS href, coalesce(fetch_status, 0) AS fetch_status, coalesce(fetch_ok, false) AS fetch_ok, CASE WHEN rec.href IS NULL THEN 'Failed to fetch' END AS error FROM edges LEFT JOIN rec ON target = rec.href")
 def error_records(spark, d):
     r, e = written(spark, d)
@@ -580,6 +590,24 @@ def catalog_orphans(spark, d):
     return catalog.manager_view(meta, _files(spark, d)).select("id", "name", "orphan", "files", "actions")
 
 
+_ALL_FILES_SQL = "SELECT CAST(page_id % 7 AS VARCHAR) AS id, count(*) AS files, sum(octet_length(encode(html))) AS bytes FROM pages GROUP BY ALL"
+
+
+def _all_files(spark, d) -> DataFrame:
+    return catalog.archive_stats(pages(spark, d).select((F.col("page_id") % 7).cast("string").alias("id"), F.octet_length("html").cast("long").alias("length")))
+
+
+@query("archive_stats_all", f"SELECT id, files, CAST(bytes AS BIGINT) AS bytes FROM ({_ALL_FILES_SQL})")
+def archive_stats_all(spark, d):
+    return _all_files(spark, d)
+
+
+@query("catalog_orphans_all", f"WITH f AS ({_ALL_FILES_SQL}), m(id, name) AS (VALUES ('1', 'a'), ('2', 'b'), ('9', 'c')) SELECT id, name, name IS NULL AS orphan, files, CASE WHEN name IS NULL THEN 'delete files' WHEN files IS NULL THEN 'rename, delete' ELSE 'rename, export, delete files, delete both' END AS actions FROM m FULL JOIN f USING (id)")
+def catalog_orphans_all(spark, d):
+    meta = spark.createDataFrame([("1", "a"), ("2", "b"), ("9", "c")], "id string, name string")
+    return catalog.manager_view(meta, _all_files(spark, d)).select("id", "name", "orphan", "files", "actions")
+
+
 @query("storage_estimate", "SELECT CAST(sum(octet_length(encode(html))) AS BIGINT) AS used, CAST(100000000 AS BIGINT) AS quota, CAST(floor(100.0 * sum(octet_length(encode(html))) / 100000000 + 0.5) AS BIGINT) AS percent FROM pages")
 def storage_estimate(spark, d):
     return catalog.storage_estimate(pages(spark, d).select(F.octet_length("html").cast("long").alias("length")), 100_000_000).withColumn("quota", F.col("quota").cast("long"))
