@@ -1,7 +1,7 @@
 """A run-length index of a bounded text: run-compressed Burrows-Wheeler transform with samples at the run ends.
 
-``RunIndex`` sorts the suffixes, derives the transform and keeps, for each of its runs, the text positions at the run's two ends and the length of their match with the suffix on the other side of the run's
-border. Those samples are all that matching statistics need: within a run, the match of a suffix with its neighbour is
+``RunIndex`` sorts the suffixes, derives the transform and keeps, for each of its runs, the text positions at the run's
+two ends and the length of their match with the suffix on the other side of the run's border. Those samples are all that matching statistics need: within a run, the match of a suffix with its neighbour is
 one byte shorter than that of the suffix one position before, so the statistics of every position stream out of the
 samples in the order of the text.
 """
@@ -35,25 +35,30 @@ class RunIndex:
 
     @staticmethod
     def _sort(words: np.ndarray) -> np.ndarray:
-        """The suffixes in order, by prefix doubling over those that are not told apart yet."""
-        n = len(words)
-        order = np.argsort(words, kind="stable")
+        """The suffixes in order, by prefix doubling over those that are not told apart yet.
+
+        Two ranks and a position share one 64-bit number, so that a plain sort orders them: that is what bounds the text.
+        """
+        n, bits = len(words), np.int64(21)
+        if n >= 1 << 21:
+            raise ValueError("an index holds less than two million bytes")
+        low = (np.int64(1) << bits) - 1
+        order = np.argsort(words)
         ordered = words[order]
-        begins = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        rank = np.zeros(n + 1, dtype=np.int64)
-        rank[order] = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-        rank[n] = -1
-        depth = 8
+        begins = np.ones(n + 1, dtype=bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=begins[1:n])
+        rank = np.full(n + 1, -1, dtype=np.int32)
+        rank[order] = np.maximum.accumulate(np.where(begins[:n], np.arange(n, dtype=np.int32), 0))
+        depth, places = 8, np.arange(n)
         while True:
-            alone = begins & np.concatenate([begins[1:], [True]])
-            places = np.flatnonzero(~alone)
+            places = places[~(begins[places] & begins[places + 1])]
             if not len(places):
                 return order
             at = order[places]
-            key = (rank[at] << np.int64(32)) | (rank[np.minimum(at + depth, n)] + 1)
-            sub = np.argsort(key, kind="stable")
-            at, key = at[sub], key[sub]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
+            key = np.sort((rank[at].astype(np.int64) << (2 * bits)) | ((rank[np.minimum(at + depth, n)].astype(np.int64) + 1) << bits) | at)
+            at, key = key & low, key >> bits
+            new = np.ones(len(key), dtype=bool)
+            np.not_equal(key[1:], key[:-1], out=new[1:])
             order[places] = at
             begins[places] = new
             rank[at] = np.maximum.accumulate(np.where(new, places, 0))

@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters between words: [\x20\x09-\x0D].
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -41,7 +41,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: pa.Array, words: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle, an empty one none."""
     raw, offsets = text_bytes(texts)
-    solid = ~_BLANK[raw]
+    solid = ~BLANK[raw]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     inner = offsets[(offsets > 0) & (offsets < len(raw))]

@@ -1,14 +1,16 @@
 """Removal of byte strings of ``length`` bytes that start more than once in the corpus.
 
 Every string of that length has an anchor that depends on its bytes alone, so equal strings meet in their anchor's
-bucket. The strings of one anchor in one document are a window of text. Texts that are equal as a whole, and buckets
-whose windows are all equal, are settled by counting; what is left are the distinct windows of the other buckets. Tasks
-put these into run-length indexes of bounded size (a run-compressed Burrows-Wheeler transform with sampled run ends,
-see run_index), stream the matching statistics of every position out of them, and mark the long matches. The marks go
-back to all windows that are equal, and documents lose the bytes that the marked strings cover.
+bucket. The strings of one anchor in one document are a window of text. Buckets whose windows are all equal are settled
+by counting; what is left are the distinct windows of the other buckets. Tasks put these into run-length indexes of
+bounded size (a run-compressed Burrows-Wheeler transform with sampled run ends, see run_index), stream the matching
+statistics of every position out of them, and mark the long matches. The marks go back to all windows that are equal,
+and documents lose the bytes that the marked strings cover.
 
-A bucket whose distinct windows have more than ``BUCKET_BYTES`` bytes is not indexed by one task: its windows are cut
-into their strings, which are counted by fingerprint with partial sums.
+A bucket whose distinct windows have more than ``BUCKET_BYTES`` bytes would be a task without bound: a passage that a
+third of all documents share gives as many windows, each with other neighbours. More anchors don't divide it, since the
+strings inside the passage share them all. Its windows are cut into their strings, which meet by fingerprint with partial
+sums; the marks are the same.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows are equal texts, and
 equal texts of at least ``length`` bytes lose everything; rows without an id are treated as any other; an empty table
@@ -18,7 +20,6 @@ gives an empty table; other columns are left out.
 from __future__ import annotations
 
 import gc
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,12 @@ from .anchors import anchors, window_prints
 from .arrow import small_batches
 from .run_index import repeated_starts
 from .scratch import Scratch
-from .shingles import text_bytes
+from .shingles import BLANK, text_bytes
 
-SHARD_BYTES = 1 << 20
-BUCKET_BYTES = 8 << 20
-ANCHOR = "struct<h:bigint,w1:bigint,w2:bigint,a:bigint,b:bigint>"
+#: Bytes of an index; its arrays stay in the cache.
+SHARD_BYTES = 1 << 17
+#: Bytes of distinct windows of a bucket that one index may hold.
+BUCKET_BYTES = 3 << 18
 
 
 def _collect_garbage(spark: SparkSession) -> None:
@@ -43,31 +45,20 @@ def _collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _find_anchors(rows: DataFrame, length: int) -> DataFrame:
-    """rows: (id, th, text) -> (id, th, x, n, found), found: the anchors with their windows' fingerprints and starts."""
+def _windows(rows: DataFrame, length: int) -> DataFrame:
+    """rows: (id, th, text) -> (id, th, h, w, a, b): the starts of each anchor; the window's fingerprint is (h, w)."""
     id_type = rows.schema["id"].dataType.simpleString()
-    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("h", "w1", "w2", "a", "b")]))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(2))
-            whole, cols, counts = [], [], [0]
-            for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-                text = raw[lo:hi]
-                whole.append(_digest(text))
-                h, _, a, b = anchors(text, length)
-                cols.append((h.view(np.int64), window_prints(text, a, b + length, 11).view(np.int64), window_prints(text, a, b + length, 77).view(np.int64), a, b))
-                counts.append(counts[-1] + len(h))
-            fields = [pa.array(np.concatenate([c[k] for c in cols])) for k in range(5)]
-            found = pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(fields, ["h", "w1", "w2", "a", "b"]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.array(np.diff(offsets)), found.cast(kind)], ["id", "th", "x", "n", "found"])
+            h, _, a, b = anchors(raw, length, offsets)
+            owner = np.searchsorted(offsets, a, side="right") - 1
+            begin, row = offsets[owner], pa.array(owner)
+            cols = [batch.column(0).take(row), batch.column(1).take(row), *[pa.array(x.view(np.int64)) for x in (h, window_prints(raw, a, b + length))], pa.array(a - begin), pa.array(b - begin)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "h", "w", "a", "b"])
 
-    return rows.mapInArrow(build, f"id {id_type}, th long, x long, n long, found array<{ANCHOR}>")
-
-
-def _digest(text: np.ndarray) -> int:
-    """64 bits that stand for a whole text, beside the other hash of it."""
-    return int.from_bytes(hashlib.blake2b(text.tobytes(), digest_size=8).digest(), "little", signed=True)
+    return rows.mapInArrow(build, f"id {id_type}, th long, h long, w long, a long, b long")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -79,43 +70,45 @@ def _cut(texts: DataFrame) -> DataFrame:
             data, wanted = raw.tobytes(), batch.column(1)
             owner = np.repeat(offsets[:-1], np.diff(wanted.offsets.to_numpy()))
             flat = wanted.flatten()
-            cols = {c: flat.field(c).to_numpy() for c in ("h", "w1", "w2", "copies", "a", "e")}
+            cols = {c: flat.field(c).to_numpy() for c in ("h", "w", "copies", "a", "e")}
             pieces = [data[s:e] for s, e in zip((owner + cols["a"]).tolist(), (owner + cols["e"]).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(cols[c]) for c in ("h", "w1", "w2", "copies")], pa.array(pieces, pa.binary())], ["h", "w1", "w2", "copies", "bytes"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(cols[c]) for c in ("h", "w", "copies")], pa.array(pieces, pa.binary())], ["h", "w", "copies", "bytes"])
 
-    return texts.mapInArrow(run, "h long, w1 long, w2 long, copies long, bytes binary")
+    return texts.mapInArrow(run, "h long, w long, copies long, bytes binary")
 
 
 def _index(windows: DataFrame, length: int) -> DataFrame:
-    """Distinct windows, a bucket's in one partition -> (h, w1, w2, lo, hi): runs of starts whose strings repeat."""
+    """Distinct windows, a bucket's in one partition -> (h, w, lo, hi): runs of starts whose strings repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size, last = 0, None
+        size, last = 0, (None, None)
 
         def flush() -> pa.RecordBatch:
-            marks = repeated_starts([x[4] for x in held], length)
+            marks = repeated_starts([x[3] for x in held], length)
             lows, highs = [], []
             for x, mark in zip(held, marks, strict=True):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], (mark | (x[3] > 1)).astype(np.int8), [0]])))
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], (mark | (x[2] > 1)).astype(np.int8), [0]])))
                 lows.append(edge[::2])
                 highs.append(edge[1::2] - 1)
             return pa.RecordBatch.from_arrays(
-                [*[pa.array([x[k] for x in held], pa.int64()) for k in range(3)], pa.array(lows, pa.list_(pa.int64())), pa.array(highs, pa.list_(pa.int64()))], ["h", "w1", "w2", "lo", "hi"]
+                [*[pa.array([x[k] for x in held], pa.int64()) for k in range(2)], pa.array(lows, pa.list_(pa.int64())), pa.array(highs, pa.list_(pa.int64()))], ["h", "w", "lo", "hi"]
             )
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= SHARD_BYTES and row[0] != last:
+                if row[:2] == last:  # rows that repeat an id and its text
+                    continue
+                if size >= SHARD_BYTES and row[0] != last[0]:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
-                size, last = size + len(row[4]), row[0]
+                size, last = size + len(row[3]), row[:2]
         if held:
             yield flush()
 
-    ordered = windows.repartition("h").sortWithinPartitions("h", "w1", "w2")
-    return ordered.select("h", "w1", "w2", "copies", "bytes").mapInArrow(run, "h long, w1 long, w2 long, lo array<long>, hi array<long>")
+    ordered = windows.repartition("h").sortWithinPartitions("h", "w")
+    return ordered.select("h", "w", "copies", "bytes").mapInArrow(run, "h long, w long, lo array<long>, hi array<long>")
 
 
 def _count_strings(windows: DataFrame, length: int) -> DataFrame:
@@ -123,82 +116,110 @@ def _count_strings(windows: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, w1, w2, copies, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for h, w, copies, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 raw = np.frombuffer(data, np.uint8)
                 a = np.arange(len(raw) - length + 1)
-                same = [pa.array(np.full(len(a), v, dtype=np.int64)) for v in (h, w1, w2, copies)]
+                same = [pa.array(np.full(len(a), v, dtype=np.int64)) for v in (h, w, copies)]
                 prints = [pa.array(window_prints(raw, a, a + length, k).view(np.int64)) for k in (11, 77)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(a), *prints], ["h", "w1", "w2", "copies", "at", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array(a), *prints], ["h", "w", "copies", "at", "s1", "s2"])
 
-    strings = windows.select("h", "w1", "w2", "copies", "bytes").mapInArrow(cut, "h long, w1 long, w2 long, copies long, at long, s1 long, s2 long")
+    strings = windows.select("h", "w", "copies", "bytes").mapInArrow(cut, "h long, w long, copies long, at long, s1 long, s2 long")
     often = strings.groupBy("s1", "s2").agg(F.sum("copies").alias("c")).where("c > 1").withColumnsRenamed({"s1": "r1", "s2": "r2"})
-    marked = strings.join(often, (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2"))).groupBy("h", "w1", "w2").agg(F.collect_list("at").alias("lo"))
-    return marked.select("h", "w1", "w2", "lo", F.col("lo").alias("hi"))
-
+    marked = strings.join(often, (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2"))).groupBy("h", "w").agg(F.collect_list("at").alias("lo"))
+    return marked.select("h", "w", "lo", F.col("lo").alias("hi"))
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
-    """One row per row of ``docs``: id, kept (the remaining bytes), n_bytes, n_removed and spans (array of begin, end)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    scratch = Scratch(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"))
-    found = scratch.save(_find_anchors(rows, length), "found")
-    copies = found.where(F.col("n") >= length).groupBy("th", "x", "n").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first")).where("c > 1")
-    copies = scratch.save(copies.withColumnsRenamed({"th": "cth", "x": "cx", "n": "cn"}), "copies")
-    text_of = found.join(copies.hint("merge"), (F.col("th") == F.col("cth")) & (F.col("x") == F.col("cx")) & (F.col("n") == F.col("cn")), "left")
-    same_text = scratch.save(text_of.where("c is not null").select("id", "th", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("n") - length).alias("b"))).alias("starts")).dropDuplicates(["id", "th"]), "same_text")
-    # One of equal texts stands for them all among the windows.
-    alone = text_of.where("c is null or (id <=> first)").dropDuplicates(["id", "th", "x"])
-    seen = scratch.save(alone.select("id", "th", F.col("c").isNotNull().alias("settled"), "found"), "seen")
-    scratch.drop(found)
-    _collect_garbage(spark)
 
-    windows = seen.select("id", "th", "settled", F.explode("found").alias("w")).select("id", "th", "settled", "w.*")
-    buckets = windows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), (F.min("w1") != F.max("w1")).alias("mixed")).where("c > 1").select(F.col("h").alias("bh"), "mixed")
+def _starts(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """rows: (id, th, text) -> (sid, sth, starts): of each text that has any, the runs of starts of repeated strings."""
+    spark = rows.sparkSession
+    windows = scratch.save(_windows(rows, length), "windows")
+    mixed = F.min("w") != F.max("w")
+    buckets = windows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), mixed.alias("mixed")).where("c > 1").select(F.col("h").alias("bh"), "mixed")
     buckets = scratch.save(buckets, "buckets")
     shared = scratch.save(windows.join(buckets.hint("merge"), F.col("h") == F.col("bh")).drop("bh"), "shared")
+    scratch.drop(windows)
+    scratch.drop(buckets)
+    _collect_garbage(spark)
 
-    distinct = shared.where("mixed").groupBy("h", "w1", "w2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th", "a", "b")).alias("at"))
-    wanted = distinct.select(F.col("at.id").alias("wid"), F.col("at.th").alias("wth"), F.struct("h", "w1", "w2", "copies", F.col("at.a").alias("a"), (F.col("at.b") + length).alias("e")).alias("w"))
+    distinct = shared.where("mixed").groupBy("h", "w").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th", "a", "b")).alias("at"))
+    wanted = distinct.select(F.col("at.id").alias("wid"), F.col("at.th").alias("wth"), F.struct("h", "w", "copies", F.col("at.a").alias("a"), (F.col("at.b") + length).alias("e")).alias("w"))
     wanted = scratch.save(wanted.groupBy("wid", "wth").agg(F.collect_list("w").alias("ws")), "wanted")
     texts = rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
-    cut = scratch.save(_cut(texts.select("text", "ws")).dropDuplicates(["h", "w1", "w2"]), "cut")
+    cut = scratch.save(_cut(texts.select("text", "ws")), "cut")
+    scratch.drop(wanted)
     _collect_garbage(spark)
     large = cut.groupBy("h").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > BUCKET_BYTES).select(F.col("h").alias("lh"))
     large = scratch.save(large, "large")
     marks = _index(cut.join(large, F.col("h") == F.col("lh"), "left_anti"), length)
     if not large.isEmpty():
-        marks = marks.unionByName(_count_strings(cut.join(large, F.col("h") == F.col("lh"), "left_semi"), length))
-    marks = scratch.save(marks.where(F.size("lo") > 0).withColumnsRenamed({"h": "mh", "w1": "m1", "w2": "m2"}), "marks")
+        marks = marks.unionByName(_count_strings(cut.join(large, F.col("h") == F.col("lh"), "left_semi").dropDuplicates(["h", "w"]), length))
+    marks = scratch.save(marks.where(F.size("lo") > 0).withColumnsRenamed({"h": "mh", "w": "mw"}), "marks")
     scratch.drop(cut)
+    _collect_garbage(spark)
 
-    marked = shared.where("mixed").join(marks.hint("merge"), (F.col("h") == F.col("mh")) & (F.col("w1") == F.col("m1")) & (F.col("w2") == F.col("m2")))
+    marked = shared.where("mixed").join(marks.hint("merge"), (F.col("h") == F.col("mh")) & (F.col("w") == F.col("mw")))
     moved = F.transform(F.arrays_zip("lo", "hi"), lambda r: F.struct((F.col("a") + r["lo"]).alias("a"), (F.col("a") + r["hi"]).alias("b")))
-    runs = marked.where("not settled").select("id", "th", F.explode(moved).alias("r"))
-    runs = runs.unionByName(shared.where("not mixed and not settled").select("id", "th", F.struct("a", "b").alias("r")))
-    starts = runs.groupBy("id", "th").agg(F.collect_list("r").alias("starts")).unionByName(same_text)
-    starts = scratch.save(starts.withColumnsRenamed({"id": "sid", "th": "sth"}), "starts")
+    runs = marked.select("id", "th", F.explode(moved).alias("r"))
+    runs = runs.unionByName(shared.where("not mixed").select("id", "th", F.struct("a", "b").alias("r")))
+    starts = runs.groupBy(F.col("id").alias("sid"), F.col("th").alias("sth")).agg(F.collect_set("r").alias("starts"))
+    starts = scratch.save(starts, f"starts-{length}")
+    for used in (shared, large, marks):
+        scratch.drop(used)
     _collect_garbage(spark)
+    return starts
 
+
+def _covered(starts: pa.Scalar, n: int, length: int) -> np.ndarray:
+    """Begins and ends of the runs of bytes that the strings cover."""
+    if not starts.is_valid or not len(starts):
+        return np.zeros((0, 2), dtype=np.int64)
+    steps = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(steps, starts.values.field("a").to_numpy(), 1)
+    np.add.at(steps, starts.values.field("b").to_numpy() + length, -1)
+    gone = np.concatenate([[0], (np.cumsum(steps)[:-1] > 0).astype(np.int8), [0]])
+    return np.flatnonzero(np.diff(gone)).reshape(-1, 2)
+
+
+def _words_inside(text: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """How many whole words each span holds."""
+    solid = np.concatenate([[False], ~BLANK[text], [False]])
+    begins, ends = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(solid[:-1] & ~solid[1:])
+    return np.maximum(np.searchsorted(ends, spans[:, 1], side="right") - np.searchsorted(begins, spans[:, 0]), 0)
+
+
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, passage: tuple[int, int] | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, kept (the remaining bytes), n_bytes, n_removed and spans (array of begin, end).
+
+    passage: (bytes, words) adds n_passages, the number of spans that strings of so many bytes cover and that hold more
+    than so many whole words. Such a passage may be shorter than ``length``: it is reported, not removed.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), F.col(text).alias("text"))
+    same = F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth"))
+    starts = _starts(rows, length, scratch).withColumn("short", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
+    if passage:
+        short = _starts(rows, passage[0], scratch).withColumnsRenamed({"sid": "tid", "sth": "tth", "starts": "short"})
+        both = starts.drop("short").join(short.hint("merge"), F.col("sid").eqNullSafe(F.col("tid")) & (F.col("sth") == F.col("tth")), "full")
+        starts = scratch.save(both.select(F.coalesce("sid", "tid").alias("sid"), F.coalesce("sth", "tth").alias("sth"), "starts", "short"), "starts")
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
-            kept, spans, removed = [], [], []
-            for lo, hi, starts in zip(offsets[:-1], offsets[1:], batch.column(2), strict=True):
-                covered = np.zeros(hi - lo + 1, dtype=np.int32)
-                if starts.is_valid and len(starts):
-                    runs = starts.values
-                    np.add.at(covered, runs.field("a").to_numpy(), 1)
-                    np.add.at(covered, runs.field("b").to_numpy() + length, -1)
-                gone = np.cumsum(covered)[:-1] > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                kept.append(raw[lo:hi][~gone].tobytes())
-                spans.append([{"begin": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)])
-                removed.append(int(gone.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, span)], [id_col, "kept", "n_bytes", "n_removed", "spans"])
-
-    joined = rows.join(starts.hint("merge"), F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth")), "left")
+            kept, spans, removed, passages = [], [], [], []
+            for lo, hi, long, short in zip(offsets[:-1], offsets[1:], batch.column(2), batch.column(3), strict=True):
+                body, found = raw[lo:hi], _covered(long, hi - lo, length)
+                cuts = np.concatenate([[0], found.ravel(), [hi - lo]])
+                kept.append(b"".join(body[a:b].tobytes() for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
+                spans.append([{"begin": a, "end": b} for a, b in found.tolist()])
+                removed.append(int((found[:, 1] - found[:, 0]).sum()))
+                passages.append(int((_words_inside(body, _covered(short, hi - lo, passage[0])) > passage[1]).sum()) if passage and short.is_valid else 0)
+            cols = [batch.column(0), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(passages, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, [id_col, "kept", "n_bytes", "n_removed", "spans", "n_passages"])
+
+    joined = rows.join(starts.hint("merge"), same, "left")
     id_type = docs.schema[id_col].dataType.simpleString()
-    return joined.select("id", "text", "starts").mapInArrow(remove, f"`{id_col}` {id_type}, kept binary, n_bytes long, n_removed long, spans array<struct<begin:bigint,end:bigint>>")
+    out = joined.select("id", "text", "starts", "short").mapInArrow(remove, f"`{id_col}` {id_type}, kept binary, n_bytes long, n_removed long, spans array<struct<begin:bigint,end:bigint>>, n_passages long")
+    return out if passage else out.drop("n_passages")

@@ -79,3 +79,23 @@ def test_anchors_depend_on_the_string_alone():
         assert a[0] == 0 and b[-1] == len(raw) - N and (a[1:] == b[:-1] + 1).all()
         where.append([(int(h[k]), int(p[k]) - s) for s in range(n, n + 501) for k in [np.searchsorted(b, s)]])
     assert [w[0] for w in where[0]] == [w[0] for w in where[1]] == [w[0] for w in where[2]]
+
+
+def test_passages_below_the_length_are_reported(docs):
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 6))) for _ in range(n))
+    fifty_one, fifty, long = words(51), words(50), words(120)
+    rows = [(i, f"{words(30)} {p} {words(40)}") for i, p in enumerate([fifty_one, fifty_one, fifty, fifty, long, long, words(60)])] + [(9, None), (10, "")]
+    got = {r.doc_id: (r.n_passages, r.n_removed > 0) for r in repeated_bytes(docs(rows), passage=(200, 50)).collect()}
+    assert got == {0: (1, False), 1: (1, False), 2: (0, False), 3: (0, False), 4: (1, True), 5: (1, True), 6: (0, False), 9: (0, False), 10: (0, False)}
+    plain = repeated_bytes(docs(rows))
+    assert "n_passages" not in plain.columns
+
+
+def test_batches_cut_at_text_ends():
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 123, n).astype(np.uint8) for n in (0, 399, 400, 401, 0, 5000, 90)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    together = list(zip(*(x.tolist() for x in anchors(np.concatenate(texts), N, offsets)), strict=True))
+    single = [(h, p + o, a + o, b + o) for t, o in zip(texts, offsets.tolist(), strict=False) for h, p, a, b in zip(*(x.tolist() for x in anchors(t, N)), strict=True)]
+    assert together == single
