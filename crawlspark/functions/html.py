@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import html_unescape, not_empty, or_empty, trim_ws
+from . import python_html
+from .text import html_unescape, not_empty, once, or_empty, trim_ws
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -25,18 +26,30 @@ def _tag(html: Column, element: str, attribute: str, value: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<{element}\b[^>]*\s{attribute}\s*=\s*[\"']?{quoted}[\"'\s/>][^>]*>|<{element}\b[^>]*\s{attribute}\s*=\s*[\"']?{quoted}>", 0)
 
 
+def _title(html: Column) -> Column:
+    return or_empty(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1))
+
+
+def _h1(html: Column) -> Column:
+    inner = F.regexp_extract(visible(html), r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)
+    return or_empty(F.regexp_replace(inner, r"(?s)<[^>]*>", ""))
+
+
+def _meta(html: Column, name: str, attribute: str = "name") -> Column:
+    return or_empty(_attribute(_tag(html, "meta", attribute, name), "content"))
+
+
 def title(html: Column) -> Column:
-    return trim_ws(html_unescape(or_empty(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1))))
+    return trim_ws(html_unescape(_title(html)))
 
 
 def h1(html: Column) -> Column:
-    inner = F.regexp_extract(visible(html), r"(?is)<h1\b[^>]*>(.*?)</h1>", 1)
-    return trim_ws(html_unescape(or_empty(F.regexp_replace(inner, r"(?s)<[^>]*>", ""))))
+    return trim_ws(html_unescape(_h1(html)))
 
 
 def meta(html: Column, name: str, attribute: str = "name") -> Column:
     """content of the first meta tag of that name; not trimmed."""
-    return html_unescape(or_empty(_attribute(_tag(html, "meta", attribute, name), "content")))
+    return html_unescape(_meta(html, name, attribute))
 
 
 def canonical(html: Column) -> Column:
@@ -48,37 +61,38 @@ def json_ld_scripts(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), 1)
 
 
+#: A script whose keys are all in one object, but for an author and a publisher without objects of their own.
+_FLAT = r'^\s*\{[^{}\[\]]*\}\s*$'
+_INNER = r'"(?:author|publisher)"\s*:\s*(?:\{[^{}\[\]]*\}|\[\s*(?:\{[^{}\[\]]*\}\s*,?\s*)*\])'
+
+
 def _last(values: Column) -> Column:
     """The last script's value that isn't empty wins."""
     return or_empty(F.get(F.reverse(F.filter(values, lambda x: or_empty(x) != "")), F.lit(0)))
 
 
-def _first_of(script: Column, path: str) -> Column:
-    """A key of the document, or of the first item of its graph that has the key; objects give NULL."""
-    in_graph = F.from_json(F.get_json_object(script, f"$.@graph[*].{path}"), "array<string>")
-    value = F.coalesce(F.get_json_object(script, f"$.{path}"), F.get(in_graph, F.lit(0)), F.get_json_object(script, f"$.@graph[*].{path}"))
-    return F.when(~or_empty(value).rlike(r"^\s*[\[{]"), F.regexp_replace(value, r'^"|"$', ""))
+def _author_names(script: Column) -> Column:
+    names = lambda raw: F.when(raw.rlike(r"^\s*\["), F.array_join(F.transform(F.from_json(raw, "array<struct<name:string>>"), lambda a: or_empty(a["name"])), ", ")).when(raw.rlike(r"^\s*\{"), F.get_json_object(raw, "$.name"))
+    return once(F.get_json_object(script, "$.author"), names)
 
 
-def _author_names(script: Column) -> Column:
-    raw = F.coalesce(F.get_json_object(script, "$.author"), F.get_json_object(script, "$.@graph[0].author"))
-    listed = F.transform(F.from_json(raw, "array<struct<name:string>>"), lambda a: or_empty(a["name"]))
-    people = F.filter(F.from_json(F.get_json_object(script, "$.@graph"), "array<struct<`@type`:string,name:string>>"), lambda p: p["@type"] == "Person")
-    from_graph = F.array_join(F.transform(people, lambda p: or_empty(p["name"])), ", ")
-    direct = F.when(raw.rlike(r"^\s*\["), F.array_join(listed, ", ")).when(raw.rlike(r"^\s*\{"), F.get_json_object(raw, "$.name"))
-    return F.coalesce(not_empty(direct), from_graph)
-
-
-def json_ld(html: Column) -> Column:
-    """Struct of publisher, dateModified, datePublished, authors, headline and alternateHeadline; keys of the document
-    and of its graph's items. ``python_html.schema_fields`` searches any depth."""
-    scripts = json_ld_scripts(html)
+def _flat_fields(scripts: Column) -> Column:
     publisher = lambda s: F.when(F.get_json_object(s, "$.publisher.@type") == "Organization", F.get_json_object(s, "$.publisher.name"))
-    fields = [_last(F.transform(scripts, publisher)).alias("publisher")]
-    named = lambda k: _last(F.transform(scripts, lambda s: _first_of(s, k))).alias(k)
-    fields += [named("dateModified"), named("datePublished"), _last(F.transform(scripts, _author_names)).alias("authors")]
-    fields += [named("headline"), named("alternateHeadline")]
-    return F.struct(*fields)
+    named = lambda k: _last(F.transform(scripts, lambda s: F.get_json_object(s, f"$.{k}"))).alias(k)
+    return F.struct(
+        _last(F.transform(scripts, publisher)).alias("publisher"), named("dateModified"), named("datePublished"),
+        _last(F.transform(scripts, _author_names)).alias("authors"), named("headline"), named("alternateHeadline"),
+    )
+
+
+def json_ld(scripts: Column) -> Column:
+    """Struct of publisher, dateModified, datePublished, authors, headline and alternateHeadline of a page's scripts.
+
+    Keys count at any depth. Pages whose scripts are all flat are read in the JVM; Python gets only the scripts of others.
+    """
+    deep = F.exists(scripts, lambda s: ~F.regexp_replace(s, _INNER, "").rlike(_FLAT))
+    searched = python_html.schema_fields(F.when(deep, scripts))
+    return F.when(deep, searched).otherwise(_flat_fields(scripts))
 
 
 def anchors(html: Column) -> Column:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
     """Strips all white space at both ends, not only spaces."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -27,11 +35,24 @@ def html_escape(c: Column) -> Column:
     return c
 
 
+#: The named characters of HTML 4, the apostrophe, and the space that doesn't break as a plain one: ';name=character' each.
+_NAMED = "".join(f";{name}={chr(point)}" for name, point in {**name2codepoint, "apos": ord("'"), "nbsp": ord(" ")}.items())
+#: What is between an ampersand and a semicolon: its code point, or its place among the named characters.
+_NUMBER = "cast(if(n rlike '^#[xX]', conv(substr(n, 3), 16, 10), substr(n, 2)) as int)"
+_BY_NUMBER = f"if({_NUMBER} between 1 and 1114111 and not {_NUMBER} between 55296 and 57343, decode(unhex(lpad(hex({_NUMBER}), 8, '0')), 'UTF-32'), null)"
+_PLACE = "instr('{0}', concat(';', n, '='))".format(_NAMED.replace("\\", "\\\\").replace("'", "\\'"))
+_BY_NAME = "if({0} > 0, substr('{1}', {0} + length(n) + 2, 1), null)".format(_PLACE, _NAMED.replace("\\", "\\\\").replace("'", "\\'"))
+_ENTITY = "'^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});'"
+_PIECE = (
+    f"p -> get(transform(array(regexp_extract(p, {_ENTITY}, 1)), n -> if(n = '', concat('&', p), "
+    f"coalesce(if(startswith(n, '#'), {_BY_NUMBER}, {_BY_NAME}) || substr(p, length(n) + 2), concat('&', p)))), 0)"
+)
+_DECODED = f"v -> if(contains(v, '&'), get(transform(array(split(v, '&')), s -> concat(s[0], array_join(transform(slice(s, 2, size(s)), {_PIECE}), ''))), 0), v)"
+
+
 def html_unescape(c: Column) -> Column:
-    """The named entities that mark-up needs, and the quote's number; the ampersand comes last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Entities by number, and by the names of HTML 4; what is no entity stays as it is. Each is decoded once."""
+    return F.get(F.call_function("transform", F.array(c), F.expr(_DECODED)), F.lit(0))
 
 
 def format_bytes(c: Column) -> Column:
@@ -46,6 +67,9 @@ def percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(done * 100.0 / total + 0.5)).otherwise(0).cast("long")
 
 
+# The patterns of bot names and file names, and the words of messages below.
+
+
 def bot_name(ua: Column, compat: bool = False) -> Column:
     """The crawler's product token in a User-Agent, else '*'. ``compat`` wants '(compatible;' with the bracket."""
     opening = r"\(compatible;" if compat else r"(?:\(|;\s*)compatible;"

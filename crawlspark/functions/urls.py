@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import not_empty
+from .text import not_empty, once
 
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.-]*://)(?:[^/?#@]*@)?([^/?#]+)"
@@ -55,32 +55,55 @@ def _without_dots(path: Column) -> Column:
         F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), empty,
         lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
     )
-    ended = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
-    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), ended).otherwise(path)
+    ended = lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(last.isin(".", "..") & (F.size(k) > 0), "/").otherwise(""))
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), once(kept, ended)).otherwise(path)
 
 
-def resolve(href: Column, base: Column) -> Column:
-    """The absolute URL of a reference on the page ``base``; NULL if it can't be resolved."""
-    href = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    root = origin(base)
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+def base_parts(base: Column) -> Column:
+    """What ``resolve_on`` needs of a page's URL, to be computed once a page."""
     plain = strip_fragment(base)
     path = F.regexp_extract(plain, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*([^?]*)", 1)
-    folder = F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise("/")
-    joined = (
-        F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("?"), F.concat(F.regexp_replace(plain, r"(?s)\?.*$", ""), href))
-        .when(href.startswith("#"), F.concat(plain, href))
-        .when(href == "", plain)
-        .otherwise(F.concat(root, folder, href))
-    )
-    top = origin(joined)
+    return F.struct(
+        origin(base).alias("root"), host(base).alias("host"), plain.alias("plain"),
+        F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1).alias("scheme"),
+        F.regexp_replace(plain, r"(?s)\?.*$", "").alias("no_query"),
+        F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise("/").alias("folder"),
+    )
+
+
+def _written_out(joined: Column) -> Column:
+    """A URL with its origin in lower case, without dots in the path; others as they are."""
     rest = F.regexp_extract(joined, r"(?s)^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     tail = F.regexp_extract(joined, r"(?s)^[^?#]*(.*)$", 1)
-    whole = F.concat(top, F.when(rest == "", "/").otherwise(_without_dots(rest)), tail)
-    return F.when(top.isNull(), joined).otherwise(whole)
+    path = once(rest, lambda r: F.when(r == "", "/").otherwise(_without_dots(r)))
+    return F.coalesce(F.concat(origin(joined), path, tail), joined)
+
+
+def resolve_on(href: Column, parts: Column) -> Column:
+    """As ``resolve``, with the ``base_parts`` of the page."""
+
+    def joined(h: Column) -> Column:
+        return (
+            F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(parts["scheme"], h))
+            .when(h.startswith("/"), F.concat(parts["root"], h))
+            .when(h.startswith("?"), F.concat(parts["no_query"], h))
+            .when(h.startswith("#"), F.concat(parts["plain"], h))
+            .when(h == "", parts["plain"])
+            .otherwise(F.concat(parts["root"], parts["folder"], h))
+        )
+
+    clean = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    return once(once(clean, joined), _written_out)
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """The absolute URL of a reference on the page ``base``; NULL if it can't be resolved.
+
+    Not as the URL standard has it: nothing is percent-encoded, user information is dropped, a backslash is no slash, and
+    a scheme without slashes (http:p) is no relative reference.
+    """
+    return once(base_parts(base), lambda parts: resolve_on(href, parts))
 
 
 def to_filename(url: Column) -> Column:

@@ -5,23 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import follow, html, urls
+from ..functions import fetch, follow, urls
+from ..functions.text import or_empty
 
 
-def page_links(html_col: Column, base: Column, robots: Column, header: Column, scope: str = "all", start_host: str | None = None, strip: bool = True) -> Column:
-    """array<struct<url, follow, directive_source>> of a page: resolved http links, the first occurrence of a URL counts.
+def page_links(anchors: Column, parts: Column, directive: Column, scope: str = "all", start_host: str | None = None, strip: bool = True) -> Column:
+    """array<struct<url, d>> of a page's links to http URLs, in order; d has follow and directive_source.
 
-    scope: 'all', 'page_host' (links to the page's own host) or 'start_host' (to ``start_host``).
+    anchors: html.anchors of the page; parts: urls.base_parts of its URL; directive: follow.of_page. scope: 'all',
+    'page_host' (links to the page's own host) or 'start_host' (to ``start_host``).
     """
-    raw = F.filter(html.anchors(html_col), lambda a: ~urls.skipped(a["href"]))
-    target = lambda a: urls.strip_fragment(urls.resolve(a["href"], base)) if strip else urls.resolve(a["href"], base)
-    found = F.transform(raw, lambda a: F.struct(target(a).alias("url"), a["rel"].alias("rel")))
+    raw = F.filter(anchors, lambda a: ~urls.skipped(a["href"]))
+    target = lambda a: urls.strip_fragment(urls.resolve_on(a["href"], parts)) if strip else urls.resolve_on(a["href"], parts)
+    found = F.transform(raw, lambda a: F.struct(target(a).alias("url"), follow.resolved(a["rel"], directive).alias("d")))
     found = F.filter(found, lambda x: F.coalesce(urls.is_http(x["url"]) & urls.host(x["url"]).isNotNull(), F.lit(False)))
     if scope == "page_host":
-        found = F.filter(found, lambda x: urls.host(x["url"]) == urls.host(base))
+        found = F.filter(found, lambda x: urls.host(x["url"]) == parts["host"])
     elif scope == "start_host":
         found = F.filter(found, lambda x: urls.host(x["url"]) == F.lit(start_host))
-    return F.transform(found, lambda x: F.struct(x["url"].alias("url"), follow.resolved(x["rel"], robots, header).alias("d")))
+    return found
+
+
+def every_link(records: DataFrame, scope: str = "all", start_host: str | None = None, header: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(source, links): the links of the pages that were answered well and are HTML; others have none.
+
+    What concerns the whole page is computed before its anchors are gone through.
+    """
+    linking = records.where(F.coalesce("fetch_ok", F.lit(False)) & or_empty(F.col("fetch_contentType")).contains("text/html"))
+    sent = header if header is not None else F.lit(None).cast("string")
+    page = linking.select(*carry, F.col("href").alias("source"), "anchors", urls.base_parts(F.col("href")).alias("__base"), follow.of_page(F.col("robots"), sent).alias("__page"))
+    return page.select(*carry, "source", page_links(F.col("anchors"), F.col("__base"), F.col("__page"), scope, start_host).alias("links"))
 
 
 def edges(records: DataFrame, scope: str = "all", start_host: str | None = None, header: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -29,10 +42,12 @@ def edges(records: DataFrame, scope: str = "all", start_host: str | None = None,
 
     Everything happens within a page's row; nothing is shuffled.
     """
-    listed = records.select(*carry, F.col("href").alias("source"), page_links(F.col("html"), F.col("href"), F.col("robots"), header if header is not None else F.lit(None).cast("string"), scope, start_host).alias("l"))
-    targets = listed.withColumn("u", F.transform("l", lambda x: x["url"]))
-    exploded = targets.select(*carry, "source", "u", F.posexplode("l").alias("pos", "x"))
-    first = exploded.where(F.array_position("u", F.col("x.url")) == F.col("pos") + 1)
+    listed = every_link(records, scope, start_host, header, carry)
+    targets = listed.select(*carry, "source", "links", F.transform("links", lambda x: x["url"]).alias("u"))
+    # The outer form, and no condition that is null for a null: from these the optimiser infers filters that it moves
+    # below, where every page is parsed once more.
+    exploded = targets.select(*carry, "source", "u", F.posexplode_outer("links").alias("pos", "x"))
+    first = exploded.where(F.coalesce(F.array_position("u", F.col("x.url")) == F.col("pos") + 1, F.lit(False)))
     return first.select(*carry, "source", F.col("x.url").alias("target"), F.col("x.d.follow").alias("follow"), F.col("x.d.directive_source").alias("directive_source"), "pos")
 
 

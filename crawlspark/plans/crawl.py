@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import robots as robots_txt
 from ..sources.seeds import regex_filter
-from ..storage import Scratch
+from ..storage import Scratch, exists
 from .config import CrawlConfig
 
 
+#: A frontier of up to so many bytes of URLs is broadcast to the tables that it meets; a larger one is shuffled.
+BROADCAST_BYTES = 8 << 20
+LEVEL = "url string, depth int, crawlable boolean, is_outbound boolean"
+
+
 class CrawlJob:
-    """A running crawl; ``stop`` ends it after the level at hand. What it has visited can be handed to another job."""
+    """A running crawl; ``stop`` ends it after the level at hand. What it has visited can be handed to another job.
 
-    def __init__(self):
+    With a ``path`` in a shared store the levels are written there, and a new job over the same path, in another process,
+    goes on from the levels that were written whole.
+    """
+
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None):
         self.stopped = False
+        self.path = path
         self.levels: list[DataFrame] = []
+        self._places: list[str] = []
+        while path and exists(spark, f"{self.level_path(len(self.levels))}/_SUCCESS"):
+            self.add(spark, self.level_path(len(self.levels)))
+
+    def level_path(self, depth: int) -> str:
+        return f"{self.path.rstrip('/')}/level-{depth:05d}"
+
+    def add(self, spark: SparkSession, place: str) -> None:
+        """Takes a written level."""
+        self._places.append(place)
+        self.levels.append(spark.read.schema(LEVEL).parquet(place))
 
     def stop(self) -> None:
         self.stopped = True
 
     def visited(self) -> DataFrame:
-        out = self.levels[0]
-        for level in self.levels[1:]:
-            out = out.unionByName(level)
-        return out
+        return self.levels[0].sparkSession.read.schema(LEVEL).parquet(*self._places)
 
 
 def crawl(
@@ -37,10 +55,12 @@ def crawl(
     seeds: (url); edges: (source, target); known: (href) of the snapshot; robots: (origin, text). Depth is the least
     number of links. The cap takes pages by (depth, url). Per level: filter, drop what was seen, cap. A job that has
     visited pages already goes on from its last level.
+
+    What doesn't depend on the level is filtered once, in the written graph. A level then costs a scan of the graph and
+    of the visited URLs while it is small enough to be broadcast, and their shuffle when it isn't.
     """
     job = job or CrawlJob()
     scratch = Scratch(seeds.sparkSession)
-    graph = edges.select("source", "target")
     start_hosts = seeds.select(urls.host(F.col("url")).alias("host")).distinct()
 
     def admitted(found: DataFrame) -> DataFrame:
@@ -52,45 +72,61 @@ def crawl(
             found = found.join(start_hosts, urls.host(F.col("url")) == F.col("host"), "left_semi")
         return found
 
+    def measured(table: DataFrame) -> tuple[int, bool]:
+        """Rows of a written table, and whether its URLs are few enough to be broadcast."""
+        n, size = table.agg(F.count(F.lit(1)), F.sum(F.octet_length("url") + 16)).first()
+        return n, (size or 0) <= BROADCAST_BYTES
+
+    def met_with(table: DataFrame, small: bool) -> DataFrame:
+        return F.broadcast(table) if small else table
+
     def gated(level: DataFrame) -> DataFrame:
         """crawlable by robots.txt; null where that isn't asked."""
         if robots is None:
             return level.withColumn("crawlable", F.lit(None).cast("boolean"))
         return robots_txt.allowed(level, robots, bot).withColumnRenamed("allowed", "crawlable")
 
-    def level_of(found: DataFrame, depth: int, left: int | None, outbound: bool = False) -> DataFrame:
-        level = found.select("url").distinct()
-        if job.levels:
-            level = level.join(job.visited().select("url"), "url", "left_anti")
-        if left is not None:
+    def add_level(found: DataFrame, depth: int, left: int | None, outbound: bool = False) -> tuple[int, bool]:
+        """Writes the next level, unless it is empty, and says what ``measured`` says of it."""
+        level = scratch.save(found.select("url").distinct(), "found")
+        n, small = measured(level)
+        if job.levels and n:
+            seen = job.visited().select("url").join(met_with(level, small), "url", "left_semi")  # no more than was found
+            level = level.join(met_with(seen, small), "url", "left_anti")
+        if left is not None and n > left:
             level = scratch.save(level, "uncapped")
             if level.count() > left:  # only then is anything sorted
                 level = level.orderBy("url").limit(left)
+        if not n and job.levels:
+            return 0, True
         level = gated(level).withColumn("depth", F.lit(depth)).withColumn("is_outbound", F.lit(True) if outbound else F.lit(None).cast("boolean"))
-        return scratch.save(level.select("url", "depth", "crawlable", "is_outbound"), "level")
+        level = level.select("url", "depth", "crawlable", "is_outbound")
+        place = job.level_path(depth) if job.path else scratch.path("level")
+        level.write.mode("overwrite").parquet(place)
+        job.add(seeds.sparkSession, place)
+        return measured(job.levels[-1])
 
     capped = config.crawl_mode == "recursive"
-    taken = sum(level.count() for level in job.levels)
     if not job.levels:
         first = regex_filter(seeds, config.filter_regex, config.filter_type, on_invalid=config.on_invalid) if config.crawl_mode == "list" else seeds
         if config.known_only:
             first = first.join(known.select(F.col("href").alias("url")), "url", "left_semi")
-        job.levels.append(level_of(first, 0, config.max_pages if capped else None))
-        taken = job.levels[0].count()
+        add_level(first, 0, config.max_pages if capped else None)
+    taken = job.visited().count()
+    n, small = measured(job.levels[-1])
     expands = config.crawl_mode == "recursive" or config.fetch_outbound
-    while expands and not job.stopped and (not capped or taken < config.max_pages):
+    if expands:
+        graph = admitted(edges.select("source", F.col("target").alias("url")))
+        graph = scratch.save(graph.distinct(), "graph")
+    while expands and n and not job.stopped and (not capped or taken < config.max_pages):
         depth = len(job.levels)
         if max_depth is not None and depth > max_depth:
             break
         last = job.levels[-1]
         if config.respect_robots:
             last = last.where(~F.col("crawlable").eqNullSafe(F.lit(False)))
-        found = admitted(last.select(F.col("url").alias("source")).join(graph, "source").select(F.col("target").alias("url")))
-        level = level_of(found, depth, config.max_pages - taken if capped else None, outbound=config.crawl_mode == "list")
-        n = level.count()
-        if not n:
-            break
-        job.levels.append(level)
+        found = graph.join(met_with(last.select(F.col("url").alias("source")), small), "source", "left_semi")
+        n, small = add_level(found, depth, config.max_pages - taken if capped else None, outbound=config.crawl_mode == "list")
         taken += n
         if config.crawl_mode == "list":
             break  # links of listed pages are fetched, but not followed

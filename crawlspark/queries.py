@@ -11,7 +11,7 @@ from . import catalog, schedule
 from .functions import fetch, html, python_html, text, urls
 from .operators import issues, links, results, robots, stats
 from .plans.config import CrawlConfig
-from .plans.crawl import crawl
+from .plans.crawl import CrawlJob, crawl
 from .sources import seeds, snapshot
 from .sources.snapshot import DECORATED
 from .storage import Scratch
@@ -72,16 +72,18 @@ rec AS (
     {_meta("keywords")} AS keyword, {_meta("description")} AS description, {_meta("robots")} AS robots,
     {_meta("og:image", "property")} AS og_image, {_meta("og:title", "property")} AS og_title,
     {_meta("og:site_name", "property")} AS og_site_name, {_meta("og:description", "property")} AS og_description,
-    CASE WHEN (j->'publisher'->>'@type') = 'Organization' THEN (j->'publisher'->>'name') ELSE '' END AS schema_publisher,
-    '' AS "schema_dateModified", coalesce((j->>'datePublished'), '') AS "schema_datePublished",
-    coalesce(array_to_string(json_extract_string(j, '$.author[*].name'), ', '), '') AS schema_authors,
-    coalesce((j->>'headline'), '') AS schema_headline, '' AS "schema_alternateHeadline"
+    CASE WHEN (json_extract(j, '$..publisher')[1]->>'@type') = 'Organization' THEN json_extract(j, '$..publisher')[1]->>'name' ELSE '' END AS schema_publisher,
+    coalesce(json_extract_string(j, '$..dateModified')[1], '') AS "schema_dateModified", coalesce(json_extract_string(j, '$..datePublished')[1], '') AS "schema_datePublished",
+    CASE WHEN json_type(json_extract(j, '$..author')[1]) = 'ARRAY' THEN array_to_string(json_extract_string(json_extract(j, '$..author')[1], '$[*].name'), ', ')
+         WHEN json_type(json_extract(j, '$..author')[1]) = 'OBJECT' THEN json_extract(j, '$..author')[1]->>'name'
+         ELSE coalesce(array_to_string(list_transform(list_filter(json_extract(j, '$."@graph"[*]'), lambda x: (x->>'@type') = 'Person'), lambda x: x->>'name'), ', '), '') END AS schema_authors,
+    coalesce(json_extract_string(j, '$..headline')[1], '') AS schema_headline, coalesce(json_extract_string(j, '$..alternateHeadline')[1], '') AS "schema_alternateHeadline"
   FROM ld)"""
 )
 _EDGES = (
     _RECORDS
     + rf""", tags AS (SELECT href AS source, host, robots, unnest(regexp_extract_all({_VISIBLE}, '(?is)<(?:a|area)\s[^>]*>')) AS tag,
-    unnest(generate_series(0, len(regexp_extract_all({_VISIBLE}, '(?is)<(?:a|area)\s[^>]*>')) - 1)) AS p FROM rec),
+    unnest(generate_series(0, len(regexp_extract_all({_VISIBLE}, '(?is)<(?:a|area)\s[^>]*>')) - 1)) AS p FROM rec WHERE fetch_ok AND "fetch_contentType" LIKE '%text/html%'),
 raw AS (SELECT source, host, robots, p, {_UNESCAPE.format(r"regexp_extract(tag, '\shref=\"([^\"]*)\"', 1)")} AS ref, regexp_extract(tag, '\srel=\"([^\"]*)\"', 1) AS rel FROM tags),
 res AS (SELECT *, regexp_replace(CASE WHEN starts_with(ref, '/') THEN regexp_extract(source, '^[a-z]+://[^/?#]+') || ref ELSE ref END, '#.*$', '') AS target FROM raw
   WHERE ref <> '' AND NOT starts_with(ref, '#') AND NOT starts_with(ref, 'javascript:') AND NOT starts_with(ref, 'mailto:')),
@@ -222,7 +224,7 @@ def edge_follow(spark, d):
 @query("edge_first_wins", _EDGES + ", c AS (SELECT source, target, count(*) AS occurrences FROM dir GROUP BY ALL) SELECT source, target, follow FROM edges JOIN c USING (source, target) WHERE occurrences > 1")
 def edge_first_wins(spark, d):
     r = records(spark, d)
-    every = r.select(F.col("href").alias("source"), F.explode(links.page_links(F.col("html"), F.col("href"), F.col("robots"), F.lit(None).cast("string"))).alias("x"))
+    every = links.every_link(r).select("source", F.explode_outer("links").alias("x")).where("x is not null")
     often = every.groupBy("source", F.col("x.url").alias("target")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return links.edges(r).join(often, ["source", "target"], "left_semi").select("source", "target", "follow")
 
@@ -519,6 +521,29 @@ def crawl_hostname(spark, d):
     return _crawl(spark, d, CrawlConfig(crawl_mode="recursive", max_pages=10**9, stay_on_hostname=True), seed="page_id = 10")
 
 
+_ALLOWED = r"""CASE WHEN length(origin) % 4 = 1 THEN true WHEN length(origin) % 2 = 1 THEN NOT starts_with(path, '/en/')
+  WHEN starts_with(path, '/es/2') THEN true WHEN starts_with(path, '/es/') THEN false WHEN regexp_matches(path, '^/fr/.*5$') THEN false ELSE true END"""
+_OK = rf", ok AS (SELECT href FROM (SELECT href, regexp_extract(href, '^[a-z]+://[^/?#]+') AS origin, regexp_extract(href, '^[a-z]+://[^/?#]+(.*)$', 1) AS path FROM rec) WHERE {_ALLOWED})"
+
+
+@query("crawl_robots", _reach("page_id = 0", more="reach.url IN (SELECT href FROM ok)").replace(", g AS (", _OK + ", g AS (", 1) + " SELECT url, depth, url IN (SELECT href FROM ok) AS crawlable FROM crawled")
+def crawl_robots(spark, d):
+    r, e = written(spark, d)
+    texts = _texts(r).select("origin", "text")
+    seed = r.where("page_id = 0").select(F.col("href").alias("url"))
+    return crawl(seed, e, r.select("href"), CrawlConfig(crawl_mode="recursive", max_pages=10**9), robots=texts).select("url", "depth", "crawlable")
+
+
+@query("crawl_resumed", _reach("page_id = 0") + " SELECT url, depth FROM crawled")
+def crawl_resumed(spark, d):
+    """A crawl that ends after two levels, and another job that goes on from what it has written."""
+    r, e = written(spark, d)
+    seed, known = r.where("page_id = 0").select(F.col("href").alias("url")), r.select("href")
+    config, path = CrawlConfig(crawl_mode="recursive", max_pages=10**9), Scratch(spark).path("job")
+    crawl(seed, e, known, config, job=CrawlJob(spark, path), max_depth=2)
+    return crawl(seed, e, known, config, job=CrawlJob(spark, path)).select("url", "depth")
+
+
 @query("crawl_list", _RECORDS + " SELECT href AS url, 0 AS depth FROM rec WHERE page_id % 9 = 4")
 def crawl_list(spark, d):
     return _crawl(spark, d, CrawlConfig(crawl_mode="list"), seed="page_id % 9 = 4")
