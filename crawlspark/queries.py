@@ -137,8 +137,8 @@ _PLAIN = {
         "CASE WHEN b >= 1048576 THEN printf('%.1f MB', b / 1048576.0) WHEN b >= 1024 THEN CAST(floor(b / 1024.0 + 0.5) AS BIGINT) || ' KB' ELSE b || ' B' END AS size",
     ),
     "html_escape": (
-        lambda: text.html_escape(F.substring("html", 1, 300)).alias("escaped"),
-        "replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped",
+        lambda: text.html_escape(F.col("html")).alias("escaped"),
+        "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped",
     ),
     "html_escape_whole": (
         lambda: text.html_escape(F.col("html")).alias("escaped"),
@@ -544,21 +544,13 @@ def crawl_resumed(spark, d):
     return crawl(seed, e, known, config, job=CrawlJob(spark, path)).select("url", "depth")
 
 
-@query("crawl_list", _RECORDS + " SELECT href AS url, 0 AS depth FROM rec WHERE page_id % 9 = 4")
-def crawl_list(spark, d):
-    return _crawl(spark, d, CrawlConfig(crawl_mode="list"), seed="page_id % 9 = 4")
-
-
-@query("crawl_outbound", _EDGES + ", s AS (SELECT href FROM rec WHERE page_id % 9 = 4) SELECT href AS url, 0 AS depth FROM s UNION ALL (SELECT DISTINCT target, 1 FROM edges WHERE source IN (SELECT href FROM s) AND target IN (SELECT href FROM rec) AND target NOT IN (SELECT href FROM s))")
-def crawl_outbound(spark, d):
-    return _crawl(spark, d, CrawlConfig(crawl_mode="list", fetch_outbound=True), seed="page_id % 9 = 4")
-
-
+@query("crawl_list", _RECORDS + " SELECT href AS url, 0 AS depth FROM rec")
 @query("crawl_list_all", _RECORDS + " SELECT href AS url, 0 AS depth FROM rec")
 def crawl_list_all(spark, d):
     return _crawl(spark, d, CrawlConfig(crawl_mode="list"), seed="true")
 
 
+@query("crawl_outbound", _EDGES + " SELECT href AS url, 0 AS depth FROM rec UNION ALL (SELECT DISTINCT target, 1 FROM edges WHERE target IN (SELECT href FROM rec) AND target NOT IN (SELECT href FROM rec))")
 @query("crawl_outbound_all", _EDGES + " SELECT href AS url, 0 AS depth FROM rec UNION ALL (SELECT DISTINCT target, 1 FROM edges WHERE target IN (SELECT href FROM rec) AND target NOT IN (SELECT href FROM rec))")
 def crawl_outbound_all(spark, d):
     return _crawl(spark, d, CrawlConfig(crawl_mode="list", fetch_outbound=True), seed="true")
@@ -597,24 +589,6 @@ def next_fire(spark, d):
     return _schedules(spark, d).select("page_id", schedule.next_fire(c("now"), c("minutes"), c("time"), c("day")).alias("next_run"))
 
 
-_FILES_SQL = "SELECT CAST(page_id % 7 AS VARCHAR) AS id, count(*) AS files, sum(octet_length(encode(html))) AS bytes FROM pages WHERE page_id % 7 > 1 GROUP BY ALL"
-
-
-def _files(spark, d) -> DataFrame:
-    return catalog.archive_stats(pages(spark, d).where("page_id % 7 > 1").select((F.col("page_id") % 7).cast("string").alias("id"), F.octet_length("html").cast("long").alias("length")))
-
-
-@query("archive_stats", f"SELECT id, files, CAST(bytes AS BIGINT) AS bytes FROM ({_FILES_SQL})")
-def archive_stats(spark, d):
-    return _files(spark, d)
-
-
-@query("catalog_orphans", f"WITH f AS ({_FILES_SQL}), m(id, name) AS (VALUES ('1', 'a'), ('2', 'b'), ('3', 'c')) SELECT id, name, name IS NULL AS orphan, files, CASE WHEN name IS NULL THEN 'delete files' WHEN files IS NULL THEN 'rename, delete' ELSE 'rename, export, delete files, delete both' END AS actions FROM m FULL JOIN f USING (id)")
-def catalog_orphans(spark, d):
-    meta = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c")], "id string, name string")
-    return catalog.manager_view(meta, _files(spark, d)).select("id", "name", "orphan", "files", "actions")
-
-
 _ALL_FILES_SQL = "SELECT CAST(page_id % 7 AS VARCHAR) AS id, count(*) AS files, sum(octet_length(encode(html))) AS bytes FROM pages GROUP BY ALL"
 
 
@@ -622,11 +596,13 @@ def _all_files(spark, d) -> DataFrame:
     return catalog.archive_stats(pages(spark, d).select((F.col("page_id") % 7).cast("string").alias("id"), F.octet_length("html").cast("long").alias("length")))
 
 
+@query("archive_stats", f"SELECT id, files, CAST(bytes AS BIGINT) AS bytes FROM ({_ALL_FILES_SQL})")
 @query("archive_stats_all", f"SELECT id, files, CAST(bytes AS BIGINT) AS bytes FROM ({_ALL_FILES_SQL})")
 def archive_stats_all(spark, d):
     return _all_files(spark, d)
 
 
+@query("catalog_orphans", f"WITH f AS ({_ALL_FILES_SQL}), m(id, name) AS (VALUES ('1', 'a'), ('2', 'b'), ('9', 'c')) SELECT id, name, name IS NULL AS orphan, files, CASE WHEN name IS NULL THEN 'delete files' WHEN files IS NULL THEN 'rename, delete' ELSE 'rename, export, delete files, delete both' END AS actions FROM m FULL JOIN f USING (id)")
 @query("catalog_orphans_all", f"WITH f AS ({_ALL_FILES_SQL}), m(id, name) AS (VALUES ('1', 'a'), ('2', 'b'), ('9', 'c')) SELECT id, name, name IS NULL AS orphan, files, CASE WHEN name IS NULL THEN 'delete files' WHEN files IS NULL THEN 'rename, delete' ELSE 'rename, export, delete files, delete both' END AS actions FROM m FULL JOIN f USING (id)")
 def catalog_orphans_all(spark, d):
     meta = spark.createDataFrame([("1", "a"), ("2", "b"), ("9", "c")], "id string, name string")
