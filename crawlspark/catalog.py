@@ -77,9 +77,9 @@ def write_archive(records: DataFrame, root: str, crawl_id: str) -> None:
 
 
 def export_csv(results: DataFrame, path: str) -> None:
-    """All rows and columns but the stored page's, with the table's titles."""
+    """All rows and columns but the stored page's, with the table's titles, as a folder of parts that each have the header."""
     titled = [F.col(c).alias(t) for t, c in COLUMNS if c in results.columns and c != "opfs_path"]
-    results.select(*titled).coalesce(1).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    results.select(*titled).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
 def export_zip(archive_rows: DataFrame, path: str) -> int:

@@ -42,3 +42,15 @@ def delivery_type(transfer_size: Column, duration: Column) -> Column:
 
 def encoded_size(measured: Column, content_length: Column, raw: Column) -> Column:
     return F.coalesce(F.nullif(measured, F.lit(0)), F.nullif(content_length, F.lit(0)), raw)
+
+
+def header(headers: Column, name: str) -> Column:
+    """A header's value; names are the same in any case. The first counts, an empty one is NULL."""
+    fitting = F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name.lower())
+    return not_empty(trim_ws(F.get(fitting, F.lit(0))["value"]))
+
+
+def user_agent_rule(user_agent: Column) -> Column:
+    """The request headers that a crawl sets: its User-Agent, or none if there is none to set."""
+    named = not_empty(user_agent)
+    return F.when(named.isNotNull(), F.create_map(F.lit("User-Agent"), named)).otherwise(F.create_map().cast("map<string,string>"))

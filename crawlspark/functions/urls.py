@@ -106,6 +106,20 @@ def resolve(href: Column, base: Column) -> Column:
     return once(base_parts(base), lambda parts: resolve_on(href, parts))
 
 
+def absolute_link(link: Column, start: Column, stay_on_hostname: bool = False) -> Column:
+    """A link found by a crawl as the address to fetch: resolved on the start URL, without fragment; '' if it is none.
+
+    Links that an extension's page has given its own scheme and host get those of the start URL (not its port).
+    """
+    own = F.concat(F.regexp_extract(start, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.lit("//"), host(start))
+    here = F.coalesce(F.concat(own, F.regexp_extract(link, r"(?is)^chrome-extension://[^/?#]*(.*)$", 1)), link)
+    named = F.when(link.rlike("(?i)^chrome-extension:"), here).otherwise(link)
+    found = F.trim(strip_fragment(resolve(named, start)))
+    if stay_on_hostname:
+        found = F.when(host(found) == host(start), found)
+    return F.coalesce(F.when(link != "", found), F.lit(""))
+
+
 def to_filename(url: Column) -> Column:
     """A file name for an archived page; names may collide."""
     tail = F.concat(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)", 1), after_host(url))

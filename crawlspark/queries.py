@@ -144,7 +144,6 @@ _PLAIN = {
         lambda: text.html_escape(F.col("html")).alias("escaped"),
         "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped",
     ),
-    "crc32": (lambda: F.crc32(F.col("url").cast("binary")).alias("crc"), None),
     "resolve_relative": (
         lambda: urls.resolve(F.concat(F.lit("./a/../b?x="), F.col("page_id").cast("string")), F.col("url")).alias("resolved"),
         "regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || 'b?x=' || page_id AS resolved",

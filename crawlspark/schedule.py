@@ -55,6 +55,40 @@ def due(schedules: DataFrame, now: Column) -> DataFrame:
     return schedules.where(F.col("enabled") & ~F.coalesce("running", F.lit(False)) & (F.col("next_run") <= now))
 
 
+def with_next_run(schedules: DataFrame, alarms: DataFrame) -> DataFrame:
+    """Schedules with ``next_run`` from (id, next_run) alarms; NULL for those that are paused or have no alarm."""
+    joined = schedules.drop("next_run").join(alarms.select("id", "next_run"), "id", "left")
+    return joined.withColumn("next_run", F.when(F.col("enabled"), F.col("next_run")))
+
+
+def view(schedules: DataFrame, alarms: DataFrame) -> DataFrame:
+    """(id, property, interval, last_run, last_stats, next_run, status) as the schedule page shows them.
+
+    schedules: id, minutes, time, day, enabled, running, last_run, name, ok, total (of the last run), spider, sitemap,
+    urls (the list's text) and template. A schedule without times is daily, at midnight, on Mondays if weekly.
+    """
+    c, dash = F.col, F.lit("—")
+    time, day = F.coalesce(not_empty(c("time")), F.lit("00:00")), F.coalesce("day", F.lit(1))
+    minutes = F.coalesce(F.nullif(c("minutes"), F.lit(0)), F.lit(1440))
+    shown = lambda t: F.coalesce(F.date_format(t, "yyyy-MM-dd HH:mm:ss"), dash)
+    ran = ~F.coalesce("running", F.lit(False)) & c("total").isNotNull()
+    return with_next_run(schedules, alarms).select(
+        "id", property_label(c("name"), c("spider"), c("sitemap"), c("urls"), c("template")).alias("property"),
+        interval_text(minutes, time, day).alias("interval"), shown(c("last_run")).alias("last_run"),
+        F.when(ran, F.format_string("(%d/%d ok)", c("ok"), c("total"))).alias("last_stats"),
+        shown(c("next_run")).alias("next_run"), state(c("running"), c("enabled")).alias("status"),
+    )
+
+
+def nested_records(flat: DataFrame) -> DataFrame:
+    """The flat records of a scheduled run (url, status, ok, timestamp, title, …) in the form that saved crawls have."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    facts = F.struct("status", "ok", "timestamp", F.lit(False).alias("redirected"), F.lit("").alias("statusText"))
+    og = F.struct(F.coalesce("ogTitle", F.lit("")).alias("title"), F.coalesce("ogDescription", F.lit("")).alias("description"))
+    rest = [c for c in ("error", "opfs_path") if c in flat.columns]
+    return flat.select(F.col("url").alias("href"), facts.alias("fetch"), *[text(c) for c in ("title", "description", "h1", "canonical")], og.alias("og"), *rest)
+
+
 def upsert(schedules: DataFrame, changed: DataFrame) -> DataFrame:
     """The table with rows of the same id replaced."""
     return schedules.join(changed.select("id"), "id", "left_anti").unionByName(changed)
@@ -69,15 +103,13 @@ def toggle(schedules: DataFrame, id_: str) -> DataFrame:
 
 
 def finish_run(schedules: DataFrame, id_: str, finished: Column, summary: DataFrame) -> DataFrame:
-    """Writes a run's summary (one row: total, ok, errors, name) back; no results, no crawl key."""
-    one = F.broadcast(summary.select(F.lit(id_).alias("id"), "total", "ok", "errors", "name"))
-    joined = schedules.drop("total", "ok", "errors", "name", "crawl_key").join(one, "id", "left")
-    mine = F.col("id") == id_
-    return joined.withColumns({
-        "last_run": F.when(mine, finished).otherwise(F.col("last_run")),
-        "running": F.when(mine, False).otherwise(F.col("running")),
-        "crawl_key": F.when(mine & (F.col("total") > 0), F.concat(F.lit("crawl-"), F.unix_millis(finished).cast("string"))),
-    })
+    """Writes a run's summary (one row: total, ok, errors, name) back; no results, no crawl key. Other schedules stay as they are."""
+    fields = ("total", "ok", "errors", "name")
+    one = F.broadcast(summary.select(F.lit(id_).alias("id"), F.struct(*fields).alias("__run")))
+    mine, run = F.col("id") == id_, F.col("__run")
+    key = F.when(run["total"] > 0, F.concat(F.lit("crawl-"), F.unix_millis(finished).cast("string")))
+    changed = {c: run[c] for c in fields} | {"last_run": finished, "running": F.lit(False), "crawl_key": key}
+    return schedules.join(one, "id", "left").withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in changed.items()}).drop("__run")
 
 
 class JobQueue:

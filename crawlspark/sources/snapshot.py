@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fetch, html, urls
+from ..functions.text import iso_timestamp
 
 #: Adds responses, head fields and links between pages to a plain table of pages, by arithmetic on page_id. The text is
 #: valid in Spark and DuckDB.
@@ -71,8 +72,60 @@ def responses(pages: DataFrame) -> DataFrame:
     )
 
 
-def records(responses: DataFrame) -> DataFrame:
-    """The page record: response facts, head fields, Open Graph, structured data and raw links."""
+#: Columns that ``fetched`` looks for in a table of fetches, beside url and html (or body).
+FETCH_COLUMNS = {
+    "status": "int", "status_text": "string", "headers": "map<string,string>", "final_url": "string", "duration": "int", "transfer_size": "long",
+    "encoded_size": "long", "protocol": "string", "timestamp": "timestamp", "crawlable": "boolean",
+}
+
+
+def fetched(table: DataFrame, charset: str = "utf-8") -> DataFrame:
+    """Responses from a table of one's own: url, and html (text) or body (bytes in ``charset``), and any of FETCH_COLUMNS.
+
+    What the table lacks is NULL, but for the status (200 where there is a page, else 0). Other columns pass through,
+    unless they have a name of the result. A URL keeps its query and loses its fragment.
+    """
+    plain = table if "html" in table.columns else table.withColumn("html", F.decode("body", charset))
+    given = lambda c: (F.col(c) if c in table.columns else F.lit(None)).cast(FETCH_COLUMNS[c])
+    href, headers = urls.strip_fragment(F.col("url")), given("headers")
+    status = F.coalesce(given("status"), F.when(F.col("html").isNotNull(), 200).otherwise(0))
+    size = F.octet_length("body" if "body" in table.columns else "html").cast("long")
+    final = F.nullif(given("final_url"), href)
+    out = {
+        "href": href, "host": urls.host(href), "html": F.coalesce("html", F.lit("")), "crawlable": given("crawlable"),
+        "fetch_status": status, "fetch_statusText": F.coalesce(given("status_text"), F.lit("")), "fetch_ok": status.between(200, 299),
+        "fetch_redirected": final.isNotNull(), "fetch_finalUrl": final, "fetch_contentType": F.coalesce(fetch.header(headers, "content-type"), F.lit("")),
+        "fetch_duration": given("duration"), "fetch_decodedBodySize": size,
+        "fetch_encodedBodySize": fetch.encoded_size(given("encoded_size"), fetch.header(headers, "content-length").try_cast("long"), size),
+        "fetch_deliveryType": fetch.delivery_type(given("transfer_size"), given("duration")),
+        "fetch_contentEncoding": F.coalesce(fetch.header(headers, "content-encoding"), F.lit("")), "fetch_nextHopProtocol": given("protocol"),
+        "fetch_timestamp": iso_timestamp(given("timestamp")),
+        "x_robots": fetch.header(headers, "x-robots-tag"),
+    }
+    known = {c.lower() for c in [*out, *FETCH_COLUMNS, "url", "body"]}
+    others = [F.col(f"`{c}`") for c in table.columns if c.lower() not in known]
+    return plain.select(*others, *[c.alias(k) for k, c in out.items()])
+
+
+def latest_headers(events: DataFrame) -> DataFrame:
+    """(request_id, url, status, status_line, headers, timestamp): of each request the last event, by time and then URL."""
+    row = F.struct("url", "status", "status_line", "headers", "timestamp")
+    return events.groupBy("request_id").agg(F.max_by(row, F.struct("timestamp", "url")).alias("r")).select("request_id", "r.*")
+
+
+def settled(attempts: DataFrame, max_retries: int = 2) -> DataFrame:
+    """(url, attempts, ok): where the crawl leaves a URL, from a log of (url, attempt from 1, ok).
+
+    A failed fetch is repeated while there were fewer than ``max_retries`` attempts; the first good one ends it. Later
+    rows of the log, which such a crawl wouldn't have made, count for nothing.
+    """
+    tried = attempts.where(F.col("attempt") <= max(1, max_retries))
+    good = F.min(F.when(F.col("ok"), F.col("attempt")))
+    return tried.groupBy("url").agg(F.coalesce(good, F.max("attempt")).alias("attempts"), good.isNotNull().alias("ok"))
+
+
+def records(responses: DataFrame, readability: bool = False) -> DataFrame:
+    """The page record: response facts, head fields, Open Graph, structured data and raw links; the article's text if wanted."""
     page = F.col("html")
     fields = {name: html.meta(page, name) for name in ("description", "robots")}
     og = {f"og_{k}": html.meta(page, f"og:{k}", "property") for k in ("image", "title", "site_name", "description")}
@@ -82,6 +135,7 @@ def records(responses: DataFrame) -> DataFrame:
         html.title(page).alias("title"), html.h1(page).alias("h1"), html.canonical(page).alias("canonical"), html.meta(page, "keywords").alias("keyword"),
         *[c.alias(k) for k, c in {**fields, **og}.items()],
         *[F.col(f"__ld.{k}").alias(f"schema_{k}") for k in ("publisher", "dateModified", "datePublished", "authors", "headline", "alternateHeadline")],
+        *([html.article_text(page).alias("content")] if readability else []),
         html.anchors(page).alias("anchors"),
     )
 
@@ -101,6 +155,3 @@ def error_record(frontier: DataFrame, pages: DataFrame, url: str = "url") -> Dat
 def load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses of the decorated pages of a data folder."""
     return responses(decorated_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet")))
-
-
-__all__ = ["DECORATED", "decorated_pages", "error_record", "fetch", "load", "records", "responses", "urls"]

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from crawlspark import queries
+from crawlspark import management_queries as queries
 
 DATA = "/root/testdata/sf0.01"
 
