@@ -8,16 +8,20 @@ that is too short for all queries. What is left is pruned by the sum over the fi
 the product of the lengths of the rest, and only survivors get the exact integer product.
 
 Query blocks meet candidate blocks by an equality join on the block number, so every query is held against all
-candidates that it needs, in blocks, and no task holds more than one block of each.
+candidates that it needs, in blocks, and a worker holds one block of each. A block of candidates has up to 65,536 vectors
+in the narrowest integers that hold them, so that a query travels once for so many candidates; a block is prepared once
+for all query blocks that meet it. The driver knows the blocks by partition, as many rows as there are shuffle partitions.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
 shorter vectors are filled up with zeros; rows that share the query's id are the query's own; repeated candidate rows
-are candidates each; repeated query rows give one result; an empty table gives an empty result.
+are candidates each; repeated query rows give one result, and query rows with one id and different vectors give one
+each, under the same query_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-CANDIDATE_BLOCK, QUERY_BLOCK, TILE = 4096, 512, 1024
+CANDIDATE_BLOCK, QUERY_BLOCK, TILE = 65536, 512, 1024
+#: A block of candidates has fewer vectors if they are so long that it would have more components than this.
+BLOCK_VALUES = 1 << 22
 #: The longest vectors that give every query its first floor.
 FIRST = 8192
 
@@ -48,7 +54,12 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _blocks(rows: DataFrame, dim: int, size: int, name: str) -> DataFrame:
+def _narrowest(largest: int) -> type:
+    """The smallest integer type for components up to ``largest`` in size."""
+    return next((t for t in (np.int16, np.int32) if largest <= np.iinfo(t).max), np.int64)
+
+
+def _blocks(rows: DataFrame, dim: int, size: int, kind: type, name: str) -> DataFrame:
     """Consecutive rows of each partition as blocks (ids and matrix as bytes); the longest vector's length goes along."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +72,7 @@ def _blocks(rows: DataFrame, dim: int, size: int, name: str) -> DataFrame:
 
         held = 0
         for batch in batches:
-            i, v, n = batch.column(0).to_numpy(), _matrix(batch.column(1), dim), batch.column(2).to_numpy()
+            i, v, n = batch.column(0).to_numpy(), _matrix(batch.column(1), dim).astype(kind), batch.column(2).to_numpy()
             for at in range(0, len(i), size):
                 if held and held + len(i[at : at + size]) > size:
                     yield flush()
@@ -102,19 +113,33 @@ def _exact_kind(longest: float) -> type:
     return np.float32 if longest < 1 << 23 else np.float64 if longest < 1 << 52 else np.int64
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, rotation: np.ndarray, floor: np.ndarray, k: int, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, candidate id, score): the k best of each query among x, leaving out scores below ``floor``.
+class Prepared(NamedTuple):
+    """Vectors with what the search needs of them: lengths, first rotated coordinates, lengths of the rest, order by length."""
+
+    ids: np.ndarray
+    exact: np.ndarray
+    norm: np.ndarray
+    head: np.ndarray
+    rest: np.ndarray
+    by_length: np.ndarray
+
+
+def prepared(ids: np.ndarray, v: np.ndarray, rotation: np.ndarray, head: int) -> Prepared:
+    turned = v.astype(np.float64) @ rotation
+    norm = np.linalg.norm(turned, axis=1)
+    rest = np.linalg.norm(turned[:, head:], axis=1).astype(np.float32)
+    return Prepared(ids, v, norm, turned[:, :head].astype(np.float32), rest, np.argsort(-norm, kind="stable"))
+
+
+def search_block(queries: Prepared, among: Prepared, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate id, score): the k best of each query among the candidates, leaving out scores below ``floor``.
 
     Pairs that the partial sums leave are multiplied out one by one if they are few, else as whole tiles.
     """
-    qr = q.astype(np.float64) @ rotation
-    xr = x.astype(np.float64) @ rotation
-    q_norm, x_norm = np.linalg.norm(qr, axis=1), np.linalg.norm(xr, axis=1)
-    by_length = np.argsort(-x_norm, kind="stable")
-    q_rest, x_rest = np.linalg.norm(qr[:, head:], axis=1).astype(np.float32), np.linalg.norm(xr[:, head:], axis=1).astype(np.float32)
-    q_head, x_head = qr[:, :head].astype(np.float32), xr[:, :head].astype(np.float32)
+    q_ids, q, q_norm, q_head, q_rest, _ = queries
+    x_ids, x, x_norm, x_head, x_rest, by_length = among
     kind = _exact_kind(q_norm.max(initial=0) * x_norm.max(initial=0))
-    q_full, x_full = q.astype(kind), x.astype(kind)
+    q_full = q.astype(kind)
     rows, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     floor = floor.copy()
     for at in range(0, len(x), TILE):
@@ -128,13 +153,13 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
         bound += np.outer(q_rest[live], x_rest[tile])
         left = bound >= low
         if left.mean() > 0.02:
-            product = q_full[live] @ x_full[tile].T
+            product = q_full[live] @ x[tile].astype(kind).T
             left &= product >= floor[live, None]
             i, j = np.nonzero(left)
             exact = product[i, j].astype(np.int64)
         else:
             i, j = np.nonzero(left)
-            exact = np.concatenate([np.einsum("ij,ij->i", q[live[i[a : a + 65536]]], x[tile[j[a : a + 65536]]]) for a in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+            exact = np.concatenate([np.einsum("ij,ij->i", q[live[i[a : a + 65536]]].astype(np.int64), x[tile[j[a : a + 65536]]].astype(np.int64)) for a in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
         i, j = live[i], tile[j]
         kept = (q_ids[i] != x_ids[j]) & (exact >= floor[i])
         i, j, exact = i[kept], j[kept], exact[kept]
@@ -154,55 +179,62 @@ def top_k_inner_product(vectors: DataFrame, is_query: Callable[[Column], Column]
     """(query_id, rank, vec_id, score) of the k highest integer inner products of each query, ties to the smaller id."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     rows = scratch.save(quantised(vectors, id_col, vec_col, scale), "rows")
-    dim = max(rows.agg(F.max(F.size("v"))).first()[0] or 1, 1)
+    size = F.aggregate("v", F.lit(0).cast("long"), lambda m, x: F.greatest(m, F.abs(x)))
+    dim, largest = rows.agg(F.max(F.size("v")), F.max(size)).first()
+    dim, kind = max(dim or 1, 1), _narrowest(largest or 0)
     longest = rows.orderBy(F.desc("norm"), "id").limit(FIRST).select("id", "v").toPandas()
     if longest.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     rotation = rotation_of(rows, dim)
     parts = spark.conf.get("spark.sql.shuffle.partitions")
-    candidates = _blocks(rows.repartitionByRange(int(parts), F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id"), dim, CANDIDATE_BLOCK, "block")
+    at_once = min(CANDIDATE_BLOCK, max(TILE, BLOCK_VALUES // dim))
+    candidates = _blocks(rows.repartitionByRange(int(parts), F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id"), dim, at_once, kind, "block")
     candidates = scratch.save(candidates.withColumnsRenamed({"ids": "x_ids", "vs": "xs"}), "candidates")
-    reach = {r["block"]: r["longest"] for r in candidates.select("block", "longest").collect()}
-    numbers, lengths = np.array(list(reach)), np.array(list(reach.values()))
+    # Blocks are numbered by partition (the upper bits), from 0 in each.
+    reach = candidates.groupBy(F.shiftright("block", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("longest").alias("longest")).collect()
 
     queries = rows.where(is_query(F.col("id"))).dropDuplicates(["id", "v"])
-    queries = scratch.save(_blocks(queries, dim, QUERY_BLOCK, "queries"), "queries")
-    top_ids = longest["id"].to_numpy(np.int64)
+    queries = scratch.save(_blocks(queries, dim, QUERY_BLOCK, kind, "queries"), "queries")
     top = np.zeros((len(longest), dim), dtype=np.int64)
     for i, v in enumerate(longest["v"]):
         top[i, : len(v)] = v
+    top_ids = longest["id"].to_numpy(np.int64)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = prepared(top_ids, top, rotation, head)
         for batch in batches:
-            floors, wanted = [], []
-            for ids, vs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                q_ids, q = np.frombuffer(ids, np.int64), np.frombuffer(vs, np.int64).reshape(-1, dim)
-                low = np.full(len(q), -np.inf)
-                row, _, score = search_block(q, q_ids, top, top_ids, rotation, low, k, head)
-                n, worst = np.bincount(row, minlength=len(q)), np.full(len(q), np.iinfo(np.int64).max)
+            floors, needed = [], []
+            for ids, vs in zip(batch.column(1), batch.column(2), strict=True):
+                q = prepared(np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(vs.as_buffer(), kind).reshape(-1, dim), rotation, head)
+                low = np.full(len(q.ids), -np.inf)
+                row, _, score = search_block(q, first, low, k)
+                n, worst = np.bincount(row, minlength=len(low)), np.full(len(low), np.iinfo(np.int64).max)
                 np.minimum.at(worst, row, score)
                 low[n >= k] = worst[n >= k]
-                norm = np.linalg.norm(q.astype(np.float64), axis=1)
-                # Cauchy-Schwarz: the block's longest vector must reach the floor of one of the queries.
-                ratio = np.max(np.where(norm[None, :] * lengths[:, None] * (1 + 1e-9) + 1e-6 >= low[None, :], 1, 0), axis=1)
+                # Cauchy-Schwarz: a candidate of at least this length may reach the floor of one of the queries.
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    length = np.where(q.norm > 0, (low - 1e-6) / (q.norm * (1 + 1e-9)), np.where(low > 0, np.inf, -np.inf))
                 floors.append(low.tobytes())
-                wanted.append(numbers[ratio > 0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floors, pa.binary()), pa.array(wanted, pa.list_(pa.int64()))], ["q_ids", "qs", "floors", "wanted"])
+                needed.append(float(length.min()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.binary()), pa.array(needed, pa.float64())], ["queries", "q_ids", "qs", "floors", "needed"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, among = None, None
         for batch in batches:
-            for ids, qs, floors, x_ids, xs in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                q_ids = np.frombuffer(ids, np.int64)
-                row, id_, score = search_block(np.frombuffer(qs, np.int64).reshape(-1, dim), q_ids, np.frombuffer(xs, np.int64).reshape(-1, dim), np.frombuffer(x_ids, np.int64), rotation, np.frombuffer(floors, np.float64), k, head)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(id_), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # rows are whole blocks here
-    routed = queries.select("ids", "vs").mapInArrow(route, "q_ids binary, qs binary, floors binary, wanted array<long>")
-    pairs = routed.withColumn("block", F.explode("wanted")).drop("wanted").join(candidates.hint("merge"), "block")
-    found = scratch.save(pairs.select("q_ids", "qs", "floors", "x_ids", "xs").mapInArrow(search, "query_id long, vec_id long, score long"), "found")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+            for number, ids, qs, floors, block, x_ids, xs in zip(*batch.columns, strict=True):
+                if held != block.as_py():
+                    held, among = block.as_py(), prepared(np.frombuffer(x_ids.as_buffer(), np.int64), np.frombuffer(xs.as_buffer(), kind).reshape(-1, dim), rotation, head)
+                q = prepared(np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(qs.as_buffer(), kind).reshape(-1, dim), rotation, head)
+                row, id_, score = search_block(q, among, np.frombuffer(floors.as_buffer(), np.float64), k)
+                yield pa.RecordBatch.from_arrays([pa.array(number.as_py() * QUERY_BLOCK + row), pa.array(q.ids[row]), pa.array(id_), pa.array(score)], ["query", "query_id", "vec_id", "score"])
+
+    routed = queries.select("queries", "ids", "vs").mapInArrow(route, "queries long, q_ids binary, qs binary, floors binary, needed double")
+    ranges = F.array(*[F.struct(F.lit(r["part"]).alias("part"), F.lit(r["n"]).alias("n"), F.lit(r["longest"]).alias("longest")) for r in reach])
+    wanted = routed.withColumn("r", F.explode(F.filter(ranges, lambda r: r["longest"] >= F.col("needed"))))
+    first_block = F.shiftleft(F.col("r.part").cast("long"), 33)
+    wanted = wanted.withColumn("block", F.explode(F.sequence(first_block, first_block + F.col("r.n") - 1)))
+    pairs = wanted.join(candidates.hint("merge"), "block").where("longest >= needed")
+    found = pairs.select("queries", "q_ids", "qs", "floors", "block", "x_ids", "xs").mapInArrow(search, "query long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return scratch.save(found, "found").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

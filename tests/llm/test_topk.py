@@ -42,3 +42,13 @@ def test_repeated_rows(spark):
 def test_empty_table(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, [1.0])]) == []
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0])]
+    assert run(spark, rows) == brute(rows) and len(brute(rows)) == 4
+
+
+def test_components_beyond_the_narrow_types(spark):
+    rows = [(i, [(-1.0) ** i * 2.0 ** (3 * i), 1.0]) for i in range(0, 12)] + [(20, [3.0e3, -7.0])]
+    assert run(spark, rows) == brute(rows)
