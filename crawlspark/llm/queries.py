@@ -16,6 +16,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .periodic import periodic_runs
 from .scratch import Scratch
+from .sketch_dedup import sketch_duplicates
 from .suffix_dedup import repeated_bytes
 from .topk import top_k_inner_product
 from .toxicity import fold, score, train
@@ -81,6 +82,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     changed = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0) & F.col("text").isNotNull()
@@ -157,6 +162,15 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, least(s.doc_id, coales
 FROM s LEFT JOIN r ON s.doc_id = r.x GROUP BY s.doc_id, s.sh
 """
 
+#: As for op5, with shingles of four words.
+OP11_SQL = (
+    OP5_SQL.split("SELECT s.doc_id, CAST")[0].replace("len(ws) < 5", "len(ws) < 4").replace("len(ws) - 4", "len(ws) - 3").replace("i:i + 4", "i:i + 3")
+    + """, c AS (SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.y), s.doc_id)) AS component_id
+  FROM s LEFT JOIN r ON s.doc_id = r.x GROUP BY s.doc_id, s.sh)
+SELECT *, doc_id = component_id AS kept FROM c
+"""
+)
+
 OP6_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
@@ -285,10 +299,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_packing": op10_packing,
+        "op11_minhash": op11_minhash,
         "op12_merkle": op12_merkle,
         "op13_periodic": op13_periodic,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_topk": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op12_merkle": OP12_SQL, "op13_periodic": OP13_SQL}
+    return {"op2_warc": OP2_SQL, "op3_line_dedup": OP3_SQL, "op5_jaccard_join": OP5_SQL, "op6_topk": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op11_minhash": OP11_SQL, "op12_merkle": OP12_SQL, "op13_periodic": OP13_SQL}
