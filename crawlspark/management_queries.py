@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from . import catalog, schedule
+from . import catalog, decorated, schedule
 from .functions import fetch, text, urls
 from .operators import links, results, robots
-from .queries import _EDGES, _RECORDS, _RESULTS, _ROBOTS, _UNESCAPE, _VISIBLE, ORACLES, QUERIES, _trim, pages, query, records, written
+from .plans.config import CrawlConfig
+from .plans.crawl import crawl
+from .queries import _EDGES, _LISTED, _RECORDS, _RESULTS, _ROBOTS, _UNESCAPE, _VISIBLE, ORACLES, QUERIES, _trim, pages, query, records, written
 from .sources import seeds, snapshot
 from .storage import Scratch
 
@@ -114,10 +116,11 @@ _FULL = ", ".join(f'"{c}"' for _, c in results.COLUMNS)
 _FULL_SQL = (
     _RESULTS.replace("FROM ld)", f", regexp_replace({_VISIBLE}, '(?is)<(header|footer|nav)\\b.*?</(header|footer|nav)>', '', 'g') AS body FROM ld)", 1)
     + f""", facts AS ({_FETCH_FACTS} FROM pages),
-more AS (SELECT page_id, {", ".join(f'"{c}"' for c in _ROW_COLUMNS)} FROM facts)
+more AS (SELECT page_id, {", ".join(f'"{c}"' for c in _ROW_COLUMNS)} FROM facts),
+outer_pages AS (SELECT page_id FROM rec WHERE NOT {_LISTED} AND href IN (SELECT target FROM edges WHERE source IN (SELECT href FROM rec WHERE {_LISTED})))
 SELECT {_FULL} FROM (SELECT wide.*, more.* EXCLUDE (page_id),
     {_trim("regexp_replace(" + _UNESCAPE.format(r"regexp_replace(regexp_extract(body, '(?is)<article\b[^>]*>(.*)</article>', 1), '(?s)<[^>]*>', ' ', 'g')") + r", '\s+', ' ', 'g')")} AS content,
-    CASE WHEN page_id % 3 > 0 THEN page_id % 4 ELSE 0 END::INTEGER AS depth, CASE WHEN page_id % 3 > 0 AND page_id % 5 = 0 THEN true END AS "isOutbound",
+    CASE WHEN page_id IN (SELECT page_id FROM outer_pages) THEN 1 ELSE 0 END AS depth, CASE WHEN page_id IN (SELECT page_id FROM outer_pages) THEN true END AS "isOutbound",
     CASE WHEN page_id % 2 = 0 THEN CAST(page_id * 3 % 101 AS VARCHAR) END AS clicks, CASE WHEN page_id % 2 = 0 THEN CAST(page_id * 7 % 1009 AS VARCHAR) END AS impressions,
     CASE WHEN fetch_ok AND html <> '' THEN substr(regexp_replace(regexp_replace(regexp_extract(href, '^[a-zA-Z]+://([^#]*)', 1), '[^a-zA-Z0-9._-]', '_', 'g'), '_+', '_', 'g'), 1, 200) || '.html' END AS opfs_path
   FROM wide JOIN more USING (page_id))"""
@@ -129,11 +132,12 @@ def results_full(spark, d):
     """All columns of the results table: records with the article's text, facts of the fetch, the crawl's depths, the archive's paths and a CSV table."""
     scratch = Scratch(spark)
     facts = snapshot.fetched(_fetches(pages(spark, d))).select("page_id", *_ROW_COLUMNS)
-    seen = snapshot.load(spark, d).join(facts, "page_id")
+    seen = decorated.load(spark, d).join(facts, "page_id")
     parsed = scratch.save(snapshot.records(seen, readability=True), "records")
     table = parsed.where("page_id % 2 = 0").select(F.col("href").alias("url"), _text(_id() * 3 % 101).alias("clicks"), _text(_id() * 7 % 1009).alias("impressions"))
-    crawled = parsed.where("page_id % 3 > 0").select(F.col("href").alias("url"), (_id() % 4).cast("int").alias("depth"), (_id() % 5 == 0).alias("is_outbound"))
     edge_table = scratch.save(links.edges(parsed), "edges")
+    listed = parsed.where("href rlike '/(en|de)/'").select(F.col("href").alias("url"))
+    crawled = crawl(listed, edge_table, parsed.select("href"), CrawlConfig(crawl_mode="list", fetch_outbound=True))
     return results.results_table(parsed.drop("html", "anchors"), edge_table, csv=table, crawled=crawled, stored=catalog.archive(parsed))
 
 
@@ -180,13 +184,16 @@ def _gzipped(plain: pd.Series) -> pd.Series:
     return plain.map(lambda x: gzip.compress(x.encode(), mtime=0))
 
 
-@query("sitemap_packed", _RECORDS + " SELECT href AS url FROM rec WHERE page_id % 2 = 1 AND page_id % 3 > 0")
+@query("sitemap_packed", _RECORDS + " SELECT href AS url FROM rec")
 def sitemap_packed(spark, d):
-    """A sitemap a page: plain, packed, or packed and damaged."""
+    """A sitemap a page, plain or packed, and a damaged packed one of every third page, which gives nothing."""
     loc = F.concat(F.lit("<urlset><url><loc>"), F.replace("href", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url></urlset>"))
-    whole = F.when(_id() % 3 == 1, F.encode(loc, "UTF-8")).when(_id() % 3 == 2, _gzipped(loc)).otherwise(F.substring(_gzipped(loc), 1, 20))
-    files = snapshot.load(spark, d).select(F.concat(F.lit("https://maps.example/"), _text(), F.when(_id() % 3 == 1, ".xml").otherwise(".xml.gz")).alias("url"), whole.alias("content"), "page_id")
-    return seeds.sitemap_urls(files.where("page_id % 2 = 1").select("url"), seeds.sitemap_text(files), depth=1)
+    named = lambda end: F.concat(F.lit("https://maps.example/"), _text(), end).alias("url")
+    p = decorated.load(spark, d).select("page_id", "href")
+    whole = p.select(named(F.when(_id() % 2 == 1, ".xml").otherwise(".xml.gz")), F.when(_id() % 2 == 1, F.encode(loc, "UTF-8")).otherwise(_gzipped(loc)).alias("content"))
+    damaged = p.where("page_id % 3 = 0").select(named(F.lit(".damaged.xml.gz")), F.substring(_gzipped(loc), 1, 20).alias("content"))
+    files = whole.unionByName(damaged)
+    return seeds.sitemap_urls(files.select("url"), seeds.sitemap_text(files), depth=1)
 
 
 # --- robots ----------------------------------------------------------------------------------------------------------

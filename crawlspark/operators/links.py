@@ -26,23 +26,26 @@ def page_links(anchors: Column, parts: Column, directive: Column, scope: str = "
     return found
 
 
-def every_link(records: DataFrame, scope: str = "all", start_host: str | None = None, header: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(source, links): the links of the pages that were answered well and are HTML; others have none.
+def every_link(records: DataFrame, scope: str = "all", start_host: str | None = None, header: Column | None = None, carry: tuple[str, ...] = (), html_only: bool = True) -> DataFrame:
+    """(source, links): the links of the pages that were answered well and are HTML (or of all that were answered well).
 
     What concerns the whole page is computed before its anchors are gone through.
     """
-    linking = records.where(F.coalesce("fetch_ok", F.lit(False)) & or_empty(F.col("fetch_contentType")).contains("text/html"))
+    linking = records.where(F.coalesce("fetch_ok", F.lit(False)))
+    if html_only:
+        linking = linking.where(or_empty(F.col("fetch_contentType")).contains("text/html"))
     sent = header if header is not None else F.lit(None).cast("string")
     page = linking.select(*carry, F.col("href").alias("source"), "anchors", urls.base_parts(F.col("href")).alias("__base"), follow.of_page(F.col("robots"), sent).alias("__page"))
     return page.select(*carry, "source", page_links(F.col("anchors"), F.col("__base"), F.col("__page"), scope, start_host).alias("links"))
 
 
-def edges(records: DataFrame, scope: str = "all", start_host: str | None = None, header: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def edges(records: DataFrame, scope: str = "all", start_host: str | None = None, header: Column | None = None, carry: tuple[str, ...] = (), html_only: bool = True) -> DataFrame:
     """(source, target, follow, directive_source, pos): one edge per page and target, by the target's first occurrence.
 
-    Everything happens within a page's row; nothing is shuffled.
+    Everything happens within a page's row; nothing is shuffled. A crawl goes on along the links of every page that was
+    answered well (``html_only=False``); the link graph has those of HTML pages.
     """
-    listed = every_link(records, scope, start_host, header, carry)
+    listed = every_link(records, scope, start_host, header, carry, html_only)
     targets = listed.select(*carry, "source", "links", F.transform("links", lambda x: x["url"]).alias("u"))
     # The outer form, and no condition that is null for a null: from these the optimiser infers filters that it moves
     # below, where every page is parsed once more.

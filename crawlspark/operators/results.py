@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fetch
-from . import links
+from ..storage import Scratch
+from . import links, ranking
 
 #: Display title and column of the results table, in the table's order.
 COLUMNS = [
@@ -88,8 +89,8 @@ def drill_down(results: DataFrame, field: str, comparison: str, value: object) -
 
 
 def page_of(results: DataFrame, order: Sequence[Column], page: int = 1, size: int = 50) -> DataFrame:
-    """One page of the sorted table; the key breaks ties."""
-    return results.orderBy(*order, "href").offset((page - 1) * size).limit(size)
+    """One page of the sorted table; the key breaks ties. A deep page costs no more than the first."""
+    return ranking.page_of(results, [*order, F.col("href")], page, size, Scratch(results.sparkSession))
 
 
 def detail_outbound(edge_table: DataFrame, results: DataFrame, href: str) -> DataFrame:

@@ -18,6 +18,7 @@ class CrawlConfig:
     respect_robots: bool = True
     fetch_outbound: bool = False
     known_only: bool = True
+    order: str = "url"
     readability: bool = False
     charset: str = "utf-8"
     max_retries: int = 2
@@ -27,6 +28,8 @@ class CrawlConfig:
     cache: str = "no-store"
 
     def __post_init__(self):
+        if self.order not in ("url", "queue"):
+            raise ValueError(f"order is {self.order!r}")
         if self.crawl_mode not in ("list", "recursive"):
             raise ValueError(f"crawl_mode is {self.crawl_mode!r}")
         if self.filter_type not in ("", "include", "exclude"):

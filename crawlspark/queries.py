@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog, schedule
+from . import catalog, decorated, schedule
+from .decorated import DECORATED
 from .functions import fetch, html, python_html, text, urls
 from .operators import issues, links, results, robots, stats
 from .plans.config import CrawlConfig
 from .plans.crawl import CrawlJob, crawl
 from .sources import seeds, snapshot
-from .sources.snapshot import DECORATED
 from .storage import Scratch
 from .streaming.live_stats import live_summary
 
@@ -29,7 +29,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.records(snapshot.load(spark, sf_dir))
+    return snapshot.records(decorated.load(spark, sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,10 +140,6 @@ _PLAIN = {
         lambda: text.html_escape(F.col("html")).alias("escaped"),
         "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped",
     ),
-    "html_escape_whole": (
-        lambda: text.html_escape(F.col("html")).alias("escaped"),
-        "replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped",
-    ),
     "resolve_relative": (
         lambda: urls.resolve(F.concat(F.lit("./a/../b?x="), F.col("page_id").cast("string")), F.col("url")).alias("resolved"),
         "regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || 'b?x=' || page_id AS resolved",
@@ -187,7 +183,7 @@ _over_records("row_class", "page_id, CASE WHEN fetch_status >= 400 THEN 'error'
 
 @query("jsonld_deep", _RECORDS + f" SELECT page_id, {_LD_SQL} FROM rec")
 def jsonld_deep(spark, d):
-    found = snapshot.load(spark, d).select("page_id", python_html.schema_fields(html.json_ld_scripts(F.col("html"))).alias("s"))
+    found = decorated.load(spark, d).select("page_id", python_html.schema_fields(html.json_ld_scripts(F.col("html"))).alias("s"))
     return found.select("page_id", *[F.col(f"s.{k}").alias(f"schema_{k}") for k in _LD_FIELDS])
 
 
@@ -200,7 +196,7 @@ def flatten(spark, d):
 
 @query("dom_extract", _RECORDS + ' SELECT page_id, title, description, h1, canonical, robots FROM rec')
 def dom_extract(spark, d):
-    found = snapshot.load(spark, d).select("page_id", python_html.dom_extract("html").alias("s"))
+    found = decorated.load(spark, d).select("page_id", python_html.dom_extract("html").alias("s"))
     return found.select("page_id", "s.title", "s.description", "s.h1", "s.canonical", "s.robots")
 
 
@@ -297,26 +293,26 @@ def csv_join(spark, d):
     return results.results_table(r, e, csv=table).select("href", "clicks", "impressions", "fetch_status")
 
 
-_PAGE7 = "(SELECT href FROM rec WHERE page_id = 7)"
+_PAGE8 = "(SELECT href FROM rec WHERE page_id = 8)"
 
 
-def _href(r: DataFrame) -> str:
-    return r.where("page_id = 7").first()["href"]
+def _href(r: DataFrame, page_id: int = 8) -> str:
+    return r.where(F.col("page_id") == page_id).first()["href"]
 
 
-@query("detail_outbound", _EDGES + f" SELECT target, follow, directive_source, fetch_status AS target_status FROM edges LEFT JOIN rec ON target = rec.href WHERE source = {_PAGE7}")
+@query("detail_outbound", _EDGES + f" SELECT target, follow, directive_source, fetch_status AS target_status FROM edges LEFT JOIN rec ON target = rec.href WHERE source = {_PAGE8}")
 def detail_outbound(spark, d):
     r, e = written(spark, d)
     return results.detail_outbound(e, r, _href(r))
 
 
-@query("detail_inbound", _EDGES + f" SELECT source, follow, directive_source FROM edges WHERE target = {_PAGE7} AND source <> target")
+@query("detail_inbound", _EDGES + f" SELECT source, follow, directive_source FROM edges WHERE target = {_PAGE8} AND source <> target")
 def detail_inbound(spark, d):
     r, e = written(spark, d)
     return results.detail_inbound(e, _href(r))
 
 
-@query("detail_sections", _RECORDS + """, one AS (SELECT * FROM rec WHERE page_id = 7), kv(section, key, value) AS (
+@query("detail_sections", _RECORDS + """, one AS (SELECT * FROM rec WHERE page_id = 8), kv(section, key, value) AS (
   SELECT 'fetch', 'status', CAST(fetch_status AS VARCHAR) FROM one UNION ALL SELECT 'fetch', 'statusText', "fetch_statusText" FROM one
   UNION ALL SELECT 'fetch', 'ok', CAST(fetch_ok AS VARCHAR) FROM one UNION ALL SELECT 'fetch', 'redirected', CAST(fetch_redirected AS VARCHAR) FROM one
   UNION ALL SELECT 'fetch', 'contentType', "fetch_contentType" FROM one UNION ALL SELECT 'fetch', 'duration', CAST(fetch_duration AS VARCHAR) FROM one
@@ -415,34 +411,48 @@ def url_filter_exclude(spark, d):
     return seeds.regex_filter(pages(spark, d).select("url"), "/EN/|page=", "exclude")
 
 
-@query("seeds_union", _EDGES + " SELECT DISTINCT url FROM (SELECT href AS url FROM rec WHERE page_id % 5 < 2 UNION ALL SELECT href FROM rec WHERE page_id % 7 = 1 UNION ALL SELECT href FROM rec WHERE page_id = 7 UNION ALL SELECT target FROM edges WHERE source = " + _PAGE7 + ") WHERE NOT regexp_matches(url, '/DE/')")
+# A spider takes all links of its page, whatever the page's answer was: page 7 is a 404.
+@query("seeds_union", _EDGES.replace(""" FROM rec WHERE fetch_ok AND "fetch_contentType" LIKE '%text/html%')""", " FROM rec WHERE page_id = 7)")
+    + " SELECT DISTINCT url FROM (SELECT href AS url FROM rec UNION ALL SELECT target FROM edges) WHERE NOT regexp_matches(url, '/de/')")
 def seeds_union(spark, d):
     r = Scratch(spark).save(records(spark, d), "records")
-    listed = seeds.url_list(r.where("page_id % 5 < 2").select(F.concat(F.lit("  "), "href", F.lit("\r")).alias("value")))
-    table = seeds.csv_rows(r.where("page_id % 7 = 1").select(F.lit("").alias("URL"), F.col("href").alias("page")), order=F.lit(0))
-    return seeds.resolve_seeds([listed, table, seeds.spider(r, _href(r))], "/DE/", "exclude")
+    listed = seeds.url_list(r.where("href not like '%/en/%'").select(F.concat(F.lit("  "), "href", F.lit("\r")).alias("value")))
+    table = seeds.csv_rows(r.where("href not like '%/fr/%'").select(F.lit("").alias("URL"), F.col("href").alias("page")), order=F.lit(0))
+    return seeds.resolve_seeds([listed, table, seeds.spider(r, _href(r, 7))], "/de/", "exclude")
+
+
+#: The most addresses that a sitemap may have.
+_SITEMAP_URLS = 50_000
 
 
 def _sitemaps(r: DataFrame) -> DataFrame:
-    """A sitemap for each remainder of page_id by 5; remainder 4 isn't found."""
+    """All pages in sitemaps: five for each range of page_id of five times the most that one may have."""
     entry = F.concat(F.lit("<url>\n <loc> "), F.replace("href", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
     xml = F.concat(F.lit("<?xml version='1.0'?><urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>"))
-    name = F.concat(F.lit("https://maps.example/"), (F.col("page_id") % 5).cast("string"), F.lit(".xml"))
-    return r.where("page_id % 5 < 4").groupBy(name.alias("url")).agg(xml.alias("xml"))
+    name = F.format_string("https://maps.example/%d-%d.xml", F.col("page_id") % 5, F.floor(F.col("page_id") / (5 * _SITEMAP_URLS)))
+    return r.select("page_id", "href").groupBy(name.alias("url")).agg(xml.alias("xml"))
 
 
-@query("sitemap_locs", _RECORDS + " SELECT href AS url FROM rec WHERE page_id % 5 = 2")
+@query("sitemap_locs", _RECORDS + " SELECT href AS url FROM rec")
 def sitemap_locs(spark, d):
-    maps = _sitemaps(snapshot.load(spark, d))
-    return seeds.sitemap_urls(spark.createDataFrame([("https://maps.example/2.xml",)], "url string"), maps, depth=1)
+    maps = Scratch(spark).save(_sitemaps(decorated.load(spark, d)), "sitemaps")
+    return seeds.sitemap_urls(maps.select("url"), maps, depth=1)
 
 
-@query("sitemap_index", _RECORDS + " SELECT href AS url FROM rec WHERE page_id % 5 IN (0, 1, 3)")
+@query("sitemap_index", _RECORDS + " SELECT href AS url FROM rec")
 def sitemap_index(spark, d):
-    one = lambda names: "<sitemapindex>" + "".join(f"<sitemap><loc>https://maps.example/{n}.xml</loc><lastmod>2024</lastmod></sitemap>" for n in names) + "</sitemapindex>"
-    index = spark.createDataFrame([("https://maps.example/index.xml", one(["0", "inner", "4"])), ("https://maps.example/inner.xml", one(["1", "3", "index"]))], "url string, xml string")
-    maps = _sitemaps(snapshot.load(spark, d)).unionByName(index)
-    return seeds.sitemap_urls(index.select("url").where("url like '%index%'"), maps, depth=3).distinct()
+    """An index of two fifths of the sitemaps, of one that isn't there and of another index, which has the rest and the first index."""
+    maps = Scratch(spark).save(_sitemaps(decorated.load(spark, d)), "sitemaps")
+    child = F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc><lastmod>2024</lastmod></sitemap>"))
+    inner = F.col("url").rlike("/[234]-").alias("inner")
+    names = maps.select("url", inner).groupBy("inner").agg(F.array_join(F.collect_list(child), "").alias("children"))
+    own = lambda x: f"<sitemap><loc>https://maps.example/{x}.xml</loc></sitemap>"
+    index = names.select(
+        F.when(F.col("inner"), "https://maps.example/inner.xml").otherwise("https://maps.example/index.xml").alias("url"),
+        F.concat(F.lit("<sitemapindex>"), "children", F.when(F.col("inner"), own("index")).otherwise(own("gone") + own("inner")), F.lit("</sitemapindex>")).alias("xml"),
+    )
+    start = spark.createDataFrame([("https://maps.example/index.xml",)], "url string")
+    return seeds.sitemap_urls(start, maps.unionByName(index), depth=4).distinct()
 
 
 # --- robots ----------------------------------------------------------------------------------------------------------
@@ -466,13 +476,13 @@ _ROBOTS_SQL = (
 @query("robots_allowed", _ROBOTS_SQL + r""" SELECT href, CASE WHEN length(origin) % 4 = 1 THEN true WHEN length(origin) % 2 = 1 THEN NOT starts_with(path, '/en/')
   WHEN starts_with(path, '/es/2') THEN true WHEN starts_with(path, '/es/') THEN false WHEN regexp_matches(path, '^/fr/.*5$') THEN false ELSE true END AS allowed FROM u""")
 def robots_allowed(spark, d):
-    r = snapshot.load(spark, d)
+    r = decorated.load(spark, d)
     return robots.allowed(r.select("href"), _texts(r), "Googlebot", url="href")
 
 
 @query("robots_effective", _ROBOTS_SQL + " SELECT DISTINCT origin, CASE WHEN length(origin) % 2 = 1 THEN 'override' ELSE 'fetched' END AS badge FROM u")
 def robots_effective(spark, d):
-    return _texts(snapshot.load(spark, d)).select("origin", F.when(F.col("has_override"), "override").otherwise("fetched").alias("badge"))
+    return _texts(decorated.load(spark, d)).select("origin", F.when(F.col("has_override"), "override").otherwise("fetched").alias("badge"))
 
 
 #: Test inputs: User-Agent headers.
@@ -486,17 +496,29 @@ def bot_name(spark, d):
 
 
 # --- crawls ----------------------------------------------------------------------------------------------------------
+def _frontier_sql(sql: str) -> str:
+    """A crawl follows the links of every page that was answered well."""
+    return sql.replace(""" FROM rec WHERE fetch_ok AND "fetch_contentType" LIKE '%text/html%')""", " FROM rec WHERE fetch_ok)")
+
+
 def _reach(seed: str, more: str = "true", links_where: str = "true") -> str:
     return (
-        _EDGES
+        _frontier_sql(_EDGES)
         + f""", g AS (SELECT source, target FROM edges WHERE target IN (SELECT href FROM rec) AND {links_where}),
 reach(url, depth) AS (SELECT href, 0 FROM rec WHERE {seed} UNION SELECT g.target, reach.depth + 1 FROM reach JOIN g ON g.source = reach.url WHERE reach.depth < 40 AND {more}),
 crawled AS (SELECT url, min(depth) AS depth FROM reach GROUP BY url)"""
     )
 
 
+def crawl_inputs(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Records (without html) and the links that a crawl follows, as tables."""
+    scratch = Scratch(spark)
+    parsed = scratch.save(records(spark, d), "records")
+    return parsed.drop("html", "anchors"), scratch.save(links.edges(parsed, html_only=False), "edges")
+
+
 def _crawl(spark, d, config: CrawlConfig, seed: str = "page_id = 0", **more) -> DataFrame:
-    r, e = written(spark, d)
+    r, e = crawl_inputs(spark, d)
     return crawl(r.where(seed).select(F.col("href").alias("url")), e, r.select("href"), config, **more).select("url", "depth")
 
 
@@ -527,7 +549,7 @@ _OK = rf", ok AS (SELECT href FROM (SELECT href, regexp_extract(href, '^[a-z]+:/
 
 @query("crawl_robots", _reach("page_id = 0", more="reach.url IN (SELECT href FROM ok)").replace(", g AS (", _OK + ", g AS (", 1) + " SELECT url, depth, url IN (SELECT href FROM ok) AS crawlable FROM crawled")
 def crawl_robots(spark, d):
-    r, e = written(spark, d)
+    r, e = crawl_inputs(spark, d)
     texts = _texts(r).select("origin", "text")
     seed = r.where("page_id = 0").select(F.col("href").alias("url"))
     return crawl(seed, e, r.select("href"), CrawlConfig(crawl_mode="recursive", max_pages=10**9), robots=texts).select("url", "depth", "crawlable")
@@ -536,23 +558,92 @@ def crawl_robots(spark, d):
 @query("crawl_resumed", _reach("page_id = 0") + " SELECT url, depth FROM crawled")
 def crawl_resumed(spark, d):
     """A crawl that ends after two levels, and another job that goes on from what it has written."""
-    r, e = written(spark, d)
+    r, e = crawl_inputs(spark, d)
     seed, known = r.where("page_id = 0").select(F.col("href").alias("url")), r.select("href")
     config, path = CrawlConfig(crawl_mode="recursive", max_pages=10**9), Scratch(spark).path("job")
-    crawl(seed, e, known, config, job=CrawlJob(spark, path), max_depth=2)
-    return crawl(seed, e, known, config, job=CrawlJob(spark, path)).select("url", "depth")
+    crawl(seed, e, known, config, job=CrawlJob(path), max_depth=2)
+    return crawl(seed, e, known, config, job=CrawlJob(path)).select("url", "depth")
+
+
+# A page's place in the queue: pages of a level by the place of the first that found them, then by the place of the link.
+# A path of such pairs, as text of fixed width, sorts as the queue does; the least path of a page is its first finding.
+_QUEUE = (
+    _frontier_sql(_EDGES).replace("FROM dir WHERE rn = 1", "FROM dir WHERE rn = 1", 1).replace("AS directive_source FROM dir", "AS directive_source, p FROM dir", 1)
+    + """, g AS (SELECT source, target, p FROM edges WHERE source_host = lower(regexp_extract(target, '^[a-z]+://([^/?#:]+)', 1)) AND NOT regexp_matches(target, '(?i)/fr/1')),
+reach(url, depth) AS (SELECT href, 0 FROM rec WHERE page_id = 10 UNION SELECT g.target, reach.depth + 1 FROM reach JOIN g ON g.source = reach.url WHERE reach.depth < 40),
+least AS (SELECT url, min(depth) AS depth FROM reach GROUP BY url),
+path(url, depth, way) AS (
+  SELECT url, 0, '' FROM least WHERE depth = 0
+  UNION ALL
+  SELECT target, depth + 1, min(way || printf('%05d', p)) FROM (
+    SELECT g.target, path.depth, path.way, g.p FROM path JOIN g ON g.source = path.url JOIN least ON least.url = g.target AND least.depth = path.depth + 1)
+  GROUP BY target, depth),
+crawled AS (SELECT url, depth, row_number() OVER (ORDER BY depth, way) - 1 AS rank FROM path)"""
+)
+
+
+@query("crawl_scheduled", _QUEUE + " SELECT c.url, depth, rank, coalesce(fetch_status, 0) AS status FROM crawled c LEFT JOIN rec ON rec.href = c.url WHERE rank < 6")
+def crawl_scheduled(spark, d):
+    """First in, first out, within the host, six pages at most; pages that the snapshot doesn't have are results with status 0."""
+    r, e = crawl_inputs(spark, d)
+    config = CrawlConfig(crawl_mode="recursive", max_pages=6, order="queue", stay_on_hostname=True, known_only=False, filter_regex="/FR/1", filter_type="exclude")
+    taken = crawl(r.where("page_id = 10").select(F.col("href").alias("url")), e, r.select("href"), config)
+    status = r.select(F.col("href").alias("url"), "fetch_status")
+    return taken.join(status, "url", "left").select("url", "depth", "rank", F.coalesce("fetch_status", F.lit(0)).alias("status"))
+
+
+@query("crawl_queue", _QUEUE.replace("page_id = 10 UNION", "page_id = 0 UNION").replace("WHERE source_host = lower(regexp_extract(target, '^[a-z]+://([^/?#:]+)', 1)) AND NOT", "WHERE target IN (SELECT href FROM rec) AND NOT") + " SELECT url, depth, rank FROM crawled WHERE rank < 200")
+def crawl_queue(spark, d):
+    """The first 200 pages of the queue of a crawl over all hosts."""
+    r, e = crawl_inputs(spark, d)
+    config = CrawlConfig(crawl_mode="recursive", max_pages=200, order="queue", filter_regex="/FR/1", filter_type="exclude")
+    return crawl(r.where("page_id = 0").select(F.col("href").alias("url")), e, r.select("href"), config).select("url", "depth", "rank")
+
+
+# A page needs 1 to 4 attempts; with 3 at most some never succeed. A round later for each attempt that fails.
+_NEED = "CASE page_id % 9 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 6 THEN 4 ELSE 1 END"
+_RETRIED = (
+    _frontier_sql(_EDGES)
+    + f""", need AS (SELECT href, fetch_status, fetch_ok, {_NEED} AS n, page_id FROM rec),
+g AS (SELECT source, target, n FROM edges JOIN need ON need.href = source WHERE target IN (SELECT href FROM rec) AND n <= 3),
+reach(url, round, depth) AS (SELECT href, 0, 0 FROM rec WHERE page_id = 0 UNION SELECT g.target, reach.round + g.n, reach.depth + 1 FROM reach JOIN g ON g.source = reach.url WHERE reach.depth < 25),
+first AS (SELECT url, min(round) AS round FROM reach GROUP BY url),
+crawled AS (SELECT url, min(depth) AS depth FROM reach JOIN first USING (url, round) GROUP BY url)
+SELECT url, depth, CASE WHEN page_id % 60 = 31 THEN 1 WHEN NOT fetch_ok THEN 3 ELSE least(n, 3) END AS attempt,
+  CASE WHEN page_id % 60 = 31 THEN NULL WHEN NOT fetch_ok THEN fetch_status WHEN n <= 3 THEN fetch_status ELSE 503 END AS status,
+  CASE WHEN page_id % 60 = 31 THEN NULL ELSE fetch_ok AND n <= 3 END AS ok
+FROM crawled JOIN need ON need.href = crawled.url"""
+)
+
+
+@query("crawl_retried", _RETRIED)
+def crawl_retried(spark, d):
+    """Pages that answer well at the first to fourth attempt, of which three are made, or never; some don't answer at all."""
+    r, e = crawl_inputs(spark, d)
+    tries = r.where("fetch_status <> 0").select("href", "fetch_status", "fetch_ok", F.expr(_NEED).alias("n"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("attempt"))
+    early = F.col("fetch_ok") & (F.col("attempt") < F.col("n"))
+    answers = tries.select(F.col("href").alias("url"), "attempt", F.when(early, 503).otherwise(F.col("fetch_status")).alias("status"), (F.col("fetch_ok") & ~early).alias("ok"))
+    config = CrawlConfig(crawl_mode="recursive", max_pages=10**9, max_retries=3)
+    out = crawl(r.where("page_id = 0").select(F.col("href").alias("url")), e, r.select("href"), config, answers=answers)
+    return out.select("url", "depth", "attempt", "status", "ok")
 
 
 @query("crawl_list", _RECORDS + " SELECT href AS url, 0 AS depth FROM rec")
-@query("crawl_list_all", _RECORDS + " SELECT href AS url, 0 AS depth FROM rec")
-def crawl_list_all(spark, d):
+def crawl_list(spark, d):
     return _crawl(spark, d, CrawlConfig(crawl_mode="list"), seed="true")
 
 
-@query("crawl_outbound", _EDGES + " SELECT href AS url, 0 AS depth FROM rec UNION ALL (SELECT DISTINCT target, 1 FROM edges WHERE target IN (SELECT href FROM rec) AND target NOT IN (SELECT href FROM rec))")
-@query("crawl_outbound_all", _EDGES + " SELECT href AS url, 0 AS depth FROM rec UNION ALL (SELECT DISTINCT target, 1 FROM edges WHERE target IN (SELECT href FROM rec) AND target NOT IN (SELECT href FROM rec))")
-def crawl_outbound_all(spark, d):
-    return _crawl(spark, d, CrawlConfig(crawl_mode="list", fetch_outbound=True), seed="true")
+# The listed pages are those with a certain word in their address: a list leaves pages out, which its links then add.
+_LISTED = "regexp_matches(href, '/(en|de)/')"
+
+
+@query("crawl_outbound", _frontier_sql(_EDGES) + f""" SELECT href AS url, 0 AS depth, CAST(NULL AS BOOLEAN) AS is_outbound FROM rec WHERE {_LISTED}
+UNION ALL (SELECT DISTINCT target, 1, true FROM edges WHERE source IN (SELECT href FROM rec WHERE {_LISTED}) AND target IN (SELECT href FROM rec WHERE NOT {_LISTED}))""")
+def crawl_outbound(spark, d):
+    """A list of the pages of two languages; what they link to is fetched once, but not followed."""
+    r, e = crawl_inputs(spark, d)
+    listed = r.where(F.col("href").rlike("/(en|de)/")).select(F.col("href").alias("url"))
+    return crawl(listed, e, r.select("href"), CrawlConfig(crawl_mode="list", fetch_outbound=True)).select("url", "depth", "is_outbound")
 
 
 @query("error_records", _EDGES + " SELECT DISTINCT target AS href, coalesce(fetch_status, 0) AS fetch_status, coalesce(fetch_ok, false) AS fetch_ok, CASE WHEN rec.href IS NULL THEN 'Failed to fetch' END AS error FROM edges LEFT JOIN rec ON target = rec.href")
@@ -596,14 +687,12 @@ def _all_files(spark, d) -> DataFrame:
 
 
 @query("archive_stats", f"SELECT id, files, CAST(bytes AS BIGINT) AS bytes FROM ({_ALL_FILES_SQL})")
-@query("archive_stats_all", f"SELECT id, files, CAST(bytes AS BIGINT) AS bytes FROM ({_ALL_FILES_SQL})")
-def archive_stats_all(spark, d):
+def archive_stats(spark, d):
     return _all_files(spark, d)
 
 
 @query("catalog_orphans", f"WITH f AS ({_ALL_FILES_SQL}), m(id, name) AS (VALUES ('1', 'a'), ('2', 'b'), ('9', 'c')) SELECT id, name, name IS NULL AS orphan, files, CASE WHEN name IS NULL THEN 'delete files' WHEN files IS NULL THEN 'rename, delete' ELSE 'rename, export, delete files, delete both' END AS actions FROM m FULL JOIN f USING (id)")
-@query("catalog_orphans_all", f"WITH f AS ({_ALL_FILES_SQL}), m(id, name) AS (VALUES ('1', 'a'), ('2', 'b'), ('9', 'c')) SELECT id, name, name IS NULL AS orphan, files, CASE WHEN name IS NULL THEN 'delete files' WHEN files IS NULL THEN 'rename, delete' ELSE 'rename, export, delete files, delete both' END AS actions FROM m FULL JOIN f USING (id)")
-def catalog_orphans_all(spark, d):
+def catalog_orphans(spark, d):
     meta = spark.createDataFrame([("1", "a"), ("2", "b"), ("9", "c")], "id string, name string")
     return catalog.manager_view(meta, _all_files(spark, d)).select("id", "name", "orphan", "files", "actions")
 
@@ -615,4 +704,4 @@ def storage_estimate(spark, d):
 
 @query("html_archive", _RECORDS + " SELECT href, octet_length(encode(html)) AS bytes FROM rec WHERE fetch_ok AND html <> ''")
 def html_archive(spark, d):
-    return catalog.archive(snapshot.load(spark, d)).select("href", F.octet_length("html").cast("long").alias("bytes"))
+    return catalog.archive(decorated.load(spark, d)).select("href", F.octet_length("html").cast("long").alias("bytes"))

