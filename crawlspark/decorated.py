@@ -32,7 +32,8 @@ deco AS (
       CASE WHEN t.page_id % 6 = 0 THEN '<meta property="og:title" content="OG ' || CAST(t.page_id % 9 AS STRING) || '"><meta property="og:site_name" content="' || t.host || '">' ELSE '' END ||
       CASE WHEN t.page_id % 8 = 1 THEN '<script type="application/ld+json">{"@type":"Article","headline":"H' || CAST(t.page_id AS STRING) || '","datePublished":"2024-01-0' || CAST(t.page_id % 9 + 1 AS STRING) || '","author":[{"name":"A"},{"name":"B"}],"publisher":{"@type":"Organization","name":"Pub"}}</script>'
            WHEN t.page_id % 8 = 3 THEN '<script type="application/ld+json">{"@graph":[{"@type":"WebPage","headline":"G' || CAST(t.page_id AS STRING) || '"},{"@type":"Article","author":{"@type":"Person","name":"Ann"},"publisher":{"@type":"Organization","name":"Deep"},"dateModified":"2024-02-0' || CAST(t.page_id % 9 + 1 AS STRING) || '"}]}</script>'
-           WHEN t.page_id % 8 = 5 THEN '<script type="application/ld+json">{"@type":"WebPage","mainEntity":{"@type":"Article","headline":"M &amp; ' || CAST(t.page_id AS STRING) || '","alternateHeadline":"alt"},"@graph":[{"@type":"Person","name":"Pat"},{"@type":"Person","name":"Sam"}]}</script>' ELSE '' END ||
+           WHEN t.page_id % 8 = 5 THEN '<script type="application/ld+json">{"@type":"WebPage","mainEntity":{"@type":"Article","headline":"M &amp; ' || CAST(t.page_id AS STRING) || '","alternateHeadline":"alt"},"@graph":[{"@type":"Person","name":"Pat"},{"@type":"Person","name":"Sam"}]}</script>'
+           WHEN t.page_id % 8 = 7 THEN '<script type="application/ld+json">{"@type":"Article","author":{"name":"A","headline":"X' || CAST(t.page_id AS STRING) || '"},"publisher":{"@type":"Organization","name":"P","dateModified":"2024"}}</script>' ELSE '' END ||
       '</head>'),
       '</nav>',
       CASE WHEN t.next_same_host IS NOT NULL THEN '<a href="' || t.next_same_host || '#x" rel="' || CASE t.page_id % 5 WHEN 0 THEN 'noopener nofollow' WHEN 1 THEN 'ugc' WHEN 2 THEN 'sponsored' ELSE 'noopener' END || '">n</a>' ELSE '' END ||

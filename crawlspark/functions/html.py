@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import python_html
 from .text import html_unescape, not_empty, once, or_empty, trim_ws
 
 
@@ -61,40 +60,6 @@ def json_ld_scripts(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), 1)
 
 
-#: A script whose keys are all in one object, but for an author and a publisher without objects of their own.
-_FLAT = r'^\s*\{[^{}\[\]]*\}\s*$'
-_INNER = r'"(?:author|publisher)"\s*:\s*(?:\{[^{}\[\]]*\}|\[\s*(?:\{[^{}\[\]]*\}\s*,?\s*)*\])'
-
-
-def _last(values: Column) -> Column:
-    """The last script's value that isn't empty wins."""
-    return or_empty(F.get(F.reverse(F.filter(values, lambda x: or_empty(x) != "")), F.lit(0)))
-
-
-def _author_names(script: Column) -> Column:
-    names = lambda raw: F.when(raw.rlike(r"^\s*\["), F.array_join(F.transform(F.from_json(raw, "array<struct<name:string>>"), lambda a: or_empty(a["name"])), ", ")).when(raw.rlike(r"^\s*\{"), F.get_json_object(raw, "$.name"))
-    return once(F.get_json_object(script, "$.author"), names)
-
-
-def _flat_fields(scripts: Column) -> Column:
-    publisher = lambda s: F.when(F.get_json_object(s, "$.publisher.@type") == "Organization", F.get_json_object(s, "$.publisher.name"))
-    named = lambda k: _last(F.transform(scripts, lambda s: F.get_json_object(s, f"$.{k}"))).alias(k)
-    return F.struct(
-        _last(F.transform(scripts, publisher)).alias("publisher"), named("dateModified"), named("datePublished"),
-        _last(F.transform(scripts, _author_names)).alias("authors"), named("headline"), named("alternateHeadline"),
-    )
-
-
-def json_ld(scripts: Column) -> Column:
-    """Struct of publisher, dateModified, datePublished, authors, headline and alternateHeadline of a page's scripts.
-
-    Keys count at any depth. Pages whose scripts are all flat are read in the JVM; Python gets only the scripts of others.
-    """
-    deep = F.exists(scripts, lambda s: ~F.regexp_replace(s, _INNER, "").rlike(_FLAT))
-    searched = python_html.schema_fields(F.when(deep, scripts))
-    return F.when(deep, searched).otherwise(_flat_fields(scripts))
-
-
 def anchors(html: Column) -> Column:
     """array<struct<href, rel>> of the a and area elements with an href, in order."""
     tags = F.regexp_extract_all(visible(html), F.lit(r"(?is)<(?:a|area)\s[^>]*>"), 0)

@@ -70,10 +70,11 @@ def deep_values(obj, key: str):
             yield from deep_values(v, key)
 
 
-def _names(value) -> str:
+def _names(value) -> str | None:
+    """None where the authors that were found before stay."""
     if isinstance(value, list):
-        return ", ".join(str(x.get("name", "")) if isinstance(x, dict) else "" for x in value)
-    return str(value.get("name") or "") if isinstance(value, dict) else ""
+        return ", ".join(str(x.get("name") or "") if isinstance(x, dict) else "" for x in value)
+    return str(value["name"]) if isinstance(value, dict) and value.get("name") else None
 
 
 _BLANK = dict.fromkeys(("publisher", "dateModified", "datePublished", "authors", "headline", "alternateHeadline"), "")
@@ -96,15 +97,16 @@ def schema_of(scripts: list[str]) -> dict:
         if isinstance(publisher, dict) and publisher.get("@type") == "Organization":
             out["publisher"] = publisher.get("name")
         for key in ("headline", "alternateHeadline", "dateModified", "datePublished"):
-            if value := first(key):
-                out[key] = value if isinstance(value, str | int | float) else None
-        if names := _names(first("author")):
+            value = first(key)
+            if value or isinstance(value, dict | list):
+                out[key] = json.dumps(value) if isinstance(value, bool) else value if isinstance(value, str | int | float) else None
+        if (names := _names(first("author"))) is not None:
             out["authors"] = names
         if not out["authors"]:
             if data is None:
                 return dict(_BLANK)
             graph = data.get("@graph") if isinstance(data, dict) else None
-            out["authors"] = ", ".join(str(x.get("name", "")) for x in graph or [] if isinstance(x, dict) and x.get("@type") == "Person")
+            out["authors"] = ", ".join(str(x["name"]) for x in (graph if isinstance(graph, list) else []) if isinstance(x, dict) and x.get("@type") == "Person" and x.get("name"))
     return out
 
 

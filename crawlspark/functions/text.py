@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from html.entities import name2codepoint
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,20 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def built_once(build: Callable) -> Callable:
+    """Keeps what ``build`` makes of names and other plain values, for each application: large Columns take Python seconds to build."""
+    kept: dict = {}
+
+    @wraps(build)
+    def get(*args):
+        key = (SparkContext._active_spark_context.applicationId, *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return get
+
+
 def trim_ws(c: Column) -> Column:
     """Strips all white space at both ends, not only spaces."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fetch, follow, urls
-from ..functions.text import or_empty
+from ..functions.text import built_once, or_empty
 
 
 def page_links(anchors: Column, parts: Column, directive: Column, scope: str = "all", start_host: str | None = None, strip: bool = True) -> Column:
@@ -35,8 +35,18 @@ def every_link(records: DataFrame, scope: str = "all", start_host: str | None =
     if html_only:
         linking = linking.where(or_empty(F.col("fetch_contentType")).contains("text/html"))
     sent = header if header is not None else F.lit(None).cast("string")
-    page = linking.select(*carry, F.col("href").alias("source"), "anchors", urls.base_parts(F.col("href")).alias("__base"), follow.of_page(F.col("robots"), sent).alias("__page"))
-    return page.select(*carry, "source", page_links(F.col("anchors"), F.col("__base"), F.col("__page"), scope, start_host).alias("links"))
+    page = linking.select(*carry, F.col("href").alias("source"), "anchors", _base().alias("__base"), follow.of_page(F.col("robots"), sent).alias("__page"))
+    return page.select(*carry, "source", _links(scope, start_host).alias("links"))
+
+
+@built_once
+def _base() -> Column:
+    return urls.base_parts(F.col("href"))
+
+
+@built_once
+def _links(scope: str, start_host: str | None) -> Column:
+    return page_links(F.col("anchors"), F.col("__base"), F.col("__page"), scope, start_host)
 
 
 def edges(records: DataFrame, scope: str = "all", start_host: str | None = None, header: Column | None = None, carry: tuple[str, ...] = (), html_only: bool = True) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fetch, html, urls
-from ..functions.text import iso_timestamp
+from ..functions.json_ld import json_ld
+from ..functions.text import built_once, iso_timestamp
 
 #: Columns that ``fetched`` looks for in a table of fetches, beside url and html (or body).
 FETCH_COLUMNS = {
@@ -62,18 +63,27 @@ def settled(attempts: DataFrame, max_retries: int = 2) -> DataFrame:
 
 def records(responses: DataFrame, readability: bool = False) -> DataFrame:
     """The page record: response facts, head fields, Open Graph, structured data and raw links; the article's text if wanted."""
+    with_ld = responses.withColumn("__ld", html.json_ld_scripts(F.col("html"))).withColumn("__ld", _structured())
+    return with_ld.select(*responses.columns, *_fields(readability))
+
+
+@built_once
+def _structured() -> Column:
+    return json_ld(F.col("__ld"))
+
+
+@built_once
+def _fields(readability: bool) -> list[Column]:
     page = F.col("html")
     fields = {name: html.meta(page, name) for name in ("description", "robots")}
     og = {f"og_{k}": html.meta(page, f"og:{k}", "property") for k in ("image", "title", "site_name", "description")}
-    with_ld = responses.withColumn("__ld", html.json_ld_scripts(page)).withColumn("__ld", html.json_ld(F.col("__ld")))
-    return with_ld.select(
-        *responses.columns,
+    return [
         html.title(page).alias("title"), html.h1(page).alias("h1"), html.canonical(page).alias("canonical"), html.meta(page, "keywords").alias("keyword"),
         *[c.alias(k) for k, c in {**fields, **og}.items()],
         *[F.col(f"__ld.{k}").alias(f"schema_{k}") for k in ("publisher", "dateModified", "datePublished", "authors", "headline", "alternateHeadline")],
         *([html.article_text(page).alias("content")] if readability else []),
         html.anchors(page).alias("anchors"),
-    )
+    ]
 
 
 def error_record(frontier: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
