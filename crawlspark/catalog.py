@@ -4,41 +4,75 @@ from __future__ import annotations
 
 import json
 import re
-import zipfile
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import format_bytes, percent
 from .functions.urls import to_filename
 from .operators.results import COLUMNS
-from .storage import delete
+from .storage import children, delete, read_text, replace_text
+from .zip_export import join_pieces, write_zip_pieces
+
+ARCHIVE = "path string, href string, html string, length long, folder int"
 
 
 class Catalog:
-    """Crawls below one folder: ``crawls`` partitioned by crawl_id, and a meta file that is written last and so commits."""
+    """Saved crawls below one folder.
+
+    A save writes a new version of the crawl and then puts its entry in place by one rename, so a reader finds the old
+    crawl or the new one, and a save that fails changes nothing. The version before stays for readers that have begun.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _entry_path(self, id_: str) -> str:
+        if not re.fullmatch(r"[A-Za-z0-9._-]+", id_):
+            raise ValueError(f"id is {id_!r}")
+        return f"{self.root}/meta/{id_}.json"
+
+    def entry(self, id_: str) -> dict | None:
+        text = read_text(self.spark, self._entry_path(id_))
+        return json.loads(text) if text else None
+
+    def _commit(self, entry: dict) -> None:
+        replace_text(self.spark, self._entry_path(entry["id"]), json.dumps(entry))
+
     def save(self, id_: str, name: str, results: DataFrame) -> None:
-        results.drop("crawl_id").write.mode("overwrite").parquet(f"{self.root}/crawls/crawl_id={id_}")
-        self.rename(id_, name)
+        old, folder = self.entry(id_), f"{self.root}/crawls/{id_}"
+        version = f"v-{uuid.uuid4().hex}"
+        results.drop("crawl_id").write.parquet(f"{folder}/{version}")
+        self._commit({"id": id_, "name": name, "version": version})
+        for left in children(self.spark, folder):
+            if left not in (version, (old or {}).get("version")):
+                delete(self.spark, f"{folder}/{left}")
 
     def rename(self, id_: str, name: str) -> None:
-        self.spark.createDataFrame([(id_, name)], "id string, name string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/meta/entry={id_}")
+        entry = self.entry(id_)
+        if entry is None:
+            raise KeyError(id_)
+        self._commit({**entry, "name": name})
 
     def list(self) -> DataFrame:
         """(id, name) of the committed crawls."""
-        return self.spark.read.parquet(f"{self.root}/meta").select("id", "name")
+        names = [f"{self.root}/meta/{n}" for n in children(self.spark, f"{self.root}/meta") if n.endswith(".json")]
+        if not names:
+            return self.spark.createDataFrame([], "id string, name string")
+        return self.spark.read.schema("id string, name string").json(names)
 
     def load(self, id_: str) -> DataFrame:
-        """Only the crawl's own partition is read."""
-        return self.spark.read.option("basePath", f"{self.root}/crawls").parquet(f"{self.root}/crawls/crawl_id={id_}")
+        """The crawl that is committed now, with its crawl_id."""
+        entry = self.entry(id_)
+        if entry is None:
+            raise KeyError(id_)
+        return self.spark.read.parquet(f"{self.root}/crawls/{id_}/{entry['version']}").withColumn("crawl_id", F.lit(id_))
 
     def delete(self, id_: str) -> None:
-        delete(self.spark, f"{self.root}/meta/entry={id_}")
-        delete(self.spark, f"{self.root}/crawls/crawl_id={id_}")
+        delete(self.spark, self._entry_path(id_))
+        delete(self.spark, f"{self.root}/crawls/{id_}")
 
 
 def manager_view(meta: DataFrame, archive_stats: DataFrame) -> DataFrame:
@@ -61,9 +95,12 @@ def archive_stats(files: DataFrame) -> DataFrame:
 
 
 def scan_archive(spark: SparkSession, root: str) -> DataFrame:
-    """(id, path, length) of the files in root/crawl-<id>/; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    return files.select(F.regexp_extract("path", r"/crawl-([^/]+)/[^/]*$", 1).alias("id"), "path", "length").where("id <> ''")
+    """(id, path, length) of the pages in the archives root/crawl-<id>; their contents are not read."""
+    folders = [n for n in children(spark, root) if n.startswith("crawl-")]
+    if not folders:
+        return spark.createDataFrame([], "id string, path string, length long")
+    files = spark.read.schema("path string, length long").option("recursiveFileLookup", True).parquet(*[f"{root}/{n}" for n in folders])
+    return files.select(F.regexp_extract("_metadata.file_path", r"/crawl-([^/]+)/[^/]*/[^/]*$", 1).alias("id"), "path", "length")
 
 
 def storage_estimate(files: DataFrame, quota: int) -> DataFrame:
@@ -71,9 +108,34 @@ def storage_estimate(files: DataFrame, quota: int) -> DataFrame:
     return used.select("used", F.lit(quota).alias("quota"), percent(F.col("used"), F.lit(quota)).alias("percent"))
 
 
-def write_archive(records: DataFrame, root: str, crawl_id: str) -> None:
-    """Pages as a Parquet archive; a later page of the same file name replaces an earlier one when it is unpacked."""
-    archive(records).write.mode("overwrite").parquet(f"{root}/crawl-{crawl_id}")
+def _folder_of(path: Column, folders: int) -> Column:
+    return F.pmod(F.hash(path), F.lit(folders)).alias("folder")
+
+
+def write_archive(pages: DataFrame, root: str, crawl_id: str, order: Sequence[str] = (), folders: int = 64) -> None:
+    """Pages (records) as an archive in folders by a hash of the file name, sorted by it.
+
+    Of pages with the same file name the last by ``order`` stays (then by URL), as if each had been written over the one before.
+    """
+    stored = pages.where(F.col("fetch_ok") & (F.col("html") != "")).withColumn("path", to_filename(F.col("href")))
+    last = stored.groupBy("path").agg(F.max_by(F.struct("href", "html"), F.struct(*order, "href")).alias("r"))
+    rows = last.select("path", "r.*", F.octet_length("r.html").cast("long").alias("length"), _folder_of(F.col("path"), folders))
+    place = f"{root.rstrip('/')}/crawl-{crawl_id}"
+    rows.repartition(folders, "folder").sortWithinPartitions("folder", "path").write.mode("overwrite").partitionBy("folder").parquet(place)
+    replace_text(pages.sparkSession, f"{place}/_archive.json", json.dumps({"folders": folders}))
+
+
+def read_archive(spark: SparkSession, root: str, crawl_id: str) -> DataFrame:
+    """(path, href, html, length) of all pages of an archive."""
+    return spark.read.schema(ARCHIVE).parquet(f"{root.rstrip('/')}/crawl-{crawl_id}").drop("folder")
+
+
+def read_page(spark: SparkSession, root: str, crawl_id: str, path: str) -> DataFrame:
+    """One page of an archive by its file name: only its folder is read."""
+    place = f"{root.rstrip('/')}/crawl-{crawl_id}"
+    folders = json.loads(read_text(spark, f"{place}/_archive.json"))["folders"]
+    stored = spark.read.schema(ARCHIVE).parquet(place)
+    return stored.where((F.col("folder") == _folder_of(F.lit(path), folders)) & (F.col("path") == path)).drop("folder")
 
 
 def export_csv(results: DataFrame, path: str) -> None:
@@ -82,14 +144,11 @@ def export_csv(results: DataFrame, path: str) -> None:
     results.select(*titled).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
 
 
-def export_zip(archive_rows: DataFrame, path: str) -> int:
-    """A ZIP file on the driver of (path, html) rows, which are passed one by one."""
-    n = 0
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for row in archive_rows.select("path", "html").toLocalIterator():
-            out.writestr(row["path"], row["html"])
-            n += 1
-    return n
+def export_zip(archive_rows: DataFrame, path: str) -> None:
+    """One ZIP file of (path, html) rows, packed by tasks; a file of the store that ``path`` names."""
+    pieces = write_zip_pieces(archive_rows, f"{path}.pieces-{uuid.uuid4().hex}")
+    join_pieces(archive_rows.sparkSession, pieces, path)
+    delete(archive_rows.sparkSession, pieces[-1][0].rsplit("/", 1)[0])
 
 
 class Presets:

@@ -6,6 +6,7 @@ The inputs are made from the test pages by arithmetic on page_id.
 from __future__ import annotations
 
 import gzip
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from .plans.crawl import crawl
 from .queries import _EDGES, _LISTED, _RECORDS, _RESULTS, _ROBOTS, _UNESCAPE, _VISIBLE, ORACLES, QUERIES, _trim, pages, query, records, written
 from .sources import seeds, snapshot
 from .storage import Scratch
+from .zip_export import read_zip
 
 
 def _id() -> Column:
@@ -292,15 +294,66 @@ def crawl_saved(spark, d):
     return saved.load("1").select("href", "fetch_status", "title", "indexable", "inbound_count")
 
 
-@query("crawl_names", "SELECT * FROM (VALUES ('1', 'one'), ('3', 'drei')) AS t(id, name)")
+@query("crawl_names", "SELECT CAST(page_id % 7 AS VARCHAR) AS id, CASE page_id % 7 WHEN 3 THEN 'drei' ELSE 'crawl ' || page_id % 7 END AS name, count(*) AS pages FROM pages WHERE page_id % 7 <> 2 GROUP BY ALL")
 def crawl_names(spark, d):
+    """Seven crawls, of which one is renamed and one deleted, with their pages."""
     saved = catalog.Catalog(spark, Scratch(spark).path("catalog"))
     table = pages(spark, d).select("page_id", "url")
-    for id_, name in (("1", "one"), ("2", "two"), ("3", "three")):
-        saved.save(id_, name, table)
+    for k in range(7):
+        saved.save(str(k), f"crawl {k}", table.where(_id() % 7 == k))
     saved.rename("3", "drei")
     saved.delete("2")
-    return saved.list()
+    loaded = [saved.load(k).groupBy(F.col("crawl_id").alias("id")).agg(F.count(F.lit(1)).alias("pages")) for k in "013456"]
+    return saved.list().join(reduce(DataFrame.unionByName, loaded), "id")
+
+
+@query("crawl_saved_again", "SELECT url, page_id * 2 AS twice FROM pages")
+def crawl_saved_again(spark, d):
+    """A crawl that is saved again under its id: the new one is there whole."""
+    saved = catalog.Catalog(spark, Scratch(spark).path("catalog"))
+    table = pages(spark, d).select("url", _id().alias("twice"))
+    saved.save("7", "first", table)
+    saved.save("7", "second", saved.load("7").select("url", (F.col("twice") * 2).alias("twice")))
+    return saved.load("7").select("url", "twice")
+
+
+_FILE_NAME = "substr(regexp_replace(regexp_replace(regexp_extract(href, '^[a-zA-Z]+://([^#]*)', 1), '[^a-zA-Z0-9._-]', '_', 'g'), '_+', '_', 'g'), 1, 200) || '.html'"
+_ARCHIVED = _RECORDS + f""", twice AS (SELECT {_FILE_NAME} AS path, href, html, 0 AS t FROM rec WHERE fetch_ok AND html <> ''
+  UNION ALL SELECT {_FILE_NAME}, href, html || '<!-- again -->', 1 FROM rec WHERE fetch_ok AND html <> '' AND href LIKE '%/en/%'),
+files AS (SELECT path, max_by(href, (t, href)) AS href, max_by(html, (t, href)) AS html FROM twice GROUP BY path)"""
+
+
+def _archived(spark, d) -> str:
+    """An archive of all pages, of which those of one language were fetched again later; its place."""
+    place, seen = Scratch(spark).path("archive"), decorated.load(spark, d).withColumn("t", F.lit(0))
+    again = seen.where("href like '%/en/%'").withColumns({"html": F.concat("html", F.lit("<!-- again -->")), "t": F.lit(1)})
+    catalog.write_archive(seen.unionByName(again), place, "5", order=["t"])
+    return place
+
+
+@query("archive_collisions", _ARCHIVED + " SELECT path, href, md5(html) AS html_md5, octet_length(encode(html)) AS length FROM files")
+def archive_collisions(spark, d):
+    return catalog.read_archive(spark, _archived(spark, d), "5").select("path", "href", F.md5("html").alias("html_md5"), "length")
+
+
+@query("archive_page", _ARCHIVED + f" SELECT path, href, md5(html) AS html_md5 FROM files WHERE path = (SELECT {_FILE_NAME} FROM rec WHERE page_id = 8)")
+def archive_page(spark, d):
+    place = _archived(spark, d)
+    name = decorated.load(spark, d).where("page_id = 8").select(urls.to_filename(F.col("href")).alias("n")).first()["n"]
+    return catalog.read_page(spark, place, "5", name).select("path", "href", F.md5("html").alias("html_md5"))
+
+
+@query("archive_scan", _ARCHIVED + " SELECT '5' AS id, count(*) AS files, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM files")
+def archive_scan(spark, d):
+    return catalog.archive_stats(catalog.scan_archive(spark, _archived(spark, d)))
+
+
+@query("zip_export", _ARCHIVED + " SELECT path, md5(html) AS md5 FROM files")
+def zip_export(spark, d):
+    """All pages of an archive in one ZIP file, unpacked again."""
+    place = _archived(spark, d)
+    catalog.export_zip(catalog.read_archive(spark, place, "5"), f"{place}/export.zip")
+    return read_zip(spark, f"{place}/export.zip").select("path", F.md5("data").alias("md5"))
 
 
 @query("csv_export", _RESULTS + ' SELECT href AS url, CAST(fetch_status AS VARCHAR) AS status, title, CAST(indexable AS VARCHAR) AS indexable, CAST(coalesce(inbound_count, 0) AS VARCHAR) AS "inbound links" FROM wide')

@@ -126,14 +126,11 @@ def test_catalog(spark, tmp_path, crawled):
     view = catalog.manager_view(saved.list(), catalog.archive_stats(files)).collect()
     assert [(r.id, r.orphan, r.size) for r in view] == [("2", False, "100 B"), ("1", False, "0 B"), ("3", True, "2 KB")]
     saved.delete("1")
+    assert saved.entry("1") is None
     assert rows(saved.list(), "id") == [("2",)]
     catalog.export_csv(table, f"{tmp_path}/csv")
     back = spark.read.option("header", True).csv(f"{tmp_path}/csv")
     assert back.count() == 5 and back.columns[:2] == ["url", "status"]
-    assert catalog.export_zip(catalog.archive(crawled[0]), f"{tmp_path}/a.zip") == 2
-    (tmp_path / "arch/crawl-7").mkdir(parents=True)
-    (tmp_path / "arch/crawl-7/x.html").write_text("abc")
-    assert rows(catalog.scan_archive(spark, f"{tmp_path}/arch"), "id", "length") == [("7", 3)]
     presets = catalog.Presets(f"{tmp_path}/p.json")
     presets.add(" a ", "x+", "include")
     presets.add("b", "y", "exclude")
