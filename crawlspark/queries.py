@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import catalog, decorated, schedule
 from .decorated import DECORATED
 from .functions import fetch, html, python_html, text, urls
+from .functions.article import article
 from .operators import issues, links, results, robots, stats
 from .plans.config import CrawlConfig
 from .plans.crawl import CrawlJob, crawl
@@ -205,6 +206,13 @@ def readability_text(spark, d):
     return pages(spark, d).select("page_id", html.article_text(F.col("html")).alias("content"))
 
 
+@query("article_by_scores", ORACLES["readability_text"])
+def article_by_scores(spark, d):
+    """The article's text, found by the scores of its blocks: its tag is an ordinary one here."""
+    plain = F.replace(F.replace("html", F.lit("<article>"), F.lit("<div>")), F.lit("</article>"), F.lit("</div>"))
+    return pages(spark, d).select("page_id", article(plain).alias("a")).select("page_id", "a.content")
+
+
 # --- links -----------------------------------------------------------------------------------------------------------
 @query("link_edges", _EDGES + " SELECT source, target, follow, directive_source FROM edges")
 def link_edges(spark, d):

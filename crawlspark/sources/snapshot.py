@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fetch, html, urls
+from ..functions.article import article
 from ..functions.json_ld import json_ld
 from ..functions.text import built_once, iso_timestamp
 
@@ -62,9 +63,12 @@ def settled(attempts: DataFrame, max_retries: int = 2) -> DataFrame:
 
 
 def records(responses: DataFrame, readability: bool = False) -> DataFrame:
-    """The page record: response facts, head fields, Open Graph, structured data and raw links; the article's text if wanted."""
+    """The page record: response facts, head fields, Open Graph, structured data and raw links; the article's text and paragraphs if wanted."""
     with_ld = responses.withColumn("__ld", html.json_ld_scripts(F.col("html"))).withColumn("__ld", _structured())
-    return with_ld.select(*responses.columns, *_fields(readability))
+    if not readability:
+        return with_ld.select(*responses.columns, *_fields())
+    read = with_ld.select(*responses.columns, *_fields(), article("html").alias("__article"))
+    return read.select("*", "__article.content", "__article.paragraphs").drop("__article")
 
 
 @built_once
@@ -73,7 +77,7 @@ def _structured() -> Column:
 
 
 @built_once
-def _fields(readability: bool) -> list[Column]:
+def _fields() -> list[Column]:
     page = F.col("html")
     fields = {name: html.meta(page, name) for name in ("description", "robots")}
     og = {f"og_{k}": html.meta(page, f"og:{k}", "property") for k in ("image", "title", "site_name", "description")}
@@ -81,7 +85,6 @@ def _fields(readability: bool) -> list[Column]:
         html.title(page).alias("title"), html.h1(page).alias("h1"), html.canonical(page).alias("canonical"), html.meta(page, "keywords").alias("keyword"),
         *[c.alias(k) for k, c in {**fields, **og}.items()],
         *[F.col(f"__ld.{k}").alias(f"schema_{k}") for k in ("publisher", "dateModified", "datePublished", "authors", "headline", "alternateHeadline")],
-        *([html.article_text(page).alias("content")] if readability else []),
         html.anchors(page).alias("anchors"),
     ]
 
