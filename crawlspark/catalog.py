@@ -152,21 +152,23 @@ def export_zip(archive_rows: DataFrame, path: str) -> None:
 
 
 class Presets:
-    """Named regular expressions of one settings file."""
+    """Named regular expressions of one settings file in the shared store."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
     def all(self) -> list[dict]:
-        try:
-            with open(self.path, encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return []
+        return json.loads(read_text(self.spark, self.path) or "[]")
+
+    def get(self, name: str) -> dict:
+        """The preset of that name; KeyError without one."""
+        for preset in self.all():
+            if preset["name"] == name:
+                return preset
+        raise KeyError(name)
 
     def _write(self, presets: list[dict]) -> None:
-        with open(self.path, "w", encoding="utf-8") as f:
-            json.dump(presets, f)
+        replace_text(self.spark, self.path, json.dumps(presets))
 
     def add(self, name: str, regex: str, kind: str) -> None:
         if not name.strip():

@@ -18,7 +18,7 @@ from .functions import fetch, text, urls
 from .operators import links, results, robots
 from .plans.config import CrawlConfig
 from .plans.crawl import crawl
-from .queries import _EDGES, _LISTED, _RECORDS, _RESULTS, _ROBOTS, _UNESCAPE, _VISIBLE, ORACLES, QUERIES, _trim, pages, query, records, written
+from .queries import _EDGES, _LISTED, _QUEUE, _RECORDS, _RESULTS, _ROBOTS, _UNESCAPE, _VISIBLE, ORACLES, QUERIES, _reach, _trim, crawl_inputs, pages, query, records, written
 from .sources import seeds, snapshot
 from .storage import Scratch
 from .zip_export import read_zip
@@ -209,6 +209,17 @@ def robots_overrides(spark, d):
     return table
 
 
+@query("robots_refetched", r"""WITH o AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+')) AS origin FROM pages)
+SELECT origin, CASE length(origin) % 4 WHEN 0 THEN 'new' WHEN 1 THEN '' ELSE 'old' END AS text FROM o UNION ALL SELECT 'https://added.example', 'new'""")
+def robots_refetched(spark, d):
+    """Every robots.txt fetched again: found, not found, or failed by the origin's length; an origin is added, another is none."""
+    origins = pages(spark, d).select(urls.origin(F.col("url")).alias("origin")).distinct()
+    kind = F.length("origin") % 4
+    answers = origins.select(F.concat(F.lit(" "), F.upper("origin"), F.lit("/")).alias("origin"), F.when(kind < 2, kind == 0).alias("ok"), F.lit("new").alias("text"))
+    typed = spark.createDataFrame([("https://added.example/", True, "new"), ("no origin", True, "new")], "origin string, ok boolean, text string")
+    return robots.upsert_fetched(origins.withColumn("text", F.lit("old")), answers.unionByName(typed))
+
+
 @query("robots_listing", r"SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+')) AS origin, CASE WHEN length(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+')) % 2 = 1 THEN 'override' ELSE 'fetched' END AS badge, length(CASE WHEN length(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+')) % 2 = 1 THEN 'mine' ELSE '" + _ROBOTS.replace("'", "''") + "' END) AS chars FROM pages")
 def robots_listing(spark, d):
     origins = pages(spark, d).select(urls.origin(F.col("url")).alias("origin")).distinct()
@@ -274,16 +285,51 @@ def schedule_sources(spark, d):
     return _schedules(spark, d).select("id", seeds.first_url(c("spider"), c("urls"), c("sitemap")).alias("first_url"), text.count_lines(F.coalesce("urls", F.lit(""))).alias("lines"))
 
 
-@query("scheduled_records", _RECORDS + """ SELECT href, fetch_status, fetch_ok, 't' || page_id AS fetch_timestamp, false AS fetch_redirected, '' AS "fetch_statusText", title, description, h1, canonical, og_title, og_description,
-  CASE WHEN page_id % 4 = 0 THEN 'failed' END AS error FROM rec""")
+@query("scheduled_records", _QUEUE + """ SELECT c.url AS href, coalesce(fetch_status, 0) AS fetch_status, coalesce(fetch_ok, false) AS fetch_ok, '2024-01-03T00:00:00.000Z' AS fetch_timestamp, false AS fetch_redirected,
+  '' AS "fetch_statusText", coalesce(title, '') AS title, coalesce(description, '') AS description, coalesce(h1, '') AS h1, coalesce(canonical, '') AS canonical, coalesce(og_title, '') AS og_title, coalesce(og_description, '') AS og_description,
+  CASE WHEN rec.href IS NULL THEN 'Failed to fetch' END AS error FROM crawled c LEFT JOIN rec ON rec.href = c.url""")
 def scheduled_records(spark, d):
-    flat = records(spark, d).select(
-        F.col("href").alias("url"), F.col("fetch_status").alias("status"), F.col("fetch_ok").alias("ok"), F.concat(F.lit("t"), _text()).alias("timestamp"), "title", "description", "h1", "canonical",
-        F.nullif(F.col("og_title"), F.lit("")).alias("ogTitle"), F.col("og_description").alias("ogDescription"), F.when(_id() % 4 == 0, "failed").alias("error"),
-    )
+    """The records of a schedule's crawl: fetched in queue order, flat, then in the form of saved crawls, flattened for the table."""
+    r, e = crawl_inputs(spark, d)
+    config = CrawlConfig(crawl_mode="recursive", max_pages=500, order="queue", stay_on_hostname=True, known_only=False, filter_regex="/FR/1", filter_type="exclude")
+    taken = crawl(r.where("page_id = 10").select(F.col("href").alias("url")), e, r.select("href"), config)
+    flat = snapshot.flat_records(taken, r, F.lit("2024-01-03T00:00:00.000Z"))
     return results.flatten(schedule.nested_records(flat))
 
 
+@query("url_list_prefix", "SELECT url FROM (SELECT CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN upper(url) WHEN 2 THEN 'httpx' || url ELSE 'ftp' || url END AS url FROM pages) WHERE starts_with(url, 'http')")
+def url_list_prefix(spark, d):
+    """A schedule's list: of lines in other spellings those that begin with http."""
+    line = F.when(_id() % 4 == 0, F.col("url")).when(_id() % 4 == 1, F.upper("url")).when(_id() % 4 == 2, F.concat(F.lit("httpx"), "url")).otherwise(F.concat(F.lit("ftp"), "url"))
+    return seeds.prefixed_list(pages(spark, d).select(F.concat(F.lit(" \t"), line, F.lit(" \r")).alias("value")))
+
+
+@query("list_limit", "SELECT count(*) AS urls, count(*) > 100 AS over_limit FROM pages")
+def list_limit(spark, d):
+    return seeds.over_limit(seeds.url_list(pages(spark, d).select(F.col("url").alias("value"))), 100)
+
+
+@query("preset_filter", "SELECT url FROM pages WHERE NOT regexp_matches(url, '(?i)/(DE|fr)/')")
+def preset_filter(spark, d):
+    """A saved preset, applied to all URLs."""
+    presets = catalog.Presets(spark, Scratch(spark).path("presets.json"))
+    presets.add("numbers", "[0-9]+$", "include")
+    presets.add(" languages ", "/(DE|fr)/", "exclude")
+    presets.delete("1")
+    preset = presets.get("languages")
+    return seeds.regex_filter(pages(spark, d).select("url"), preset["regex"], preset["type"])
+
+
+@query("crawl_settings", _reach("page_id = 0", links_where="NOT regexp_matches(target, '(?i)/DE/')") + " SELECT url, depth FROM crawled ORDER BY depth, url LIMIT 30")
+def crawl_settings(spark, d):
+    """A crawl with settings that were saved and read again."""
+    path = Scratch(spark).path("settings.json")
+    CrawlConfig(crawl_mode="recursive", max_pages=30).save(spark, path)
+    CrawlConfig(crawl_mode="recursive", max_pages=30, filter_regex="/DE/", filter_type="exclude").save(spark, path)
+    r, e = crawl_inputs(spark, d)
+    return crawl(r.where("page_id = 0").select(F.col("href").alias("url")), e, r.select("href"), CrawlConfig.load(spark, path)).select("url", "depth")
+
+
 # --- catalogue and exports -------------------------------------------------------------------------------------------
 @query("crawl_saved", _RESULTS + " SELECT href, fetch_status, title, indexable, inbound_count FROM wide")
 def crawl_saved(spark, d):

@@ -27,11 +27,16 @@ COLUMNS = [
 
 
 def flatten(df: DataFrame) -> DataFrame:
-    """Struct columns become columns a_b; what is nested deeper, or an array, is left out of them."""
+    """Struct columns become columns a_b and arrays a_0, a_1 and so on, as many as the longest has; what is nested deeper is left out."""
+    plain = lambda t: t.typeName() not in ("struct", "array", "map")
+    arrays = [f.name for f in df.schema.fields if f.dataType.typeName() == "array" and plain(f.dataType.elementType)]
+    longest = df.agg(*[F.max(F.size(F.col(f"`{a}`"))).alias(a) for a in arrays]).first().asDict() if arrays else {}
     out = []
     for f in df.schema.fields:
-        if f.dataType.typeName() == "struct":
-            out += [F.col(f"`{f.name}`.`{x.name}`").alias(f"{f.name}_{x.name}") for x in f.dataType.fields if x.dataType.typeName() not in ("struct", "array", "map")]
+        if f.dataType.typeName() == "array":
+            out += [F.get(F.col(f"`{f.name}`"), F.lit(i)).alias(f"{f.name}_{i}") for i in range(longest.get(f.name) or 0)]
+        elif f.dataType.typeName() == "struct":
+            out += [F.col(f"`{f.name}`.`{x.name}`").alias(f"{f.name}_{x.name}") for x in f.dataType.fields if plain(x.dataType)]
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)

@@ -23,6 +23,16 @@ def upsert_override(overrides: DataFrame, origin: str, text: str | None) -> Data
     return kept.unionByName(overrides.sparkSession.createDataFrame([(origin, text)], "origin string, text string"))
 
 
+def upsert_fetched(fetched: DataFrame, answers: DataFrame) -> DataFrame:
+    """(origin, text) after robots.txt was fetched again: answers (origin as typed, ok, text, and NULL in ok where the fetch failed).
+
+    An answer that isn't ok is an empty text; a failed fetch, or an origin that is none, changes nothing.
+    """
+    new = answers.select(urls.normalised_origin(F.col("origin")).alias("origin"), F.when(F.col("ok"), F.coalesce("text", F.lit(""))).otherwise("").alias("text"), "ok")
+    new = new.where("origin is not null and ok is not null").groupBy("origin").agg(F.max("text").alias("text"))
+    return fetched.join(new.select("origin"), "origin", "left_anti").unionByName(new)
+
+
 def _regex(pattern: Column) -> Column:
     """A path pattern with * and a final $ as a regular expression."""
     ends = pattern.endswith("$")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass, fields
+
+from pyspark.sql import SparkSession
+
+from ..storage import read_text, replace_text
 
 
 @dataclass(frozen=True)
@@ -34,3 +39,13 @@ class CrawlConfig:
             raise ValueError(f"crawl_mode is {self.crawl_mode!r}")
         if self.filter_type not in ("", "include", "exclude"):
             raise ValueError(f"filter_type is {self.filter_type!r}")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Replaces the settings file as a whole."""
+        replace_text(spark, path, json.dumps(asdict(self)))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CrawlConfig:
+        """What was saved; defaults for what it lacks, or without a file. Settings of other names are passed over."""
+        saved = json.loads(read_text(spark, path) or "{}")
+        return cls(**{f.name: saved[f.name] for f in fields(cls) if f.name in saved})

@@ -188,10 +188,11 @@ def jsonld_deep(spark, d):
     return found.select("page_id", *[F.col(f"s.{k}").alias(f"schema_{k}") for k in _LD_FIELDS])
 
 
-@query("flatten", _RECORDS + ' SELECT href, fetch_status AS fetch_status, fetch_ok AS fetch_ok, title AS meta_title, robots AS meta_robots FROM rec')
+@query("flatten", _RECORDS + ' SELECT href, fetch_status AS fetch_status, fetch_ok AS fetch_ok, title AS meta_title, robots AS meta_robots, '
+    + ", ".join(f"string_split(host, '.')[{i + 1}] AS label_{i}" for i in range(4)) + " FROM rec")  # hosts have four labels at most
 def flatten(spark, d):
     r = records(spark, d)
-    nested = r.select("href", F.struct(F.col("fetch_status").alias("status"), F.col("fetch_ok").alias("ok")).alias("fetch"), F.struct("title", "robots", F.array("h1").alias("list")).alias("meta"))
+    nested = r.select("href", F.struct(F.col("fetch_status").alias("status"), F.col("fetch_ok").alias("ok")).alias("fetch"), F.struct("title", "robots", F.array("h1").alias("list")).alias("meta"), F.split("host", r"\.").alias("label"), F.array(F.struct("h1")).alias("deep"))
     return results.flatten(nested)
 
 

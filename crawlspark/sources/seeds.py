@@ -21,6 +21,11 @@ def url_list(lines: DataFrame, base: str | None = None, column: str = "value") -
     return lines.select(resolved.alias("url")).where(urls.is_http(F.col("url")))
 
 
+def prefixed_list(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(url) of a schedule's list: trimmed lines that begin with http, as they are."""
+    return lines.select(trim_ws(F.col(column)).alias("url")).where(F.col("url").startswith("http"))
+
+
 def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return url_list(spark.read.text(path))
 

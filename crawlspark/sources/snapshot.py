@@ -89,6 +89,21 @@ def _fields() -> list[Column]:
     ]
 
 
+def flat_records(frontier: DataFrame, pages: DataFrame, timestamp: Column, url: str = "url") -> DataFrame:
+    """What a schedule's fetch of each URL gives: (url, status, ok, timestamp, title, description, h1, canonical, ogTitle, ogDescription, error).
+
+    A URL that the snapshot (records) doesn't have failed: status 0, an empty title and an error.
+    """
+    fields = {"title": "title", "description": "description", "h1": "h1", "canonical": "canonical", "ogTitle": "og_title", "ogDescription": "og_description"}
+    missing = F.col("href").isNull()
+    met = frontier.select(F.col(url).alias("__url")).join(pages.select("href", "fetch_status", "fetch_ok", *fields.values()), F.col("__url") == F.col("href"), "left")
+    return met.select(
+        F.col("__url").alias("url"), F.coalesce("fetch_status", F.lit(0)).alias("status"), F.coalesce("fetch_ok", F.lit(False)).alias("ok"), timestamp.alias("timestamp"),
+        *[(F.when(missing, F.lit("")).otherwise(F.col(c)) if k == "title" else F.col(c)).alias(k) for k, c in fields.items()],
+        F.when(missing, "Failed to fetch").alias("error"),
+    )
+
+
 def error_record(frontier: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
     """Lookup of URLs in a snapshot: a miss is a record with status 0 and an error."""
     missing = F.col("href").isNull()

@@ -89,6 +89,12 @@ def _file(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def _small_file(spark: SparkSession, path: str):
+    """As ``_file``; on a local file system without the files of checksums beside it, which are not replaced with a file at once."""
+    fs, target = _file(spark, path)
+    return (fs.getRawFileSystem() if fs.getScheme() == "file" else fs), target
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     """Removes a file or folder of any store that Spark can write."""
     fs, target = _file(spark, path)
@@ -108,7 +114,7 @@ def children(spark: SparkSession, path: str) -> list[str]:
 
 def create_text(spark: SparkSession, path: str, text: str) -> bool:
     """Writes a small file unless there is one; False if there is. Of several who try, one succeeds."""
-    fs, target = _file(spark, path)
+    fs, target = _small_file(spark, path)
     try:
         out = fs.create(target, False)
     except Py4JJavaError as error:
@@ -134,7 +140,7 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
 
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text; None if there is none."""
-    fs, target = _file(spark, path)
+    fs, target = _small_file(spark, path)
     if not fs.exists(target):
         return None
     stream = fs.open(target)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from crawlspark import catalog, decorated, schedule
 from crawlspark.operators import issues, links, results, robots, stats
+from crawlspark.plans.config import CrawlConfig
 from crawlspark.sources import seeds, snapshot
 from crawlspark.streaming.live_stats import live_summary
 
@@ -54,6 +55,22 @@ def test_results(crawled):
     assert ("fetch", "status", "404") in rows(results.detail_sections(crawled[0].drop("html", "anchors"), "https://a.x/b"), "section", "key", "value")
 
 
+def test_flatten(spark):
+    df = spark.createDataFrame([("k", [1, 2], {"x": 1}, [[1]]), ("l", [], {}, None), ("m", None, None, None)], "k string, a array<int>, m map<string,int>, d array<array<int>>")
+    flat = results.flatten(df.withColumn("s", F.struct("k", "a")))
+    assert flat.columns == ["k", "a_0", "a_1", "m", "s_k"] and rows(flat, "k", "a_0", "a_1") == [("k", 1, 2), ("l", None, None), ("m", None, None)]
+    assert results.flatten(df.limit(0).select("k", "a")).columns == ["k"]
+
+
+def test_settings(spark, tmp_path):
+    path = f"file://{tmp_path}/settings.json"
+    assert CrawlConfig.load(spark, path) == CrawlConfig()
+    CrawlConfig(max_pages=7, order="queue").save(spark, path)
+    assert CrawlConfig.load(spark, path) == CrawlConfig(max_pages=7, order="queue")
+    (tmp_path / "settings.json").write_text('{"max_pages": 9, "colour": "red"}')
+    assert CrawlConfig.load(spark, path) == CrawlConfig(max_pages=9)
+
+
 def test_latest(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, "q")], "href string, fetch_timestamp int, v string")
     assert rows(results.latest(df), "href", "v") == [("a", "z"), ("b", "q")]
@@ -131,7 +148,7 @@ def test_catalog(spark, tmp_path, crawled):
     catalog.export_csv(table, f"{tmp_path}/csv")
     back = spark.read.option("header", True).csv(f"{tmp_path}/csv")
     assert back.count() == 5 and back.columns[:2] == ["url", "status"]
-    presets = catalog.Presets(f"{tmp_path}/p.json")
+    presets = catalog.Presets(spark, f"file://{tmp_path}/p.json")
     presets.add(" a ", "x+", "include")
     presets.add("b", "y", "exclude")
     presets.delete("1")
