@@ -46,17 +46,32 @@ def skipped(href: Column) -> Column:
     return href.isNull() | (href == "") | href.startswith("#") | href.startswith("javascript:") | href.contains("${") | href.contains("{{")
 
 
+#: Characters that stay as they are in a path and in a query; all others are percent-encoded. A percent sign stays.
+_PATH_SAFE, _QUERY_SAFE = r"!$%&'()*+,\-./0-9:;=@A-Z\[\]_a-z|~\\", r"!$%&()*+,\-./0-9:;=?@A-Z\[\]^_`a-z{|}~\\"
+_USER_SAFE, _FRAGMENT_SAFE = r"!$%&'()*+,\-.0-9A-Z_a-z~", r"#!$%&'()*+,\-./0-9:;=?@A-Z\[\]^_a-z{|}~\\"
+#: URLs that are written out already: no capitals in the host, no port or user, no dots to remove, nothing to encode.
+_PLAIN = rf"^https?://[a-z0-9.-]*[a-z][a-z0-9.-]*/[{_PATH_SAFE}]*(?:\?[{_QUERY_SAFE}]*)?$"
+_DOTS = r"(?i)/(?:\.|%2e){1,2}(?:/|$|\?)"
+
+
+def _encoded(text: Column, safe: str) -> Column:
+    """Percent-encodes the UTF-8 bytes of characters that aren't safe."""
+    one = lambda c: F.when(c.rlike(f"^[{safe}]$"), c).otherwise(F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1"))
+    return F.when(text.rlike(f"[^{safe}]"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), 0), one), "")).otherwise(text)
+
+
 def _without_dots(path: Column) -> Column:
-    """Removes '.' and '..' segments; the path begins with '/'."""
+    """Removes '.' and '..' segments, also with encoded dots; the path begins with '/'."""
     parts = F.split(path, "/")
     empty = F.array().cast("array<string>")
+    single, double = (lambda x: x.rlike(r"(?i)^(?:\.|%2e)$")), (lambda x: x.rlike(r"(?i)^(?:\.|%2e){2}$"))
     last = F.element_at(parts, -1)
     kept = F.aggregate(
         F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), empty,
-        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+        lambda acc, x: F.when(double(x), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(single(x), acc).otherwise(F.concat(acc, F.array(x))),
     )
-    ended = lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(last.isin(".", "..") & (F.size(k) > 0), "/").otherwise(""))
-    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), once(kept, ended)).otherwise(path)
+    ended = lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when((single(last) | double(last)) & (F.size(k) > 0), "/").otherwise(""))
+    return F.when(path.rlike(_DOTS), once(kept, ended)).otherwise(path)
 
 
 def base_parts(base: Column) -> Column:
@@ -64,44 +79,82 @@ def base_parts(base: Column) -> Column:
     plain = strip_fragment(base)
     path = F.regexp_extract(plain, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?]*([^?]*)", 1)
     return F.struct(
-        origin(base).alias("root"), host(base).alias("host"), plain.alias("plain"),
-        F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1).alias("scheme"),
+        F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1).alias("root"), host(base).alias("host"), plain.alias("plain"),
+        F.lower(F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)).alias("scheme"),
         F.regexp_replace(plain, r"(?s)\?.*$", "").alias("no_query"),
         F.when(path.contains("/"), F.regexp_extract(path, r"(?s)^(.*/)", 1)).otherwise("/").alias("folder"),
     )
 
 
+def _ascii_host(name: Column) -> Column:
+    """A host in ASCII: percent-decoded, lower case, international labels in their ASCII form; NULL if it can't be one."""
+    decoded = F.when(name.contains("%"), F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).otherwise(name)
+    small = once(decoded, lambda d: F.when(d.rlike(r"[^\x00-\x7f]"), F.lower(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), F.lower(d)))).otherwise(F.lower(d)))
+    return once(small, lambda h: F.when(h.rlike(r"^\[[0-9a-f:.]+\]$") | ((h != "") & ~h.rlike(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]")), h))
+
+
+def _port(port: Column, scheme: Column) -> Column:
+    """':8080' of what follows the host; '' for none and the scheme's own; NULL if it is none."""
+    number = F.regexp_extract(port, r"^:([0-9]*)$", 1).try_cast("int")
+    default = F.when(scheme == "https:", 443).otherwise(80)
+    return F.when(port.isin("", ":") | (number == default), "").when(number <= 65535, F.concat(F.lit(":"), number.cast("string")))
+
+
 def _written_out(joined: Column) -> Column:
-    """A URL with its origin in lower case, without dots in the path; others as they are."""
-    rest = F.regexp_extract(joined, r"(?s)^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    tail = F.regexp_extract(joined, r"(?s)^[^?#]*(.*)$", 1)
-    path = once(rest, lambda r: F.when(r == "", "/").otherwise(_without_dots(r)))
-    return F.coalesce(F.concat(origin(joined), path, tail), joined)
+    """An http URL as the standard writes it; NULL if it is none. Others stay as they are."""
+
+    def parts_of(u: Column) -> Column:
+        authority = F.regexp_extract(u, r"^[a-zA-Z]+://([^/?#]*)", 1)
+        place = F.regexp_replace(authority, r"(?s)^.*@", "")
+        return F.struct(
+            F.lower(F.regexp_extract(u, r"^([a-zA-Z]+:)", 1)).alias("scheme"), F.regexp_extract(authority, r"(?s)^(.*)@", 1).alias("user"), F.contains(authority, F.lit("@")).alias("has_user"),
+            F.regexp_replace(place, r":[^:\]]*$", "").alias("name"), F.regexp_extract(place, r"(:[^:\]]*)$", 1).alias("port"),
+            F.regexp_extract(u, r"(?s)^[a-zA-Z]+://[^/?#]*([^?#]*)", 1).alias("path"), F.regexp_extract(u, r"(?s)^[^?#]*(\?[^#]*)", 1).alias("query"), F.regexp_extract(u, r"(?s)(#.*)$", 1).alias("fragment"),
+        )
+
+    def written(p: Column) -> Column:
+        password = F.regexp_extract(p["user"], r"(?s)^[^:]*:(.+)$", 1)
+        user = F.concat(_encoded(F.regexp_extract(p["user"], r"(?s)^([^:]*)", 1), _USER_SAFE), F.when(password != "", F.concat(F.lit(":"), _encoded(password, _USER_SAFE))).otherwise(""))
+        user = F.when(p["has_user"] & ~p["user"].isin("", ":"), F.concat(user, F.lit("@"))).otherwise("")
+        path = F.when(p["path"] == "", "/").otherwise(_encoded(_without_dots(p["path"]), _PATH_SAFE))
+        return F.concat(p["scheme"], F.lit("//"), user, _ascii_host(p["name"]), _port(p["port"], p["scheme"]), path, _encoded(p["query"], _QUERY_SAFE), _encoded(p["fragment"], _FRAGMENT_SAFE))
+
+    plain = joined.rlike(_PLAIN) & ~joined.rlike(_DOTS)
+    return F.when(plain | ~joined.rlike(r"^(?i)https?:"), joined).otherwise(once(parts_of(joined), written))
 
 
 def resolve_on(href: Column, parts: Column) -> Column:
     """As ``resolve``, with the ``base_parts`` of the page."""
 
     def joined(h: Column) -> Column:
-        return (
-            F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
-            .when(h.startswith("//"), F.concat(parts["scheme"], h))
-            .when(h.startswith("/"), F.concat(parts["root"], h))
-            .when(h.startswith("?"), F.concat(parts["no_query"], h))
-            .when(h.startswith("#"), F.concat(parts["plain"], h))
-            .when(h == "", parts["plain"])
-            .otherwise(F.concat(parts["root"], parts["folder"], h))
-        )
+        named = h.rlike(r"^(?i)https?:")
+        tail = F.regexp_extract(h, r"(?s)^[^?#]*(.*)$", 1)
+        front = F.translate(F.regexp_extract(h, r"(?s)^(?:[hH][tT][tT][pP][sS]?:)?([^?#]*)", 1), "\\", "/")
+        scheme = F.when(named, F.lower(F.regexp_extract(h, r"^([a-zA-Z]+:)", 1))).otherwise(parts["scheme"])
+
+        def with_front(f: Column) -> Column:
+            # With another scheme than the page's, what follows is a host, however many slashes there are.
+            absolute = f.startswith("//") | (named & (scheme != parts["scheme"]))
+            return (
+                F.when(absolute, F.concat(scheme, F.lit("//"), F.regexp_replace(f, "^/+", ""), tail))
+                .when(f.startswith("/"), F.concat(parts["root"], f, tail))
+                .when((f == "") & (tail == ""), parts["plain"])
+                .when((f == "") & tail.startswith("?"), F.concat(parts["no_query"], tail))
+                .when(f == "", F.concat(parts["plain"], tail))
+                .otherwise(F.concat(parts["root"], parts["folder"], f, tail))
+            )
+
+        return F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:") & ~named, h).otherwise(once(front, with_front))
 
     clean = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
     return once(once(clean, joined), _written_out)
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """The absolute URL of a reference on the page ``base``; NULL if it can't be resolved.
+    """The absolute URL of a reference on an http page ``base``, as the URL standard writes it; NULL if it can't be resolved.
 
-    Not as the URL standard has it: nothing is percent-encoded, user information is dropped, a backslash is no slash, and
-    a scheme without slashes (http:p) is no relative reference.
+    References of other schemes stay as they are. Deviating from the standard, a host of numbers isn't read as an IPv4
+    address, an IPv6 address isn't shortened, and international labels follow the older IDNA (a sharp s becomes ss).
     """
     return once(base_parts(base), lambda parts: resolve_on(href, parts))
 

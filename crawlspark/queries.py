@@ -86,7 +86,8 @@ _EDGES = (
     + rf""", tags AS (SELECT href AS source, host, robots, unnest(regexp_extract_all({_VISIBLE}, '(?is)<(?:a|area)\s[^>]*>')) AS tag,
     unnest(generate_series(0, len(regexp_extract_all({_VISIBLE}, '(?is)<(?:a|area)\s[^>]*>')) - 1)) AS p FROM rec WHERE fetch_ok AND "fetch_contentType" LIKE '%text/html%'),
 raw AS (SELECT source, host, robots, p, {_UNESCAPE.format(r"regexp_extract(tag, '\shref=\"([^\"]*)\"', 1)")} AS ref, regexp_extract(tag, '\srel=\"([^\"]*)\"', 1) AS rel FROM tags),
-res AS (SELECT *, regexp_replace(CASE WHEN starts_with(ref, '/') THEN regexp_extract(source, '^[a-z]+://[^/?#]+') || ref ELSE ref END, '#.*$', '') AS target FROM raw
+res AS (SELECT *, array_to_string(list_transform(regexp_extract_all(regexp_replace(CASE WHEN starts_with(ref, '/') THEN regexp_extract(source, '^[a-z]+://[^/?#]+') || ref ELSE ref END, '#.*$', ''), '(?s).'),
+    lambda c: CASE WHEN unicode(c) > 127 OR c IN (' ', '"', '<', '>', '`', '{', '}') THEN url_encode(c) ELSE c END), '') AS target FROM raw
   WHERE ref <> '' AND NOT starts_with(ref, '#') AND NOT starts_with(ref, 'javascript:') AND NOT starts_with(ref, 'mailto:')),
 dir AS (SELECT *, list_filter(string_split_regex(lower(rel), '\s+'), lambda t: t IN ('nofollow', 'ugc', 'sponsored'))[1] AS a,
     list_filter(string_split_regex(lower(robots), '[\s,]+'), lambda t: t IN ('nofollow', 'ugc', 'sponsored'))[1] AS m,
@@ -120,6 +121,13 @@ def _over_records(name: str, oracle_columns: str, *columns) -> None:
     query(name, _RECORDS + f" SELECT {oracle_columns} FROM rec")(lambda spark, d: records(spark, d).select("page_id", *[c() if callable(c) else c for c in columns]))
 
 
+def _title_without_hash():
+    return F.replace(html.title(F.col("html")), F.lit("#"), F.lit(""))
+
+
+_TITLE = "replace(" + _trim(_UNESCAPE.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")) + ", '#', '')"
+_ENCODED = f"array_to_string(list_transform(regexp_extract_all({_TITLE}, '(?s).'), lambda c: CASE WHEN unicode(c) > 127 OR c = ' ' THEN url_encode(c) ELSE c END), '')"
+
 # --- functions over plain pages --------------------------------------------------------------------------------------
 _PLAIN = {
     "page_title": (lambda: html.title(F.col("html")).alias("title"), _trim(_UNESCAPE.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")) + " AS title"),
@@ -145,6 +153,10 @@ _PLAIN = {
         lambda: urls.resolve(F.concat(F.lit("./a/../b?x="), F.col("page_id").cast("string")), F.col("url")).alias("resolved"),
         "regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || 'b?x=' || page_id AS resolved",
     ),
+    "resolve_encoded": (
+        lambda: urls.resolve(F.concat(F.lit("\\\\B\u00fccher.example\\x y\\%2E.\\"), _title_without_hash(), F.lit("?q="), _title_without_hash()), F.col("url")).alias("resolved"),
+        f"regexp_extract(url, '^[a-z]+:') || '//xn--bcher-kva.example/' || {_ENCODED} || '?q=' || {_ENCODED} AS resolved",
+    ),
     "delivery_type": (
         lambda: fetch.delivery_type(F.when(F.col("page_id") % 3 == 0, F.col("page_id") % 2), F.col("page_id") % 25).alias("delivery"),
         "CASE WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 'cache' ELSE 'network' END WHEN page_id % 25 < 12 THEN 'cache' ELSE 'network' END AS delivery",
