@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.text import once
 
 
 def effective(fetched: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -41,34 +42,38 @@ def _regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), quoted, F.when(ends, r"\z").otherwise(""))
 
 
-def rules(texts: DataFrame) -> DataFrame:
-    """(origin, text) -> (origin, agent, allow, pattern, regex); groups of the same agent are merged by reading them so."""
-    lines = texts.select("origin", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("pos", "line"))
-    clean = F.regexp_replace("line", r"#.*$", "")
-    parsed = lines.select("origin", "pos", F.lower(F.trim(F.split_part(clean, F.lit(":"), F.lit(1)))).alias("key"), F.trim(F.regexp_extract(clean, r"^[^:]*:(.*)$", 1)).alias("value"))
-    parsed = parsed.where(F.col("key").isin("user-agent", "allow", "disallow"))
-    in_order = Window.partitionBy("origin").orderBy("pos")
-    is_agent = F.col("key") == "user-agent"
-    starts = is_agent & ~F.coalesce(F.lag(is_agent).over(in_order), F.lit(False))
-    grouped = parsed.withColumn("starts", starts.cast("int")).withColumn("group", F.sum("starts").over(in_order))
-    agents = grouped.where("key = 'user-agent'").select("origin", "group", F.lower("value").alias("agent"))
-    paths = grouped.where("key <> 'user-agent' and value <> ''").select("origin", "group", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
-    return agents.join(paths, ["origin", "group"], "left").select("origin", "agent", "allow", "pattern", _regex(F.col("pattern")).alias("regex"))
+def rules_for(text: Column, bot: str) -> Column:
+    """array<struct<n, allow, regex>> of the rules that a robots.txt has for a bot: of its own groups, else of those for *.
+
+    Groups that name the bot several times are read as one. The text is gone through once, within its row.
+    """
+    entry = lambda line: once(F.regexp_replace(line, r"#.*$", ""), lambda x: F.struct(F.lower(F.trim(F.split_part(x, F.lit(":"), F.lit(1)))).alias("key"), F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)).alias("value")))
+    entries = F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), entry), lambda e: e["key"].isin("user-agent", "allow", "disallow"))
+    none = F.array().cast("array<struct<allow:boolean,pattern:string>>")
+    no = F.lit(False)
+    start = F.struct(no.alias("heads"), no.alias("mine"), no.alias("all"), no.alias("named"), none.alias("own"), none.alias("others"))
+
+    def follow(s: Column, e: Column) -> Column:
+        agent, is_agent = F.lower(e["value"]), e["key"] == "user-agent"
+        rule = F.array(F.struct((e["key"] == "allow").alias("allow"), e["value"].alias("pattern")))
+        head = lambda flag, name: F.when(is_agent, (s["heads"] & s[flag]) | (agent == name)).otherwise(s[flag]).alias(flag)
+        taken = lambda flag, kept: F.when(~is_agent & s[flag] & (e["value"] != ""), F.concat(s[kept], rule)).otherwise(s[kept]).alias(kept)
+        return F.struct(is_agent.alias("heads"), head("mine", bot.lower()), head("all", "*"), (s["named"] | (is_agent & (agent == bot.lower()))).alias("named"), taken("mine", "own"), taken("all", "others"))
+
+    chosen = F.aggregate(entries, start, follow, lambda s: F.when(s["named"], s["own"]).otherwise(s["others"]))
+    return F.transform(chosen, lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"), _regex(r["pattern"]).alias("regex")))
 
 
 def allowed(url_table: DataFrame, texts: DataFrame, bot: str, url: str = "url") -> DataFrame:
     """``url_table`` with ``allowed``: the longest fitting pattern of the bot's group (else of *) decides, allow wins ties.
 
-    The rules of an origin travel as one array, so a URL is never multiplied by its rules.
+    The rules of an origin travel as one array, so a URL is never multiplied by its rules, and one join is all that is
+    shuffled; where an origin is hot, adaptive execution may split its URLs.
     """
-    mine = rules(texts).where(F.col("agent").isin(bot.lower(), "*"))
-    per_origin = mine.groupBy(F.col("origin").alias("__origin")).agg(
-        F.max(F.col("agent") == bot.lower()).alias("named"),
-        F.collect_list(F.struct("agent", "allow", "pattern", "regex")).alias("rules"),
-    )
+    per_origin = texts.select(F.col("origin").alias("__origin"), rules_for(F.col("text"), bot).alias("__rules"))
     target = urls.after_host(F.col(url))
-    fitting = F.filter("rules", lambda r: (r["agent"] == F.when(F.col("named"), F.lit(bot.lower())).otherwise("*")) & r["pattern"].isNotNull() & F.regexp_like(target, r["regex"]))
-    best = F.array_max(F.transform(fitting, lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"))))
+    fitting = F.filter("__rules", lambda r: F.regexp_like(target, r["regex"]))
+    best = F.array_max(F.transform(fitting, lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))
     joined = url_table.join(per_origin, urls.origin(F.col(url)) == F.col("__origin"), "left")
     return joined.select(*url_table.columns, F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
 
