@@ -109,13 +109,14 @@ class BundleWriter:
         self.fs, self.folder = pa.fs.FileSystem.from_uri(folder)
         self.uri, self.task, self.frame_bytes, self.bundle_bytes = folder, task, frame_bytes, bundle_bytes
         self.pack = zstandard.ZstdCompressor(level=3)
-        self.n, self.out = 0, None
+        self.n, self.out, self.attempt = 0, None, uuid.uuid4().hex
         self.frame, self.frames, self.rows = bytearray(), [], []
 
     def add(self, id_: int, record: bytes) -> Iterator[tuple]:
         if self.out is None:
-            self.name = f"bundle-{self.task:06d}-{self.n:04d}.warc.zst"
-            self.temporary = f"{self.folder}/.{self.name}.{uuid.uuid4().hex}"
+            # Named by the attempt: one that runs later, with rows in another order, leaves the index's bundles alone.
+            self.name = f"bundle-{self.task:06d}-{self.n:04d}-{self.attempt}.warc.zst"
+            self.temporary = f"{self.folder}/.{self.name}"
             self.out = self.fs.open_output_stream(self.temporary, compression=None)
         self.rows.append((id_, f"{self.uri}/{self.name}", len(self.frames), len(self.frame), len(record)))
         self.frame += record

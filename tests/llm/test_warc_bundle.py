@@ -1,5 +1,6 @@
 import hashlib
 
+from crawlspark.llm import warc_bundle
 from crawlspark.llm.queries import op2_warc
 from crawlspark.llm.scratch import Scratch
 from crawlspark.llm.warc_bundle import BundleReader, parse_record, read_records, resolve_revisits, write_bundles
@@ -49,3 +50,17 @@ def test_rows_without_id(spark):
 def test_empty_table(spark, tmp_path):
     table(spark, []).write.parquet(f"{tmp_path}/pages.parquet")
     assert op2_warc(spark, str(tmp_path)).collect() == []
+
+
+def test_a_second_attempt_of_a_task_leaves_the_first_alone(tmp_path):
+    first, second = (warc_bundle.BundleWriter(f"file://{tmp_path}", 3, 1000, 10_000) for _ in range(2))
+    rows = []
+    for writer, ids in ((first, (1, 2)), (second, (2, 1))):
+        for i in ids:
+            rows += writer.add(i, warc_bundle.make_record(i, f"http://h/{i}", b"x" * i, f"{i}" * 40, None))
+        rows += writer.end()
+    assert len({bundle for _, bundle, *_ in rows}) == 2
+    for i, bundle, frame, offset, _ in rows:
+        reader = warc_bundle.BundleReader(bundle)
+        assert reader.record(frame, offset)[1] == b"x" * i
+        reader.close()
