@@ -20,7 +20,10 @@ from crawlspark.llm.scratch import Scratch
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
+    """Documents that the toxicity classifier doesn't reject.
+
+    It learns from the labels of every fold, so labelled documents are judged by a model that has seen their labels.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
     scored = toxicity.score(docs.withColumnsRenamed({c: f"__{c}" for c in ("score", "predicted") if c in docs.columns}), model)
     return scored.where("predicted = 0").drop("score", "predicted").withColumnsRenamed({f"__{c}": c for c in ("score", "predicted")})
