@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlspark import schedule
+from crawlspark.functions.json_ld import json_ld
 from crawlspark.functions import fetch, follow, html, python_html, text, urls
 from crawlspark.sources import seeds
 
@@ -95,7 +96,7 @@ def test_json_ld(spark):
         ld('{"headline":"H1"}', '{"headline":"H2","alternateHeadline":""}'), ld('{"author":[{"name":"A"},{}]}'), ld('{"publisher":{"@type":"Person","name":"P"}}'),
         ld('{"@graph":[{"@type":"Person","name":"P"}]}'), ld("no json", '{"author":{"name":"Z"},"publisher":{"@type":"Organization","name":"O"}}'), "<p>none</p>", ld('{"@graph":[{"headline":"G"}]}'),
     ]
-    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", html.json_ld(html.json_ld_scripts(F.col("html"))).alias("n"), python_html.schema_fields(html.json_ld_scripts(F.col("html"))).alias("p"))
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", json_ld(html.json_ld_scripts(F.col("html"))).alias("n"), python_html.schema_fields(html.json_ld_scripts(F.col("html"))).alias("p"))
     got = {r.i: (r.n.asDict(), r.p.asDict()) for r in df.collect()}
     want = {0: {"headline": "H2"}, 1: {"authors": "A, "}, 2: {}, 3: {"authors": "P"}, 4: {"authors": "Z", "publisher": "O"}, 5: {}, 6: {"headline": "G"}}
     blank = dict.fromkeys(("publisher", "dateModified", "datePublished", "authors", "headline", "alternateHeadline"), "")
