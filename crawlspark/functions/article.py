@@ -5,7 +5,7 @@ less the share of its words that are links; it hands its score to its parent and
 container without a paragraph's tag hands on a quarter of that). The element with the greatest score, less its own share of
 links, is the article, with those of its siblings that score a fifth as much, or that are long paragraphs with few
 links. Headers, footers, navigation, asides, forms, scripts and styles are left out from the start. A page
-without any scoring block gives the text of its body.
+without any scoring block gives the text of its article, main or body element.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def article_of(html: str | None) -> tuple[str, list[str]]:
                 if long or final[e] >= SIBLING_SHARE * final[best]:
                     within.add(e)
     else:
-        within = {next((e for e in range(n) if tree.tags[e] == "body"), 0)}
+        within = {next((e for name in ("article", "main", "body") for e in range(n) if tree.tags[e] == name), 0)}
     inside = [False] * n
     for e in range(n):  # parents come before their children
         inside[e] = e in within or (e > 0 and inside[tree.parents[e]])

@@ -26,7 +26,7 @@ def test_siblings_of_the_best():
     assert content.startswith("intro") and content.count("eleven") == 10 and "ad" not in content.split()
 
 
-@pytest.mark.parametrize(("html", "text"), [(None, ""), ("", ""), ("plain words", "plain words"), (page("<p>few</p>"), "few"), ("<p>a<div>b</span></p>c", "a b c"), ("<<<>>", "< < < >>"), (page("<p>" * 2000 + "deep"), "deep"), (page("<div>" * 3000 + LONG), LONG)])
+@pytest.mark.parametrize(("html", "text"), [(None, ""), ("", ""), ("plain words", "plain words"), (page("<p>few</p>"), "few"), (page("<div>an ad</div><article><p>few</p></article>"), "few"), ("<p>a<div>b</span></p>c", "a b c"), ("<<<>>", "< < < >>"), (page("<p>" * 2000 + "deep"), "deep"), (page("<div>" * 3000 + LONG), LONG)])
 def test_odd_pages(html, text):
     assert article_of(html)[0] == text
 
