@@ -436,7 +436,7 @@ def url_filter_exclude(spark, d):
 @query("seeds_union", _EDGES.replace(""" FROM rec WHERE fetch_ok AND "fetch_contentType" LIKE '%text/html%')""", " FROM rec WHERE page_id = 7)")
     + " SELECT DISTINCT url FROM (SELECT href AS url FROM rec UNION ALL SELECT target FROM edges) WHERE NOT regexp_matches(url, '/de/')")
 def seeds_union(spark, d):
-    r = Scratch(spark).save(records(spark, d), "records")
+    r = Scratch(spark).save(decorated.load(spark, d).select("page_id", "href", "html"), "pages")
     listed = seeds.url_list(r.where("href not like '%/en/%'").select(F.concat(F.lit("  "), "href", F.lit("\r")).alias("value")))
     table = seeds.csv_rows(r.where("href not like '%/fr/%'").select(F.lit("").alias("URL"), F.col("href").alias("page")), order=F.lit(0))
     return seeds.resolve_seeds([listed, table, seeds.spider(r, _href(r, 7))], "/de/", "exclude")
