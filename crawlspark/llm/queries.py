@@ -61,8 +61,8 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # 240 bytes are fewer than 51 words of common length have: repeated passages of over 50 words may be shorter than 400.
-    out = repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=(240, 50))
+    # A repeated passage of over 50 words may be shorter than 400 bytes.
+    out = repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=51)
     digest = [F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
     return out.select("doc_id", "n_bytes", "n_removed", *digest, (F.col("n_passages") > 0).cast("int").alias("repeats_passage"))
 

@@ -27,8 +27,6 @@ class RunIndex:
         before = text[order - 1].astype(np.int16)
         before[order == 0] = -1  # nothing stands before the whole text
         border = np.flatnonzero(before[1:] != before[:-1])
-        self.heads = np.concatenate([[0], border + 1])
-        self.runs = before[self.heads]
         self.up = (order[border + 1], self._match(words, order[border + 1], order[border]))
         self.down = (order[border], self.up[1])
         self.first, self.last = int(order[0]), int(order[-1])

@@ -7,10 +7,12 @@ bounded size (a run-compressed Burrows-Wheeler transform with sampled run ends,
 statistics of every position out of them, and mark the long matches. The marks go back to all windows that are equal,
 and documents lose the bytes that the marked strings cover.
 
-A bucket whose distinct windows have more than ``BUCKET_BYTES`` bytes would be a task without bound: a passage that a
-third of all documents share gives as many windows, each with other neighbours. More anchors don't divide it, since the
-strings inside the passage share them all. Its windows are cut into their strings, which meet by fingerprint with partial
-sums; the marks are the same.
+An index holds buckets of up to ``INDEX_BYTES``. A passage that a third of all documents share gives larger ones, as
+many windows as documents, each with other neighbours. They are divided by the distance of a string's start from the
+anchor, which equal strings have in common: a window gives one slice per range of distances, and all strings of a range
+hold the same core of bytes, so slices meet by anchor, range and core. Slices inside the passage are equal and settled by
+counting, those whose core reaches out of it are alone, and only those that begin or end across its edge meet as before:
+they are indexed or divided again, down to single strings, of which a bucket holds but one.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows are equal texts, and
 equal texts of at least ``length`` bytes lose everything; rows without an id are treated as any other; an empty table
@@ -19,50 +21,45 @@ gives an empty table; other columns are left out.
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import anchors, window_prints
 from .arrow import small_batches
 from .run_index import repeated_starts
 from .scratch import Scratch
-from .shingles import BLANK, text_bytes
+from .shingles import BLANK, mix, text_bytes
 
-#: Bytes of an index; its arrays stay in the cache.
-SHARD_BYTES = 1 << 17
-#: Bytes of distinct windows of a bucket that one index may hold.
-BUCKET_BYTES = 3 << 18
-
-
-def _collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of the steps that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Bytes of an index; its arrays stay in the cache. One bucket may fill an index up to INDEX_BYTES (2 MB is the most it can hold).
+SHARD_BYTES, INDEX_BYTES = 1 << 17, 1 << 20
+#: Distances from the anchor in a range, in turn, by which a bucket is divided.
+RANGES = (32, 1)
+#: Letters that stand for a word when repeated passages of words are looked for: 24 bits of its hash, six a letter.
+WORD_LETTERS = 4
 
 
 def _windows(rows: DataFrame, length: int) -> DataFrame:
-    """rows: (id, th, text) -> (id, th, h, w, a, b): the starts of each anchor; the window's fingerprint is (h, w)."""
+    """rows: (id, th, text) -> (id, th, h, w, a, b, p): the starts of each anchor and its place; the window's fingerprint is (h, w)."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(2))
-            h, _, a, b = anchors(raw, length, offsets)
+            h, p, a, b = anchors(raw, length, offsets)
             owner = np.searchsorted(offsets, a, side="right") - 1
             begin, row = offsets[owner], pa.array(owner)
-            cols = [batch.column(0).take(row), batch.column(1).take(row), *[pa.array(x.view(np.int64)) for x in (h, window_prints(raw, a, b + length))], pa.array(a - begin), pa.array(b - begin)]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "h", "w", "a", "b"])
+            cols = [batch.column(0).take(row), batch.column(1).take(row), *[pa.array(x.view(np.int64)) for x in (h, window_prints(raw, a, b + length))], *[pa.array(x - begin) for x in (a, b, p)]]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "h", "w", "a", "b", "p"])
 
-    return rows.mapInArrow(build, f"id {id_type}, th long, h long, w long, a long, b long")
+    return rows.mapInArrow(build, f"id {id_type}, th long, h long, w long, a long, b long, p long")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """(text, list of wanted windows) -> a row with the bytes of each window."""
+    """(text, list of wanted windows) -> a row with the bytes of each window and the anchor's place in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,11 +67,12 @@ def _cut(texts: DataFrame) -> DataFrame:
             data, wanted = raw.tobytes(), batch.column(1)
             owner = np.repeat(offsets[:-1], np.diff(wanted.offsets.to_numpy()))
             flat = wanted.flatten()
-            cols = {c: flat.field(c).to_numpy() for c in ("h", "w", "copies", "a", "e")}
+            cols = {c: flat.field(c).to_numpy() for c in ("h", "w", "copies", "a", "e", "p")}
             pieces = [data[s:e] for s, e in zip((owner + cols["a"]).tolist(), (owner + cols["e"]).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[pa.array(cols[c]) for c in ("h", "w", "copies")], pa.array(pieces, pa.binary())], ["h", "w", "copies", "bytes"])
+            place = pa.array(cols["p"] - cols["a"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(cols[c]) for c in ("h", "w", "copies")], place, pa.array(pieces, pa.binary())], ["h", "w", "copies", "p", "bytes"])
 
-    return texts.mapInArrow(run, "h long, w long, copies long, bytes binary")
+    return texts.mapInArrow(run, "h long, w long, copies long, p long, bytes binary")
 
 
 def _index(windows: DataFrame, length: int) -> DataFrame:
@@ -111,27 +109,62 @@ def _index(windows: DataFrame, length: int) -> DataFrame:
     return ordered.select("h", "w", "copies", "bytes").mapInArrow(run, "h long, w long, lo array<long>, hi array<long>")
 
 
-def _count_strings(windows: DataFrame, length: int) -> DataFrame:
-    """As _index, for buckets that are too large for one task: strings are counted by fingerprint."""
+def _slices(windows: DataFrame, length: int, width: int) -> DataFrame:
+    """Distinct windows -> (h, w, copies, lo, hi, key, s): their starts by ranges of ``width`` distances from the anchor.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key stands for anchor, range and core, s for the slice's bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, w, copies, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for h, w, copies, p, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 raw = np.frombuffer(data, np.uint8)
-                a = np.arange(len(raw) - length + 1)
-                same = [pa.array(np.full(len(a), v, dtype=np.int64)) for v in (h, w, copies)]
-                prints = [pa.array(window_prints(raw, a, a + length, k).view(np.int64)) for k in (11, 77)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(a), *prints], ["h", "w", "copies", "at", "s1", "s2"])
-
-    strings = windows.select("h", "w", "copies", "bytes").mapInArrow(cut, "h long, w long, copies long, at long, s1 long, s2 long")
-    often = strings.groupBy("s1", "s2").agg(F.sum("copies").alias("c")).where("c > 1").withColumnsRenamed({"s1": "r1", "s2": "r2"})
-    marked = strings.join(often, (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2"))).groupBy("h", "w").agg(F.collect_list("at").alias("lo"))
-    return marked.select("h", "w", "lo", F.col("lo").alias("hi"))
+                kind = (p - np.arange(len(raw) - length + 1)) // width
+                edges = np.flatnonzero(np.diff(kind, prepend=kind[0] + 1, append=kind[-1] - 1))
+                lo, hi, kind = edges[:-1], edges[1:] - 1, kind[edges[:-1]]
+                core = window_prints(raw, p - kind * width, p - (kind + 1) * width + 1 + length, 77)
+                key = mix(core ^ mix(kind.astype(np.uint64) + np.uint64(h % (1 << 64))))
+                same = [pa.array(np.full(len(lo), v, dtype=np.int64)) for v in (h, w, copies)]
+                prints = [pa.array(x.view(np.int64)) for x in (key, window_prints(raw, lo, hi + length))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(lo), pa.array(hi), *prints], ["h", "w", "copies", "lo", "hi", "key", "s"])
+
+    return windows.select("h", "w", "copies", "p", "bytes").mapInArrow(run, "h long, w long, copies long, lo long, hi long, key long, s long")
+
+
+def _marks(windows: DataFrame, length: int, scratch: Scratch, ranges: Sequence[int] = RANGES) -> DataFrame:
+    """Distinct windows of buckets that have more than one -> (h, w, lo, hi): runs of starts whose strings repeat."""
+    size = F.sum(F.octet_length("bytes"))
+    large = scratch.save(windows.groupBy("h").agg(size.alias("size")).where(F.col("size") > INDEX_BYTES).select(F.col("h").alias("lh")), "large")
+    in_large = F.col("h") == F.col("lh")
+    if large.isEmpty():
+        scratch.drop(large)
+        return _index(windows, length)
+    small = _index(windows.join(large.hint("merge"), in_large, "left_anti"), length)
+    if not ranges:
+        raise ValueError("strings of one fingerprint differ")
+    windows = scratch.save(windows.join(large.hint("merge"), in_large, "left_semi").dropDuplicates(["h", "w"]), "divided")
+    slices = scratch.save(_slices(windows, length, ranges[0]), "slices")
+    distinct = scratch.save(slices.groupBy("key", "s").agg(F.sum("copies").alias("n"), F.min(F.struct("h", "w", "lo", "hi")).alias("at")), "distinct")
+    often = distinct.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("c")).where("c > 1").drop("c")
+    met = scratch.save(distinct.join(often.hint("merge"), F.col("key") == F.col("k")).drop("k"), "met")
+    settled = met.where("kinds = 1").select("key", "s", F.array(F.lit(0).cast("long")).alias("lo"), F.array(F.col("at.hi") - F.col("at.lo")).alias("hi"))
+    again = met.where("kinds > 1").select("key", "s", "n", F.col("at.h").alias("ah"), F.col("at.w").alias("aw"), F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))
+    again = again.join(windows.hint("merge"), (F.col("ah") == F.col("h")) & (F.col("aw") == F.col("w")))
+    part = F.substring("bytes", (F.col("lo") + 1).cast("int"), (F.col("hi") - F.col("lo") + length).cast("int"))
+    again = again.select(F.col("key").alias("h"), F.col("s").alias("w"), F.col("n").alias("copies"), (F.col("p") - F.col("lo")).alias("p"), part.alias("bytes"))
+    again = scratch.save(again, "again")
+    found = _marks(again, length, scratch, ranges[1:]).where(F.size("lo") > 0)
+    marks = scratch.save(settled.unionByName(found.withColumnsRenamed({"h": "key", "w": "s"})).withColumnsRenamed({"key": "mk", "s": "ms", "lo": "los", "hi": "his"}), "slice-marks")
+    moved = [F.transform(c, lambda x: x + F.col("begin")).alias(n) for c, n in (("los", "lo"), ("his", "hi"))]
+    back = slices.withColumnRenamed("lo", "begin").join(marks.hint("merge"), (F.col("key") == F.col("mk")) & (F.col("s") == F.col("ms"))).select("h", "w", *moved)
+    back = scratch.save(small.unionByName(back), "divided-marks")
+    for used in (windows, slices, distinct, met, again, marks, large):
+        scratch.drop(used)
+    return back
 
 
 def _starts(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """rows: (id, th, text) -> (sid, sth, starts): of each text that has any, the runs of starts of repeated strings."""
-    spark = rows.sparkSession
     windows = scratch.save(_windows(rows, length), "windows")
     mixed = F.min("w") != F.max("w")
     buckets = windows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), mixed.alias("mixed")).where("c > 1").select(F.col("h").alias("bh"), "mixed")
@@ -139,23 +172,17 @@ def _starts(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     shared = scratch.save(windows.join(buckets.hint("merge"), F.col("h") == F.col("bh")).drop("bh"), "shared")
     scratch.drop(windows)
     scratch.drop(buckets)
-    _collect_garbage(spark)
 
-    distinct = shared.where("mixed").groupBy("h", "w").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th", "a", "b")).alias("at"))
-    wanted = distinct.select(F.col("at.id").alias("wid"), F.col("at.th").alias("wth"), F.struct("h", "w", "copies", F.col("at.a").alias("a"), (F.col("at.b") + length).alias("e")).alias("w"))
+    distinct = shared.where("mixed").groupBy("h", "w").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th", "a", "b", "p")).alias("at"))
+    window = F.struct("h", "w", "copies", F.col("at.a").alias("a"), (F.col("at.b") + length).alias("e"), F.col("at.p").alias("p"))
+    wanted = distinct.select(F.col("at.id").alias("wid"), F.col("at.th").alias("wth"), window.alias("w"))
     wanted = scratch.save(wanted.groupBy("wid", "wth").agg(F.collect_list("w").alias("ws")), "wanted")
     texts = rows.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth")))
     cut = scratch.save(_cut(texts.select("text", "ws")), "cut")
     scratch.drop(wanted)
-    _collect_garbage(spark)
-    large = cut.groupBy("h").agg(F.sum(F.octet_length("bytes")).alias("size")).where(F.col("size") > BUCKET_BYTES).select(F.col("h").alias("lh"))
-    large = scratch.save(large, "large")
-    marks = _index(cut.join(large, F.col("h") == F.col("lh"), "left_anti"), length)
-    if not large.isEmpty():
-        marks = marks.unionByName(_count_strings(cut.join(large, F.col("h") == F.col("lh"), "left_semi").dropDuplicates(["h", "w"]), length))
-    marks = scratch.save(marks.where(F.size("lo") > 0).withColumnsRenamed({"h": "mh", "w": "mw"}), "marks")
+    marks = _marks(cut, length, scratch).where(F.size("lo") > 0)
+    marks = scratch.save(marks.withColumnsRenamed({"h": "mh", "w": "mw"}), "marks")
     scratch.drop(cut)
-    _collect_garbage(spark)
 
     marked = shared.where("mixed").join(marks.hint("merge"), (F.col("h") == F.col("mh")) & (F.col("w") == F.col("mw")))
     moved = F.transform(F.arrays_zip("lo", "hi"), lambda r: F.struct((F.col("a") + r["lo"]).alias("a"), (F.col("a") + r["hi"]).alias("b")))
@@ -163,35 +190,53 @@ def _starts(rows: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     runs = runs.unionByName(shared.where("not mixed").select("id", "th", F.struct("a", "b").alias("r")))
     starts = runs.groupBy(F.col("id").alias("sid"), F.col("th").alias("sth")).agg(F.collect_set("r").alias("starts"))
     starts = scratch.save(starts, f"starts-{length}")
-    for used in (shared, large, marks):
-        scratch.drop(used)
-    _collect_garbage(spark)
+    scratch.drop(shared)
+    scratch.drop(marks)
     return starts
 
 
-def _covered(starts: pa.Scalar, n: int, length: int) -> np.ndarray:
-    """Begins and ends of the runs of bytes that the strings cover."""
-    if not starts.is_valid or not len(starts):
-        return np.zeros((0, 2), dtype=np.int64)
-    steps = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(steps, starts.values.field("a").to_numpy(), 1)
-    np.add.at(steps, starts.values.field("b").to_numpy() + length, -1)
-    gone = np.concatenate([[0], (np.cumsum(steps)[:-1] > 0).astype(np.int8), [0]])
-    return np.flatnonzero(np.diff(gone)).reshape(-1, 2)
+def word_codes(texts: pa.Array) -> pa.Array:
+    """Each text with WORD_LETTERS letters for every word, and nothing between them."""
+    raw, offsets = text_bytes(texts)
+    solid = np.concatenate([[False], ~BLANK[raw], [False]])
+    inner = offsets[1:-1]
+    breaks = np.zeros(len(solid), dtype=bool)  # a word ends where its text does
+    breaks[inner + 1] = True
+    begins = np.flatnonzero(solid[1:-1] & (~solid[:-2] | breaks[1:-1]))
+    ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | breaks[2:])) + 1
+    hashes = np.where(ends - begins > 1, window_prints(raw, begins, ends), mix(raw[begins].astype(np.uint64)))
+    letters = np.stack([((hashes >> np.uint64(6 * k)) & np.uint64(63)).astype(np.uint8) for k in range(WORD_LETTERS)], axis=1)
+    first = np.searchsorted(begins, offsets) * WORD_LETTERS
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(letters.tobytes())])
+
+
+def _coded(rows: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), word_codes(batch.column(2)).cast(pa.string())], ["id", "th", "text"])
+
+    return rows.mapInArrow(run, rows.schema)
 
 
-def _words_inside(text: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """How many whole words each span holds."""
-    solid = np.concatenate([[False], ~BLANK[text], [False]])
-    begins, ends = np.flatnonzero(solid[1:] & ~solid[:-1]), np.flatnonzero(solid[:-1] & ~solid[1:])
-    return np.maximum(np.searchsorted(ends, spans[:, 1], side="right") - np.searchsorted(begins, spans[:, 0]), 0)
+def _covered(starts: pa.Scalar, length: int, unit: int = 1) -> np.ndarray:
+    """Begins and ends of the runs that the strings cover, in units; a string counts that starts with a unit."""
+    if not starts.is_valid or not len(starts):
+        return np.zeros((0, 2), dtype=np.int64)
+    first, last = -(-starts.values.field("a").to_numpy() // unit), starts.values.field("b").to_numpy() // unit
+    first, last = first[whole := first <= last], last[whole]
+    steps = np.zeros(int(last.max(initial=0)) + length + 2, dtype=np.int32)
+    np.add.at(steps, first + 1, 1)
+    np.add.at(steps, last + length + 1, -1)
+    return np.flatnonzero(np.diff((np.cumsum(steps) > 0).astype(np.int8))).reshape(-1, 2)
 
 
-def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, passage: tuple[int, int] | None = None) -> DataFrame:
+def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 400, passage: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, kept (the remaining bytes), n_bytes, n_removed and spans (array of begin, end).
 
-    passage: (bytes, words) adds n_passages, the number of spans that strings of so many bytes cover and that hold more
-    than so many whole words. Such a passage may be shorter than ``length``: it is reported, not removed.
+    passage: a number of words adds n_passages, the number of spans of words that strings of so many words cover which
+    start more than once, whatever stands between words. Such a span may have fewer bytes than ``length``: it is reported,
+    not removed. Words are compared by 24 bits of a hash, so strings that differ in one word are taken as equal
+    in one of 16 million cases.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -200,7 +245,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     same = F.col("id").eqNullSafe(F.col("sid")) & (F.col("th") == F.col("sth"))
     starts = _starts(rows, length, scratch).withColumn("short", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
     if passage:
-        short = _starts(rows, passage[0], scratch).withColumnsRenamed({"sid": "tid", "sth": "tth", "starts": "short"})
+        short = _starts(_coded(rows), passage * WORD_LETTERS, scratch).withColumnsRenamed({"sid": "tid", "sth": "tth", "starts": "short"})
         both = starts.drop("short").join(short.hint("merge"), F.col("sid").eqNullSafe(F.col("tid")) & (F.col("sth") == F.col("tth")), "full")
         starts = scratch.save(both.select(F.coalesce("sid", "tid").alias("sid"), F.coalesce("sth", "tth").alias("sth"), "starts", "short"), "starts")
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
@@ -210,12 +255,12 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             raw, offsets = text_bytes(batch.column(1))
             kept, spans, removed, passages = [], [], [], []
             for lo, hi, long, short in zip(offsets[:-1], offsets[1:], batch.column(2), batch.column(3), strict=True):
-                body, found = raw[lo:hi], _covered(long, hi - lo, length)
+                body, found = raw[lo:hi], _covered(long, length)
                 cuts = np.concatenate([[0], found.ravel(), [hi - lo]])
                 kept.append(b"".join(body[a:b].tobytes() for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
                 spans.append([{"begin": a, "end": b} for a, b in found.tolist()])
                 removed.append(int((found[:, 1] - found[:, 0]).sum()))
-                passages.append(int((_words_inside(body, _covered(short, hi - lo, passage[0])) > passage[1]).sum()) if passage and short.is_valid else 0)
+                passages.append(len(_covered(short, passage, WORD_LETTERS)) if passage else 0)
             cols = [batch.column(0), pa.array(kept, pa.binary()), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(passages, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, [id_col, "kept", "n_bytes", "n_removed", "spans", "n_passages"])
 

@@ -2,12 +2,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crawlspark.llm import suffix_dedup
 from crawlspark.llm.anchors import anchors
 from crawlspark.llm.run_index import RunIndex, repeated_starts
-from crawlspark.llm.suffix_dedup import repeated_bytes
+from crawlspark.llm.suffix_dedup import repeated_bytes, word_codes
 
 N = 400
 
@@ -42,9 +43,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("bucket_bytes", [8 << 20, 1200])
-def test_against_brute_force(docs, monkeypatch, bucket_bytes):
-    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", bucket_bytes)
+@pytest.mark.parametrize("index_bytes", [1 << 20, 1200, 0])
+def test_against_brute_force(docs, monkeypatch, index_bytes):
+    monkeypatch.setattr(suffix_dedup, "INDEX_BYTES", index_bytes)
     rows = corpus()
     got = sorted(((r.doc_id, bytes(r.kept), r.n_bytes, r.n_removed, len(r.spans)) for r in repeated_bytes(docs(rows)).collect()), key=str)
     assert got == brute(rows)
@@ -64,8 +65,6 @@ def test_matching_statistics():
         match = lambda a, b: next((k for k in range(len(text)) if a + k >= len(text) or b + k >= len(text) or text[a + k] != text[b + k]), 0)
         want = [max(match(a, b) for b in range(len(text)) if b != a) for a in range(len(text))]
         assert got.tolist() == want
-        order = sorted(range(len(text)), key=lambda a: text[a:])
-        assert len(index.runs) == 1 + sum((a and text[a - 1], a == 0) != (b and text[b - 1], b == 0) for a, b in zip(order, order[1:]))
     assert [x.tolist() for x in repeated_starts([b"abcdx", b"zabcd", b"q"], 3)] == [[True, True, False], [False, True, True], []]
 
 
@@ -81,17 +80,38 @@ def test_anchors_depend_on_the_string_alone():
     assert [w[0] for w in where[0]] == [w[0] for w in where[1]] == [w[0] for w in where[2]]
 
 
-def test_passages_below_the_length_are_reported(docs):
+def test_passages_of_words_are_reported(docs):
     rng = random.Random(12)
-    words = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(3, 6))) for _ in range(n))
-    fifty_one, fifty, long = words(51), words(50), words(120)
-    rows = [(i, f"{words(30)} {p} {words(40)}") for i, p in enumerate([fifty_one, fifty_one, fifty, fifty, long, long, words(60)])] + [(9, None), (10, "")]
-    got = {r.doc_id: (r.n_passages, r.n_removed > 0) for r in repeated_bytes(docs(rows), passage=(200, 50)).collect()}
-    assert got == {0: (1, False), 1: (1, False), 2: (0, False), 3: (0, False), 4: (1, True), 5: (1, True), 6: (0, False), 9: (0, False), 10: (0, False)}
+    words = lambda n: [rng.choice("aI") if rng.random() < 0.3 else "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 6))) for _ in range(n)]
+    fifty_one, fifty, long = words(51), words(50), words(170)
+    rows = [(i, f"{' '.join(words(30))} {' '.join(p)} {' '.join(words(40))}") for i, p in enumerate([fifty_one, fifty_one, fifty, fifty, long, long, words(60)])]
+    other = fifty_one[:25] + ["other"] + fifty_one[26:]
+    rows += [(9, None), (10, ""), (11, " \n\t".join(fifty_one)), (12, " ".join(other)), (13, " ".join(words(9) + long[:60] + words(9) + long[100:160]))]
+    want = {}
+    seen = Counter(tuple(w[k : k + 51]) for _, t in rows for w in [(t or "").split()] for k in range(len(w) - 50))
+    for i, t in rows:
+        w = (t or "").split()
+        hit = np.zeros(len(w) + 1, dtype=np.int8)
+        for k in range(len(w) - 50):
+            if seen[tuple(w[k : k + 51])] > 1:
+                hit[k : k + 51] = 1
+        want[i] = int((np.diff(hit, prepend=0) == 1).sum())
+    got = {r.doc_id: (r.n_passages, r.n_removed > 0) for r in repeated_bytes(docs(rows), passage=51).collect()}
+    assert {i: n for i, (n, _) in got.items()} == want
+    assert want[0] == want[11] == 1 and want[13] == 2 and want[2] == want[6] == want[12] == want[9] == 0
+    assert got[4][1] and got[5][1] and not got[0][1]
     plain = repeated_bytes(docs(rows))
     assert "n_passages" not in plain.columns
 
 
+def test_word_codes():
+    texts = ["a b  ab", "ab", None, "", " ", "ba\ta", "a"]
+    codes = word_codes(pa.array(texts)).to_pylist()
+    code = {w: word_codes(pa.array([w])).to_pylist()[0] for w in ("a", "b", "ab", "ba")}
+    assert len(set(code.values())) == 4
+    assert codes == ["".join(code[w] for w in (t or "").split()) for t in texts]
+
+
 def test_batches_cut_at_text_ends():
     rng = np.random.default_rng(2)
     texts = [rng.integers(97, 123, n).astype(np.uint8) for n in (0, 399, 400, 401, 0, 5000, 90)]
