@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 HASH_BUCKETS = 1024
-#: The largest budget, in words, that the dynamic programme fits; what is above is filled greedily first.
+#: The cells of the dynamic programme. A larger rest is filled greedily first; where only documents longer than it are left,
+#: the whole budget is fitted in units of several words.
 DP_BUDGET = 32_768
 
 
@@ -74,6 +75,23 @@ def knapsack(lengths: Sequence[int], counts: Sequence[int], budget: int) -> list
     return taken
 
 
+def _fill(lengths: np.ndarray, counts: np.ndarray, extra: np.ndarray, left: int, seed: int) -> tuple[np.ndarray, int]:
+    """Takes more documents while they fit: lengths in a seeded order, then the programme for a rest of up to DP_BUDGET."""
+    extra = extra.copy()
+    for i in np.random.default_rng(seed).permutation(len(lengths)):
+        if lengths[i] and left > DP_BUDGET:
+            more = min(int(counts[i] - extra[i]), (left - DP_BUDGET + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))
+            extra[i] += more
+            left -= more * int(lengths[i])
+    if 0 < left <= DP_BUDGET:
+        order = np.random.default_rng(seed + 1).permutation(len(lengths))
+        order = order[(lengths[order] > 0) & (counts[order] > extra[order])]
+        more = np.array(knapsack([int(x) for x in lengths[order]], [int(x) for x in (counts - extra)[order]], left), dtype=np.int64)
+        extra[order] += more
+        left -= int((lengths[order] * more).sum())
+    return extra, left
+
+
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, max_repeats: int, seed: int) -> tuple[int, np.ndarray]:
     """(times that every document is taken, number of documents of each length that are taken once more)."""
     total = int((lengths * counts).sum())
@@ -83,16 +101,13 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, target: float, max_repe
     if budget <= 0:
         return whole, extra
     extra = np.where(lengths > 0, np.floor(counts * (budget / total)).astype(np.int64), 0)
-    left = budget - int((lengths * extra).sum())
-    for i in np.random.default_rng(seed).permutation(len(lengths)):
-        if lengths[i] and left > DP_BUDGET:
-            more = min(int(counts[i] - extra[i]), (left - DP_BUDGET + int(lengths[i]) - 1) // int(lengths[i]), left // int(lengths[i]))
-            extra[i] += more
-            left -= more * int(lengths[i])
-    if 0 < left <= DP_BUDGET:
-        order = np.random.default_rng(seed + 1).permutation(len(lengths))
-        order = order[(lengths[order] > 0) & (counts[order] > extra[order])]
-        extra[order] += np.array(knapsack([int(x) for x in lengths[order]], [int(x) for x in (counts - extra)[order]], left), dtype=np.int64)
+    extra, left = _fill(lengths, counts, extra, budget - int((lengths * extra).sum()), seed)
+    if left > DP_BUDGET:  # every document left is longer than the rest: other choices of long ones may come nearer
+        unit, order = -(-budget // DP_BUDGET), np.flatnonzero((lengths > 0) & (lengths <= budget))
+        coarse = np.zeros(len(lengths), dtype=np.int64)
+        coarse[order] = knapsack([-(-int(x) // unit) for x in lengths[order]], [int(x) for x in counts[order]], budget // unit)
+        other, rest = _fill(lengths, counts, coarse, budget - int((lengths * coarse).sum()), seed)
+        extra = other if rest < left else extra
     return whole, extra
 
 

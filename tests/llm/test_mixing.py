@@ -78,3 +78,20 @@ def test_fit_takes_no_more_than_there_is():
         whole, extra = fit_lengths(lengths, counts, target, 3, 1)
         assert (extra <= counts).all() and extra[0] == 0 and whole <= 3
         assert (lengths * (counts * whole + extra)).sum() <= target + 1
+
+
+def test_long_documents_in_a_small_source():
+    rng = random.Random(5)
+    cases = [([60_000, 99_000, 41_000], [1, 1, 1], 100_000)]
+    cases += [([rng.randint(33_000, 400_000) for _ in range(9)], [rng.randint(1, 2) for _ in range(9)], rng.randint(200_000, 1_500_000)) for _ in range(20)]
+    for lengths, counts, target in cases:
+        sums = {0}
+        for n, c in zip(lengths, counts, strict=True):
+            sums |= {s + n * k for s in sums for k in range(1, c + 1)}
+        total = sum(n * c for n, c in zip(lengths, counts, strict=True))
+        best = max(s for s in sums if s <= target % total) + target // total * total
+        for seed in range(4):
+            whole, extra = fit_lengths(np.array(lengths), np.array(counts), float(target), 3, seed)
+            taken = int((np.array(lengths) * (whole * np.array(counts) + extra)).sum())
+            assert (extra <= counts).all() and taken <= target
+            assert best - taken <= 32_768 + 0.001 * target, (lengths, counts, target)
