@@ -1,9 +1,10 @@
 """Removal of lines that many documents share.
 
-Lines are exploded and normalised, their keys are hashed to 128 bits, and the distinct documents of each hash are
-counted with partial sums. The frequent hashes are a written table; joined with the exploded hashes (no text is
-shuffled for that) it gives the positions that each document loses. The last join brings them to the documents, whose
-other lines are put together again by position.
+Lines are exploded and normalised, their keys are hashed to 128 bits, and the rows that hold each hash are counted with
+partial sums. The frequent hashes are a written table; joined with the exploded hashes (no text is shuffled for that) it
+gives the positions that each document may lose, and of these few the distinct documents of each hash are counted: rows
+that repeat an id are one document. The last join brings the positions to the documents, whose other lines are put
+together again by position.
 
 Defined results: a null text is one empty line, and so is an empty one; the document with the largest id keeps its
 lines with the key (all rows that have this id do); a null id is smaller than any other; a repeated row counts as one
@@ -49,9 +50,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
         .select("__f1", "__f2", "__keeper")
     )
     frequent = scratch.save(frequent, "frequent")
+    met = hashed.join(frequent, (F.col("__h1") == F.col("__f1")) & (F.col("__h2") == F.col("__f2"))).drop("__h1", "__h2")
+    met = scratch.save(met, "met")
+    few = met.groupBy("__f1", "__f2").agg(F.count_distinct(F.struct("__id")).alias("__n")).where(F.col("__n") < min_docs).drop("__n")
     lost = (
-        hashed.join(frequent, (F.col("__h1") == F.col("__f1")) & (F.col("__h2") == F.col("__f2")))
-        .where(~F.col("__id").eqNullSafe(F.col("__keeper")))
+        met.where(~F.col("__id").eqNullSafe(F.col("__keeper")))
+        .join(few.hint("merge"), ["__f1", "__f2"], "left_anti")
         .groupBy("__id", "__th")
         .agg(F.collect_set("__pos").alias("__lost"))
         .withColumnsRenamed({"__id": "__lost_id", "__th": "__lost_th"})

@@ -41,6 +41,14 @@ def test_repeated_rows_and_other_columns(docs):
     assert out.where("doc_id is null").first().text == "x"
 
 
+def test_rows_that_repeat_an_id_are_one_document(docs):
+    four, five = "f" * 40, "v" * 40
+    rows = [(i, four) for i in (1, 1, 2, 3, 3, 4)] + [(i, f"{i}\n{five}") for i in (1, 1, 2, 3, 4, 5, 5)] + [(1, f"other\n{five}")]
+    got = run(docs(rows))
+    assert got == brute(rows)
+    assert sum(r[3] for r in got) == 6
+
+
 def test_null_id_is_the_smallest(docs):
     line = "l" * 50
     out = {r.doc_id: r.n_dropped for r in line_dedup(docs([(None, line), (1, line), (2, line), (3, line), (4, line)])).collect()}
