@@ -53,6 +53,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     met = hashed.join(frequent, (F.col("__h1") == F.col("__f1")) & (F.col("__h2") == F.col("__f2"))).drop("__h1", "__h2")
     met = scratch.save(met, "met")
     few = met.groupBy("__f1", "__f2").agg(F.count_distinct(F.struct("__id")).alias("__n")).where(F.col("__n") < min_docs).drop("__n")
+    few = scratch.save(few, "few")  # written, so that the hot keys of the join below are split
     lost = (
         met.where(~F.col("__id").eqNullSafe(F.col("__keeper")))
         .join(few.hint("merge"), ["__f1", "__f2"], "left_anti")
