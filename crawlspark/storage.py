@@ -9,6 +9,9 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that removes a query's shuffle files when the query has ended.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset and Spark is local (tests), a temporary one is made and set."""
@@ -25,10 +28,12 @@ class Scratch:
     """Writes tables below one new folder of the shared directory and drops them when they are used up.
 
     A written table cuts the lineage: if an executor is lost, only what was read from the table is computed again.
+    With ``drop_shuffles`` the shuffle files of a table's job go when the table is written; nothing reads them later.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, drop_shuffles: bool = False):
         self.spark = spark
+        self.drop_shuffles = drop_shuffles
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.count = 0
 
@@ -38,7 +43,13 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(DROP_SHUFFLES)
+        try:
+            if self.drop_shuffles:
+                self.spark.conf.set(DROP_SHUFFLES, "true")
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(DROP_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
