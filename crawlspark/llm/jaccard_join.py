@@ -7,11 +7,16 @@
    dual traversal drops pairs of nodes whose largest possible overlap is too small, or which are connected already.
 4. The pairs that are left are verified with the whole sets.
 
-The first round uses only the smallest hashes and takes a spanning forest of each bucket's pairs, the most similar
-first, which joins nearly all classes that belong together. The second round uses all prefix hashes, drops buckets that lie in one component,
-keeps one of buckets with the same members, and takes every pair that the trees let through and that no component
-joins yet; so no link between components is lost, and a group of near copies never gives all its pairs. A bucket of
-more than ``BUCKET`` classes is dealt over several tasks as pairs of parts.
+The first round uses only the smallest hashes. It deals the classes of a bucket over parts of about ``PART`` by chance,
+another deal for every bucket, and takes a spanning forest of each part's pairs, the most similar first. Copies share
+all their smallest hashes, so the parts of one bucket are joined by those of another, and nearly all classes that
+belong together are, at a cost in proportion to the bucket.
+
+The second round is complete. It uses all prefix hashes and drops buckets that lie in one component. The classes of a
+bucket are split by size: a band of sizes meets itself and the next one. Of cells with the same members one is kept, and
+cells of one component are dropped. The largest component of a cell is dealt over blocks of about ``BUCKET`` classes that
+meet the others only, and the others also each other. Every pair that the trees let through and that no component joins
+yet is emitted in slices and verified, so no link between components is lost, and a group of near copies never gives all its pairs.
 
 Defined results: null and empty texts have no shingles and no links; a text of fewer than five words is one shingle;
 rows without an id are left out of the groups and get a null component; repeated rows are copies of one class; an
@@ -20,30 +25,30 @@ empty table gives an empty table; other columns are left out.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import small_batches
+from .blocks import blocks, confirm_stars, each_block, texts_of
 from .components import components
 from .scratch import Scratch
 from .shingles import mix, shingle_sets
-from .signature_tree import bitmap, candidate_pairs
+from .signature_tree import bitmap, candidate_slices
 
-#: More classes than this are dealt over several tasks. (Joins here are merged by shuffle: both sides grow with the input.)
+#: Classes of one component, or of the others, in a block of the second round. (Joins here are merged by shuffle: both sides grow with the input.)
 BUCKET = 4096
+#: Classes in a part of the first round.
+PART = 512
+#: Members of a star of pairs that one task verifies with their centre.
+STAR = 512
 #: Hashes of the prefix that the first round uses.
 FIRST_HASHES = 2
-
-
-def _collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of the steps that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Sizes of two linked sets differ by a factor of 1.25 at most, so they lie in one band of this ratio or in two in a row.
+BAND = 1.26
 
 
 def _sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -63,11 +68,6 @@ def _sets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return rows.mapInArrow(build, f"id {id_type}, th long, n long, f1 long, f2 long, prefix array<long>, map binary")
 
 
-def _runs(values: np.ndarray) -> np.ndarray:
-    """Where runs of equal rows begin, and the end."""
-    return np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1, [len(values)]]) if len(values) else np.zeros(1, dtype=np.int64)
-
-
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """Positions of the pairs that connect what earlier pairs have not."""
     parent = list(range(n))
@@ -86,136 +86,85 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 
 
 def _traverse(rows: DataFrame, forest: bool) -> DataFrame:
-    """rows: (bucket, p, q, side, node, comp, n, map), a bucket's rows in one partition and in order -> (a, b) pairs."""
-
-    def pairs(part: dict) -> tuple[np.ndarray, np.ndarray]:
-        i, j, similar = candidate_pairs(part["map"], part["n"], part["comp"], part["side"])
-        if forest:  # the most similar pairs first: they will hardly fail the whole sets
+    """rows: (bucket, p, q, side, node, comp, n, map, first) -> (lead, node) pairs of the blocks (bucket, p, q), or forests of them."""
+
+    def batch(block: pa.Table, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        node = block["node"].to_numpy()
+        a, b = node[i], node[j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["lead", "node"])
+
+    def work(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        slices = candidate_slices(block["map"].to_pylist(), block["n"].to_numpy(), block["comp"].to_numpy(), block["side"].to_numpy())
+        if not forest:
+            for i, j, _ in slices:
+                yield batch(block, i, j)
+            return
+        # The forest of all slices so far takes the most similar pairs first: they will hardly fail the whole sets.
+        i, j, similar = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        for found in slices:
+            i, j, similar = (np.concatenate(x) for x in zip((i, j, similar), found, strict=True))
             order = np.argsort(-similar, kind="stable")
-            i, j = i[order], j[order]
-        a, b = part["node"][i], part["node"][j]
-        if forest and len(i):
-            keep = _forest(i, j, len(part["node"]))
-            a, b = a[keep], b[keep]
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            held.clear()
-            cols = {c: table[c].to_numpy() for c in ("bucket", "p", "q", "side", "node", "comp", "n")}
-            maps = table["map"].to_pylist()
-            edges = _runs(np.stack([cols["bucket"], cols["p"], cols["q"]], axis=1))
-            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a > 1:
-                    out.append(pairs({"map": maps[a:b]} | {c: cols[c][a:b] for c in ("side", "node", "comp", "n")}))
-            found = np.unique(np.stack([np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # Whole buckets are worked off; the batch's last bucket may go on in the next batch.
-            key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-            begin = _runs(key)[-2]
-            if held:
-                last = held[-1]
-                goes_on = all(last.column(c)[last.num_rows - 1].as_py() == key[0, c] for c in range(3))
-                if goes_on and begin == 0:
-                    held.append(batch)
-                    continue
-            if begin:
-                held.append(batch.slice(0, begin))
-            if held:
-                yield from flush()
-            held.append(batch.slice(begin))
-        if held:
-            yield from flush()
+            order = order[_forest(i[order], j[order], block.num_rows)]
+            i, j, similar = i[order], j[order], similar[order]
+        yield batch(block, i, j)
 
     ordered = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "first", "node")
-    return ordered.select("bucket", "p", "q", "side", "node", "comp", "n", "map").mapInArrow(run, "a long, b long").distinct()
-
-
-def _parts(rows: DataFrame) -> DataFrame:
-    """rows with ``members`` of their bucket: buckets of over BUCKET classes become pairs (p, q) of parts."""
-    parts = F.ceil(F.col("members") / BUCKET).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = rows.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.select(
-        "bucket", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"),
-        F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1).alias("side"),
-        "node", "comp", "n", "map", "first",
-    )
+    cols = ordered.select("bucket", "p", "q", "side", "node", "comp", "n", "map")
+    return cols.mapInArrow(lambda batches: each_block(batches, work), "lead long, node long").distinct()
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text: str) -> DataFrame:
-    """The pairs whose whole sets have a similarity of 0.8 or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "id", "th").hint("merge"), "node")
-    wanted = scratch.save(wanted, "wanted")
+    """The (u, v) of pairs whose whole sets have a similarity of 0.8 or more."""
+    texts = texts_of(pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct(), nodes, docs, id_col, text, scratch)
+    return confirm_stars(pairs, texts, 5, STAR, scratch)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["node", "elements"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= 80 * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    texts = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__th"), F.col(text).alias("__text"))
-    sets = texts.join(wanted.hint("merge"), (F.col("__id") == F.col("id")) & (F.col("__th") == F.col("th"))).select("node", "__text")
-    sets = scratch.save(sets.mapInArrow(build, "node long, elements binary").dropDuplicates(["node"]), "sets")
-    left, right = sets.withColumnsRenamed({"node": "a", "elements": "x"}), sets.withColumnsRenamed({"node": "b", "elements": "y"})
-    out = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
-    out = scratch.save(out.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    scratch.drop(sets)
-    _collect_garbage(docs.sparkSession)
-    return out
+def _mixed(rows: DataFrame) -> DataFrame:
+    """rows (bucket, node, comp) -> the buckets of several components; of those with the same members one is enough."""
+    return (
+        rows.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("s2"))
+        .where("c0 <> c1")
+        .groupBy("members", "s1", "s2")
+        .agg(F.min("bucket").alias("bucket"))
+        .select("bucket")
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles and component_id, the least id that links can reach."""
     spark = docs.sparkSession
     small_batches(spark)
-    scratch = Scratch(spark)
+    scratch = Scratch(spark, drop_shuffles=True)
     rows = scratch.save(_sets(docs, id_col, text), "rows")
     usable = rows.where("n > 0 and id is not null")
     nodes = usable.groupBy("f1", "f2", "n").agg(F.min_by(F.struct("id", "th", "prefix", "map"), "id").alias("r"))
     nodes = scratch.save(nodes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "n", "r.*"), "nodes")
     facts = scratch.save(rows.select("id", "n", "f1", "f2"), "facts")
     scratch.drop(rows)
-    _collect_garbage(spark)
 
     # First round: a forest of what the smallest hashes bring together.
     first = nodes.select(F.explode(F.slice("prefix", 1, FIRST_HASHES)).alias("bucket"), "node", "n", "map", F.get("prefix", F.lit(0)).alias("first"))
     shared = scratch.save(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
-    met = first.join(shared.hint("merge"), "bucket").withColumn("comp", F.col("node"))
-    pairs = scratch.save(_traverse(_parts(met), forest=True), "pairs")
+    met = first.join(shared.hint("merge"), "bucket").withColumns({"comp": F.col("node"), "side": F.lit(2), "parts": F.ceil(F.col("members") / PART)})
+    met = met.withColumn("p", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int")).withColumn("q", F.col("p"))
+    pairs = scratch.save(_traverse(met, forest=True), "pairs")
     links = _verify(pairs, nodes, docs, scratch, id_col, text)
     roots = components(links, scratch)
 
     # Second round: all prefix hashes, between the components of the first.
-    nodes_in = nodes.join(roots.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    tokens = nodes_in.select(F.explode("prefix").alias("bucket"), "node", "comp")
-    mixed = (
-        tokens.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("s2"))
-        .where("members > 1 and c0 <> c1")
-        .groupBy("members", "s1", "s2")
-        .agg(F.min("bucket").alias("bucket"))
-        .select("bucket", "members")
-    )
-    mixed = scratch.save(mixed, "mixed")
-    live = scratch.save(tokens.join(mixed.hint("merge"), "bucket"), "live")
+    inside = nodes.join(roots.hint("merge"), "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    tokens = inside.select(F.explode("prefix").alias("bucket"), "node", "comp")
+    live = scratch.save(tokens.join(scratch.save(_mixed(tokens), "mixed").hint("merge"), "bucket"), "live")
+    band = F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int")
+    cells = live.join(nodes.select("node", "n").hint("merge"), "node").withColumn("band", F.explode(F.array(band - 1, band)))
+    cells = scratch.save(cells.select(F.xxhash64("bucket", "band").alias("bucket"), "node", "comp", F.lit(1).alias("weight")), "cells")
+    scratch.drop(live)
+    whole, cells = cells, scratch.save(cells.join(scratch.save(_mixed(cells), "mixed").hint("merge"), "bucket"), "cells")
+    scratch.drop(whole)
     bodies = nodes.select("node", "n", "map", F.get("prefix", F.lit(0)).alias("first"))
-    pairs = scratch.save(_traverse(_parts(live.join(bodies.hint("merge"), "node")), forest=False), "pairs")
+    pairs = scratch.save(_traverse(blocks(cells, "weight", BUCKET, scratch).join(bodies.hint("merge"), "node"), forest=False), "pairs")
+    scratch.drop(cells)
     more = _verify(pairs, nodes, docs, scratch, id_col, text)
     known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))  # connects what the first links do, as stars
     roots = components(known.unionByName(more), scratch)

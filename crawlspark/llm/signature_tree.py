@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -75,9 +76,8 @@ def _similarity(a: Level, i: np.ndarray, b: Level, j: np.ndarray) -> np.ndarray:
     return overlap / np.maximum(a.least[i] + b.least[j] - overlap, 1)
 
 
-def dual_traversal(a: list[Level], b: list[Level], own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of sets (of one tree if ``own``) that may have a similarity of 0.8, with the largest that they can have."""
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def dual_traversal(a: list[Level], b: list[Level], own: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the pairs of sets (of one tree if ``own``) that may have a similarity of 0.8, with the largest that they can have."""
     stack = [(len(a) - 1, len(b) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
     while stack:
         p, q, i, j = stack.pop()
@@ -92,7 +92,7 @@ def dual_traversal(a: list[Level], b: list[Level], own: bool) -> tuple[np.ndarra
         if not len(i):
             continue
         if p == q == 0:
-            found.append((i, j, _similarity(a[0], i, b[0], j)))
+            yield i, j, _similarity(a[0], i, b[0], j)
             continue
         if p >= q:
             i, j = np.repeat(i * FANOUT, FANOUT) + np.tile(np.arange(FANOUT), len(i)), np.repeat(j, FANOUT)
@@ -103,15 +103,14 @@ def dual_traversal(a: list[Level], b: list[Level], own: bool) -> tuple[np.ndarra
             q -= 1
             i, j = i[(k := j < len(b[q].least))], j[k]
         stack.append((p, q, i, j))
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-    return tuple(np.concatenate([x[k] for x in found]) for k in range(3))
 
 
-def candidate_pairs(maps: list[bytes], sizes: np.ndarray, classes: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs among sets and how similar they may be, by one tree per width of bitmap; sides: 0 and 1 meet only each other, 2 meets itself."""
+def candidate_slices(maps: list[bytes], sizes: np.ndarray, classes: np.ndarray, sides: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Candidate pairs among sets and how similar they may be, in slices of at most ``SLICE``.
+
+    There is one tree per width of bitmap; sides: 0 and 1 meet only each other, 2 meets itself. Sets of no element link with nothing.
+    """
     widths = np.array([len(m) // 8 for m in maps])
-    out_i, out_j, similar = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
     groups = {}
     for side in np.unique(sides):
         for w in np.unique(widths[sides == side]):
@@ -119,17 +118,17 @@ def candidate_pairs(maps: list[bytes], sizes: np.ndarray, classes: np.ndarray, s
             groups[side, w] = (at, np.frombuffer(b"".join(maps[k] for k in at), dtype=np.uint64).reshape(len(at), w))
     trees = {k: build(m, sizes[at], classes[at]) for k, (at, m) in groups.items()}
 
-    def meet(x: tuple, y: tuple) -> None:
-        (at, _), (bt, wide) = groups[x], groups[y]
-        right = trees[y] if x[1] == y[1] else build(fold(wide, x[1]), sizes[bt], classes[bt])
-        i, j, may = dual_traversal(trees[x], right, x == y)
-        similar.append(may)
-        out_i.append(at[i])
-        out_j.append(bt[j])
-
     for side, w in groups:
         for other, v in groups:
             together = (side == other == 2) or (side, other) in ((0, 1), (1, 0))
             if together and (v == 2 * w or v == w and side <= other):
-                meet((side, w), (other, v))
-    return np.concatenate(out_i), np.concatenate(out_j), np.concatenate(similar)
+                (at, _), (bt, wide) = groups[side, w], groups[other, v]
+                right = trees[other, v] if v == w else build(fold(wide, w), sizes[bt], classes[bt])
+                for i, j, similar in dual_traversal(trees[side, w], right, (side, w) == (other, v)):
+                    yield at[i], bt[j], similar
+
+
+def candidate_pairs(maps: list[bytes], sizes: np.ndarray, classes: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All slices at once."""
+    empty = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    return tuple(np.concatenate(x) for x in zip(empty, *candidate_slices(maps, sizes, classes, sides), strict=True))

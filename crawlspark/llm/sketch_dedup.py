@@ -22,7 +22,7 @@ table gives an empty table; other columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import small_batches
+from .blocks import blocks, confirm_stars, each_block, linked, texts_of
 from .components import components
 from .scratch import Scratch
 from .shingles import mix, shingle_sets
@@ -88,71 +89,6 @@ def _rows(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
     return rows.mapInArrow(build, f"id {id_type}, th long, n long, f1 long, f2 long, bands array<long>, places binary")
 
 
-def _linked(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= 80 * (len(x) + len(y) - both)
-
-
-def _confirm_stars(stars: DataFrame, texts: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """(node, lead) -> (u, v), those whose full sets are linked. The members of a large star lie in several tasks."""
-    sizes = scratch.save(stars.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("tasks")), "stars")
-    members = stars.join(sizes.hint("merge"), "lead").withColumn("task", F.pmod(F.xxhash64("node"), F.col("tasks")).cast("int"))
-    members = members.select("node", "lead", "task").join(texts.hint("merge"), "node").select("lead", "task", F.lit(1).alias("kind"), "node", "text")
-    centres = sizes.join(texts.withColumnRenamed("node", "lead").hint("merge"), "lead").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-    rows = members.unionByName(centres.select("lead", "task", F.lit(0).alias("kind"), F.col("lead").alias("node"), "text"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre = np.zeros(0, dtype=np.uint64)
-        for batch in batches:
-            sets, kinds = shingle_sets(batch.column(3), words), batch.column(1).to_pylist()
-            keep = np.zeros(len(sets), dtype=bool)
-            for k, s in enumerate(sets):
-                if kinds[k] == 0:
-                    centre = s
-                else:
-                    keep[k] = _linked(centre, s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["u", "v"]).filter(pa.array(keep))
-
-    dealt = rows.repartition("lead", "task").sortWithinPartitions("lead", "task", "kind", "node").select("lead", "kind", "node", "text")
-    return scratch.save(dealt.mapInArrow(compare, "u long, v long"), "links")
-
-
-def _blocks(live: DataFrame, weight: str, scratch: Scratch) -> DataFrame:
-    """live (bucket, node, comp, ...) -> with the blocks (p, q) that compare its rows, and side: 0 against 1, or 2 among themselves.
-
-    The others of a bucket are dealt over k parts, its heaviest component over m more; block (p, q) has two parts, and
-    no block has two parts of that component.
-    """
-    weights = live.groupBy("bucket", "comp").agg(F.sum(weight).alias("w"))
-    shape = weights.groupBy("bucket").agg(F.sum("w").alias("all"), F.max(F.struct("w", "comp")).alias("main"))
-    parts = lambda w: F.greatest(F.ceil(w / BLOCK), F.lit(1)).cast("int")
-    shape = scratch.save(shape.select("bucket", F.col("main.comp").alias("main"), parts(F.col("all") - F.col("main.w")).alias("k"), parts(F.col("main.w")).alias("m")), "shape")
-    dealt, h = live.join(shape.hint("merge"), "bucket"), F.xxhash64("node", F.lit(1))
-    is_main = F.col("comp") == F.col("main")
-    dealt = dealt.withColumn("mine", F.when(is_main, F.col("k") + F.pmod(h, F.col("m"))).otherwise(F.pmod(h, F.col("k"))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("k") - 1).otherwise(F.col("k") + F.col("m") - 1))))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    return dealt.withColumns({"p": F.least("mine", "other"), "q": F.greatest("mine", "other"), "side": side}).drop("main", "k", "m", "mine", "other")
-
-
-def _each_block(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Applies ``work`` to the rows of each block; rows are in order of their first three columns, the block's name."""
-    held: list[pa.RecordBatch] = []
-    name = None
-    for batch in batches:
-        key = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                if held and tuple(key[a]) != name:
-                    yield work(pa.Table.from_batches(held))
-                    held = []
-                name = tuple(key[a])
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield work(pa.Table.from_batches(held))
-
-
 def _alike(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, equal places) of the pairs of a block that may be linked and are in different components."""
     n, comp, side = (block[c].to_numpy() for c in ("n", "comp", "side"))
@@ -174,22 +110,22 @@ def _alike(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 def _with_partner(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The (bucket, node) of rows (bucket, node, comp, n, places) that may be linked with another component of the bucket."""
 
-    def work(block: pa.Table) -> pa.RecordBatch:
+    def work(block: pa.Table) -> Iterator[pa.RecordBatch]:
         hit = np.zeros(block.num_rows, dtype=bool)
         for i, j, _ in _alike(block):
             hit[i] = hit[j] = True
         found = block.select(["bucket", "node"]).filter(pa.array(hit)).combine_chunks()
-        return found.to_batches()[0] if found.num_rows else pa.RecordBatch.from_pylist([], found.schema)
+        yield from found.to_batches()
 
-    dealt = _blocks(rows.withColumn("weight", F.lit(LIGHTEST)), "weight", scratch).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
-    found = dealt.select("bucket", "p", "q", "side", "node", "comp", "n", "places").mapInArrow(lambda batches: _each_block(batches, work), "bucket long, node long")
+    dealt = blocks(rows.withColumn("weight", F.lit(LIGHTEST)), "weight", BLOCK, scratch).repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
+    found = dealt.select("bucket", "p", "q", "side", "node", "comp", "n", "places").mapInArrow(lambda batches: each_block(batches, work), "bucket long, node long")
     return scratch.save(found.distinct(), "partners")
 
 
 def _confirm_blocks(rows: DataFrame, texts: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """rows (bucket, node, comp, n, places) -> (u, v), a forest of confirmed links for each block."""
 
-    def work(block: pa.Table) -> pa.RecordBatch:
+    def work(block: pa.Table) -> Iterator[pa.RecordBatch]:
         node, comp = block["node"].to_numpy(), block["comp"].to_numpy()
         sets = shingle_sets(block["text"].combine_chunks(), words)
         parent = {c: c for c in comp.tolist()}
@@ -203,14 +139,14 @@ def _confirm_blocks(rows: DataFrame, texts: DataFrame, words: int, scratch: Scra
         for i, j, equal in _alike(block):
             for k in np.argsort(-equal, kind="stable"):
                 a, b = root(int(comp[i[k]])), root(int(comp[j[k]]))
-                if a != b and _linked(sets[i[k]], sets[j[k]]):
+                if a != b and linked(sets[i[k]], sets[j[k]]):
                     parent[b] = a
                     links.append((int(node[i[k]]), int(node[j[k]])))
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["u", "v"])
 
-    dealt = _blocks(rows.withColumn("weight", F.greatest("n", F.lit(LIGHTEST))), "weight", scratch).drop("weight")
+    dealt = blocks(rows.withColumn("weight", F.greatest("n", F.lit(LIGHTEST))), "weight", BLOCK, scratch).drop("weight")
     dealt = dealt.join(texts.hint("merge"), "node").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
-    found = dealt.select("bucket", "p", "q", "side", "node", "comp", "n", "places", "text").mapInArrow(lambda batches: _each_block(batches, work), "u long, v long")
+    found = dealt.select("bucket", "p", "q", "side", "node", "comp", "n", "places", "text").mapInArrow(lambda batches: each_block(batches, work), "u long, v long")
     return scratch.save(found, "links")
 
 
@@ -227,11 +163,11 @@ def sketch_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     banded = nodes.select(F.explode("bands").alias("bucket"), "node")
     shared = scratch.save(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead")).where("members > 1"), "shared")
     met = scratch.save(banded.join(shared.select("bucket", "lead").hint("merge"), "bucket"), "met")
-    texts = _texts_of(met.select("node").distinct(), nodes, docs, id_col, text, scratch)
+    texts = texts_of(met.select("node").distinct(), nodes, docs, id_col, text, scratch)
 
     together = met.where("node <> lead").groupBy("node", "lead").agg(F.count(F.lit(1)).alias("times"))
     stars = scratch.save(together.groupBy("node").agg(F.max_by("lead", F.struct("times", -F.col("lead"))).alias("lead")), "chosen")
-    links = _confirm_stars(stars, texts, words, scratch)
+    links = confirm_stars(stars, texts, words, STAR, scratch)
     roots = components(links, scratch)
 
     inside = met.select("bucket", "node").join(roots.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
@@ -257,11 +193,3 @@ def sketch_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     joined = facts.join(classes.hint("merge"), (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("m")), "left")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"))
-
-
-def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text: str, scratch: Scratch) -> DataFrame:
-    """(node, text) of the wanted classes: the text of the class's representative, once."""
-    keys = scratch.save(wanted.join(nodes.select("node", "id", "th").hint("merge"), "node"), "wanted")
-    rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("__th"), F.col(text).alias("text"))
-    met = rows.join(keys.hint("merge"), (F.col("__id") == F.col("id")) & (F.col("__th") == F.col("th")))
-    return scratch.save(met.dropDuplicates(["__id", "__th", "node"]).select("node", "text"), "texts")

@@ -64,6 +64,19 @@ def test_against_brute_force(docs, monkeypatch, bucket):
     assert got == brute(rows)
 
 
+def test_small_parts_blocks_and_stars(docs, monkeypatch):
+    for name, value in (("PART", 4), ("BUCKET", 3), ("STAR", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = corpus(5)
+    # Many near copies of one text, none equal, and a chain in which only neighbours are linked.
+    base = [f"v{k}" for k in range(120)]
+    rows += [(1000 + k, " ".join([*base, f"own{k}"])) for k in range(30)]
+    rows += [(2000 + k, " ".join(f"c{i}" for i in range(10 * k, 10 * k + 120))) for k in range(9)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs(rows)).collect()), key=str)
+    assert got == brute(rows)
+    assert len({c for i, _, c in got if 1000 <= i < 1030}) == len({c for i, _, c in got if i >= 2000}) == 1
+
+
 def test_empty_table(docs):
     assert near_duplicates(docs([])).collect() == []
 
