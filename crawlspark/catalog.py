@@ -139,9 +139,9 @@ def read_page(spark: SparkSession, root: str, crawl_id: str, path: str) -> DataF
 
 
 def export_csv(results: DataFrame, path: str) -> None:
-    """All rows and columns but the stored page's, with the table's titles, as a folder of parts that each have the header."""
+    """All rows and columns but the stored page's, with the table's titles, as a folder of parts that each have the header; a quotation mark is doubled."""
     titled = [F.col(c).alias(t) for t, c in COLUMNS if c in results.columns and c != "opfs_path"]
-    results.select(*titled).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    results.select(*titled).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def export_zip(archive_rows: DataFrame, path: str) -> None:
