@@ -26,6 +26,8 @@ empty table gives an empty table; other columns are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ BUCKET = 4096
 PART = 512
 #: Members of a star of pairs that one task verifies with their centre.
 STAR = 512
+#: Rows of the second round that are compared at once, as a multiple of the classes: they carry bitmaps, and their shuffle files go with each slice.
+SLICE = 3
 #: Hashes of the prefix that the first round uses.
 FIRST_HASHES = 2
 #: Sizes of two linked sets differ by a factor of 1.25 at most, so they lie in one band of this ratio or in two in a row.
@@ -116,7 +120,28 @@ def _traverse(rows: DataFrame, forest: bool) -> DataFrame:
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, id_col: str, text: str) -> DataFrame:
     """The (u, v) of pairs whose whole sets have a similarity of 0.8 or more."""
     texts = texts_of(pairs.select(F.explode(F.array("lead", "node")).alias("node")).distinct(), nodes, docs, id_col, text, scratch)
-    return confirm_stars(pairs, texts, 5, STAR, scratch)
+    links = confirm_stars(pairs, texts, 5, STAR, scratch)
+    scratch.drop(texts)
+    return links
+
+
+def _in_slices(dealt: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs of the blocks dealt (bucket, p, q, side, node, comp), found slice by slice; a block lies in one slice.
+
+    A slice has about ``SLICE`` rows for each class, so the files of its shuffle, which hold a bitmap a row, grow no
+    faster than the input, however many rows the blocks have.
+    """
+    dealt = scratch.save(dealt.withColumn("lot", F.pmod(F.xxhash64("bucket", "p", "q"), F.lit(1 << 20))), "dealt")
+    slices = max(1, ceil(dealt.count() / (SLICE * max(1, nodes.count()))))
+    bodies = nodes.select("node", "n", "map", F.get("prefix", F.lit(0)).alias("first"))
+    found = []
+    for k in range(slices):
+        rows = dealt.where(F.pmod(F.col("lot"), F.lit(slices)) == k).drop("lot")
+        found.append(scratch.save(_traverse(rows.join(bodies.hint("merge"), "node"), forest=False), "slice"))
+    pairs = scratch.save(reduce(DataFrame.union, found).distinct(), "pairs")
+    for part in [dealt, *found]:
+        scratch.drop(part)
+    return pairs
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -150,6 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     met = met.withColumn("p", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int")).withColumn("q", F.col("p"))
     pairs = scratch.save(_traverse(met, forest=True), "pairs")
     links = _verify(pairs, nodes, docs, scratch, id_col, text)
+    scratch.drop(pairs)
     roots = components(links, scratch)
 
     # Second round: all prefix hashes, between the components of the first.
@@ -162,15 +188,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     scratch.drop(live)
     whole, cells = cells, scratch.save(cells.join(scratch.save(_mixed(cells), "mixed").hint("merge"), "bucket"), "cells")
     scratch.drop(whole)
-    bodies = nodes.select("node", "n", "map", F.get("prefix", F.lit(0)).alias("first"))
-    pairs = scratch.save(_traverse(blocks(cells, "weight", BUCKET, scratch).join(bodies.hint("merge"), "node"), forest=False), "pairs")
+    pairs = _in_slices(blocks(cells, "weight", BUCKET, scratch).select("bucket", "p", "q", "side", "node", "comp"), nodes, scratch)
     scratch.drop(cells)
     more = _verify(pairs, nodes, docs, scratch, id_col, text)
+    scratch.drop(pairs)
     known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))  # connects what the first links do, as stars
     roots = components(known.unionByName(more), scratch)
 
     named = nodes.select("node", "f1", "f2", "n", "id").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = scratch.save(named, "named")
+    scratch.drop(nodes)
     least = scratch.save(named.groupBy("root").agg(F.min("id").alias("component_id")), "least")
     classes = scratch.save(named.join(least.hint("merge"), "root").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("n").alias("m"), "component_id"), "classes")
     own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
