@@ -64,13 +64,23 @@ def rules_for(text: Column, bot: str) -> Column:
     return F.transform(chosen, lambda r: F.struct(F.length(r["pattern"]).alias("n"), r["allow"].alias("allow"), _regex(r["pattern"]).alias("regex")))
 
 
+def rules_by_origin(texts: DataFrame, bot: str) -> DataFrame:
+    """(origin, rules) of (origin, text)."""
+    return texts.select("origin", rules_for(F.col("text"), bot).alias("rules"))
+
+
 def allowed(url_table: DataFrame, texts: DataFrame, bot: str, url: str = "url") -> DataFrame:
-    """``url_table`` with ``allowed``: the longest fitting pattern of the bot's group (else of *) decides, allow wins ties.
+    """``url_table`` with ``allowed``: the longest fitting pattern of the bot's group (else of *) decides, allow wins ties."""
+    return allowed_by(url_table, rules_by_origin(texts, bot), url)
+
+
+def allowed_by(url_table: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """``allowed`` by rules that ``rules_by_origin`` made.
 
     The rules of an origin travel as one array, so a URL is never multiplied by its rules, and one join is all that is
-    shuffled; where an origin is hot, adaptive execution may split its URLs.
+    shuffled; where an origin is hot, adaptive execution may split its URLs. Rules grow with the origins: they are never broadcast.
     """
-    per_origin = texts.select(F.col("origin").alias("__origin"), rules_for(F.col("text"), bot).alias("__rules"))
+    per_origin = rules.select(F.col("origin").alias("__origin"), F.col("rules").alias("__rules")).hint("merge")
     target = urls.after_host(F.col(url))
     fitting = F.filter("__rules", lambda r: F.regexp_like(target, r["regex"]))
     best = F.array_max(F.transform(fitting, lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))

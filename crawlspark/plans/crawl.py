@@ -110,7 +110,7 @@ def crawl(
         if capped and config.stay_on_hostname:
             found = found.where(urls.host(F.col("url")) == urls.host(F.col("source")))
         found = regex_filter(found, config.filter_regex, config.filter_type, on_invalid=config.on_invalid)
-        return found.join(known.select(F.col("href").alias("url")), "url", "left_semi") if config.known_only else found
+        return found.join(known.select(F.col("href").alias("url")).hint("merge"), "url", "left_semi") if config.known_only else found
 
     def add(new: DataFrame, again: DataFrame | None, left: int | None) -> tuple[int, int]:
         """Writes a round: new (url, depth, and its key in queued order), capped and ranked, and pages that are asked again."""
@@ -130,7 +130,7 @@ def crawl(
         if robots is None:
             new = new.withColumn("crawlable", F.lit(None).cast("boolean"))
         else:
-            new = robots_txt.allowed(new, robots, bot).withColumnRenamed("allowed", "crawlable")
+            new = robots_txt.allowed_by(new, rules).withColumnRenamed("allowed", "crawlable")
         outbound = F.lit(True if job.rounds and not capped else None).cast("boolean")
         rows = new.withColumns({"is_outbound": outbound, "attempt": F.lit(1)})
         if again is not None:
@@ -142,6 +142,7 @@ def crawl(
         return job.add(asked.withColumns({"status": answer["status"].cast("int"), "ok": answer["ok"]}))
 
     try:
+        rules = None if robots is None else scratch.save(robots_txt.rules_by_origin(robots, bot), "rules")  # read in every round
         answered = None if answers is None else in_buckets(answers_by_url(answers, config.max_retries), "answers", "url")
         taken = job.taken() if job.rounds else 0
         n = 1
@@ -202,4 +203,4 @@ def next_pages(graph: DataFrame, sources: DataFrame, visited: Buckets, queued: b
         found = found.select("url", (F.col("key.depth") + 1).alias("depth"), "key")
     else:
         found = met.groupBy("url").agg((F.min("depth") + 1).alias("depth"))
-    return found.join(visited.table().select("url"), "url", "left_anti")
+    return found.join(visited.table().select("url").hint("merge"), "url", "left_anti")  # grows with the crawl: never broadcast

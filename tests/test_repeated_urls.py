@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from crawlspark import catalog
 from crawlspark.functions import html, python_html
 from crawlspark.functions.article import article_of
-from crawlspark.operators import links
+from crawlspark.operators import links, robots
+from crawlspark.plans.crawl import next_pages
 from crawlspark.queries import ORACLES, QUERIES
+from crawlspark.storage import Buckets
 
 
 def rows(df, *columns):
@@ -48,3 +50,19 @@ def test_advertising_is_no_article():
     html = "<html><body><div class='top ad'>Buy one two three four five six seven eight nine.</div><div id='x'><h1>Short.</h1><p>Short.</p></div></body></html>"
     assert article_of(html)[0] == "Short. Short."
     assert article_of("<p>&lt; &lt</p>")[0] == "< &lt"
+
+
+def test_crawl_broadcasts_no_rules_and_no_visited_pages(spark, tmp_path):
+    """Both grow with the input, and would go to the driver in every round."""
+    rules = robots.rules_by_origin(spark.createDataFrame([("https://a.x", "User-agent: *\nDisallow: /b")], "origin string, text string"), "bot")
+    seen = robots.allowed_by(spark.createDataFrame([("https://a.x/b",), ("https://a.x/c",)], "url string"), rules)
+    assert rows(seen, "url", "allowed") == [("https://a.x/b", False), ("https://a.x/c", True)]
+    visited = Buckets(spark, f"file://{tmp_path}/visited", "url string, round int", "url", 4, parts="round")
+    try:
+        graph = spark.createDataFrame([("https://a.x/", "https://a.x/b")], "source string, url string")
+        sources = spark.createDataFrame([("https://a.x/", 0, 0)], "url string, depth int, rank long")
+        new = next_pages(graph, sources, visited)
+        for plan in (new, seen):
+            assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        visited.close()
