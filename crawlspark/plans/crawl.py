@@ -17,6 +17,9 @@ from .control import CrawlControl
 
 VISITED = "url string, depth int, crawlable boolean, is_outbound boolean, rank long, attempt int, status int, ok boolean"
 _COLUMNS = [c.split()[0] for c in VISITED.split(", ")] + ["round"]
+#: Rows of the graph, or seeds, that a bucket is made for. A round opens a file of every earlier round in every bucket, so
+#: their number follows the crawl's size.
+ROWS_PER_BUCKET = 100_000
 
 
 class CrawlJob:
@@ -35,16 +38,20 @@ class CrawlJob:
     def stop(self) -> None:
         self.stopped = True
 
-    def open(self, spark: SparkSession, scratch: Scratch) -> None:
-        path = self.path.rstrip("/") if self.path else scratch.path("job")
-        self._record = f"{path}/job.json"
+    def recall(self, spark: SparkSession, scratch: Scratch) -> None:
+        """Reads what an earlier job has recorded."""
+        self._folder = self.path.rstrip("/") if self.path else scratch.path("job")
+        self._record = f"{self._folder}/job.json"
         known = json.loads(read_text(spark, self._record) or "{}")
-        self.rounds = known.get("rounds", 0)
-        n = known.get("buckets") or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        for part in children(spark, f"{path}/visited"):
+        self.rounds, self._buckets = known.get("rounds", 0), known.get("buckets")
+
+    def open(self, spark: SparkSession, rows: int) -> None:
+        """Opens the visited pages: in the recorded number of buckets, or else in as many as a crawl of ``rows`` links and seeds needs."""
+        for part in children(spark, f"{self._folder}/visited"):
             if part.startswith("round=") and int(part.removeprefix("round=")) >= self.rounds:
-                delete(spark, f"{path}/visited/{part}")
-        self.visited = Buckets(spark, f"{path}/visited", f"{VISITED}, round int", "url", n, parts="round")
+                delete(spark, f"{self._folder}/visited/{part}")
+        n = self._buckets or -(-max(rows, 1) // ROWS_PER_BUCKET)
+        self.visited = Buckets(spark, f"{self._folder}/visited", f"{VISITED}, round int", "url", n, parts="round")
 
     def add(self, rows: DataFrame) -> tuple[int, int]:
         """Writes the next round, which ``commit`` ends; says how many rows it has, and how many of them are new pages."""
@@ -91,12 +98,13 @@ def crawl(
     * Seeds keep no order of their own: they are ranked by URL.
 
     The graph (by source), the visited pages and the answers (by URL) lie in as many buckets, so a round joins them
-    bucket by bucket: what it shuffles is the links of the frontier, never the graph, and nothing goes to the driver but counts.
+    bucket by bucket: what it shuffles is the links of the frontier, never the graph, and nothing goes to the driver but
+    counts. How many buckets there are follows the number of links and seeds, not the session's number of partitions.
     """
     spark = seeds.sparkSession
     job, scratch = job or CrawlJob(), Scratch(spark)
-    job.open(spark, scratch)
-    visited, opened = job.visited, [job.visited]
+    job.recall(spark, scratch)
+    opened: list[Buckets] = []
     queued, capped = config.order == "queue", config.crawl_mode == "recursive"
 
     def in_buckets(rows: DataFrame, name: str, by: str) -> DataFrame:
@@ -142,21 +150,30 @@ def crawl(
         return job.add(asked.withColumns({"status": answer["status"].cast("int"), "ok": answer["ok"]}))
 
     try:
-        rules = None if robots is None else scratch.save(robots_txt.rules_by_origin(robots, bot), "rules")  # read in every round
-        answered = None if answers is None else in_buckets(answers_by_url(answers, config.max_retries), "answers", "url")
-        taken = job.taken() if job.rounds else 0
-        n = 1
+        first = links = None
         if not job.rounds:
             first = seeds.select("url").distinct()
             if config.crawl_mode == "list":
                 first = regex_filter(first, config.filter_regex, config.filter_type, on_invalid=config.on_invalid)
             if config.known_only:
                 first = first.join(known.select(F.col("href").alias("url")), "url", "left_semi")
-            n, taken = add(first.select("url", F.lit(0).alias("depth"), *([F.col("url").alias("key")] if queued else [])), None, config.max_pages if capped else None)
+            first = scratch.save(first, "seeds")
         expands = capped or config.fetch_outbound
         if expands:
-            links = edges.select("source", F.col("target").alias("url"), *(["pos"] if queued else []))
-            graph = in_buckets(admitted(links if queued else links.distinct()), "graph", "source")
+            links = edges.select("source", F.col("target").alias("url"), *(["pos"] if queued else [])).where("source <> url")  # a page that is followed was visited
+            links = scratch.save(admitted(links if queued else links.distinct()), "links")
+        job.open(spark, max([0, *[table.count() for table in (first, links) if table is not None]]))
+        visited = job.visited
+        opened.append(visited)
+        rules = None if robots is None else scratch.save(robots_txt.rules_by_origin(robots, bot), "rules")  # read in every round
+        answered = None if answers is None else in_buckets(answers_by_url(answers, config.max_retries), "answers", "url")
+        taken = job.taken() if job.rounds else 0
+        n = 1
+        if first is not None:
+            n, taken = add(first.select("url", F.lit(0).alias("depth"), *([F.col("url").alias("key")] if queued else [])), None, config.max_pages if capped else None)
+        if expands:
+            graph = in_buckets(links, "graph", "source")
+            scratch.drop(links)
         while n and not job.stopped and (max_depth is None or job.rounds <= max_depth):
             if job.control and not job.control.goes_on(taken, job.rounds):
                 break

@@ -134,6 +134,33 @@ def test_a_round_does_not_shuffle_the_graph(spark, tmp_path):
     visited.close()
 
 
+@pytest.mark.parametrize(("per_bucket", "buckets"), [(100_000, 1), (10, None)])
+def test_buckets_follow_the_size_of_the_crawl(spark, tmp_path, monkeypatch, per_bucket, buckets):
+    """Neither the session's partitions nor those of a job that goes on say how many files a round opens."""
+    links, seed = random_graph(random.Random(3), 60), "https://h0.x/0"
+    depth, now = {seed: 0}, [seed]
+    while now:
+        found = {t for s in now for t in links[s] if t in links and t not in depth}
+        depth |= dict.fromkeys(found, depth[now[0]] + 1)
+        now = list(found)
+    links[seed] = [*links[seed], seed]
+    followed = len({(s, t) for s, ts in links.items() for t in ts if t in links and t != s})
+    config, path = CrawlConfig(crawl_mode="recursive", max_pages=10**9), tmp_path / "job"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    monkeypatch.setattr("crawlspark.plans.crawl.ROWS_PER_BUCKET", per_bucket)
+    try:
+        assert len(crawl(*tables(spark, links, seed), config, job=CrawlJob(f"file://{path}"), max_depth=1).collect()) == sum(d <= 1 for d in depth.values())
+        monkeypatch.setattr("crawlspark.plans.crawl.ROWS_PER_BUCKET", 7)
+        out = crawl(*tables(spark, links, seed), config, job=CrawlJob(f"file://{path}")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.url: r.depth for r in out} == depth and len(out) == len(depth)
+    wanted = buckets or -(-followed // 10)
+    assert json.loads((path / "job.json").read_text())["buckets"] == wanted
+    assert all(len(list(p.glob("*.parquet"))) <= wanted for p in (path / "visited").iterdir() if p.is_dir())
+
+
 def test_ranks_and_pages(spark):
     rows = spark.createDataFrame([(i * 7919 % 1000, "x") for i in range(1000)], "k long, v string").repartition(6)
     got = ranked(rows, ["k"], Scratch(spark), start=5).orderBy("rank").collect()
