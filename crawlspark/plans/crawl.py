@@ -161,7 +161,8 @@ def crawl(
         expands = capped or config.fetch_outbound
         if expands:
             links = edges.select("source", F.col("target").alias("url"), *(["pos"] if queued else [])).where("source <> url")  # a page that is followed was visited
-            links = scratch.save(admitted(links if queued else links.distinct()), "links")
+            links = admitted(links)  # most links lead out of the snapshot: only what is left is made distinct
+            links = scratch.save(links if queued else links.distinct(), "links")
         job.open(spark, max([0, *[table.count() for table in (first, links) if table is not None]]))
         visited = job.visited
         opened.append(visited)

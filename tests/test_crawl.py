@@ -161,6 +161,25 @@ def test_buckets_follow_the_size_of_the_crawl(spark, tmp_path, monkeypatch, per_
     assert all(len(list(p.glob("*.parquet"))) <= wanted for p in (path / "visited").iterdir() if p.is_dir())
 
 
+def test_links_are_filtered_before_they_are_made_distinct(spark, monkeypatch):
+    """Links that lead out of the snapshot aren't shuffled twice; a link that is given twice counts once."""
+    plans, save = [], Scratch.save
+
+    def seen(self, df, name):
+        if name == "links":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        out = save(self, df, name)
+        if name == "links":
+            assert sorted(tuple(x.rsplit("/", 1)[1] for x in r) for r in out.select("source", "url").collect()) == [("a", "c"), ("b", "c"), ("c", "d"), ("c", "s"), ("s", "a"), ("s", "b")]
+        return out
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    seeds, edges, known = graph(spark)
+    more = edges.union(edges).union(spark.createDataFrame([("https://h.x/s", "https://h.x/out")], edges.schema))
+    assert reached(crawl(seeds, more, known, CrawlConfig(crawl_mode="recursive", filter_regex="/E$", filter_type="exclude"))) == {"s": 0, "a": 1, "b": 1, "c": 2, "d": 3}
+    assert len(plans) == 1 and plans[0].index("Aggregate") < plans[0].index("LeftSemi")
+
+
 def test_ranks_and_pages(spark):
     rows = spark.createDataFrame([(i * 7919 % 1000, "x") for i in range(1000)], "k long, v string").repartition(6)
     got = ranked(rows, ["k"], Scratch(spark), start=5).orderBy("rank").collect()

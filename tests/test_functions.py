@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +132,17 @@ def test_dom_and_gzip(spark):
     page = "<title> A &amp; B</title><meta name=description content=' d '><h1>x<i>y</i></h1><a href=/1>1</a><area href=2>"
     row = spark.createDataFrame([(page, gzip.compress(b"text"), b"damaged")], "h string, z binary, d binary").select(python_html.dom_extract("h").alias("s"), python_html.gunzip_text("z").alias("z"), python_html.gunzip_text("d").alias("d")).first()
     assert row.s.asDict() == {"title": "A & B", "description": " d ", "h1": "xy", "canonical": "", "robots": "", "n_links": 2} and (row.z, row.d) == ("text", None)
+
+
+def test_patterns_of_mark_up_begin_with_one_bracket(spark):
+    """What is cut out and what counts as a tag is the same as with the bracket in each alternative, on odd mark-up too."""
+    rng = random.Random(18)
+    words = ["<", ">", "<!--", "-->", "<script", "</script>", "<STYLE>", "</style>", "<style", "<scripts>", "<meta", "<META ", " name=", "robots", '"', "'", "/", " ", "\n", "x", "é", "content=a", "</", "--"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += ["<meta name=robots>a>", "<meta name=robots><meta name='robots' x>", "<meta\nname = \"robots\"/>", "<!-- <script> --></script>", "<script><!-- </script> -->", None]
+    t = spark.createDataFrame([(x,) for x in texts], "h string")
+    seen = F.regexp_replace("h", r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
+    tag = F.regexp_extract("h", r"""(?is)<meta\b[^>]*\sname\s*=\s*["']?robots["'\s/>][^>]*>|<meta\b[^>]*\sname\s*=\s*["']?robots>""", 0)
+    both = t.select("h", html.visible(F.col("h")).alias("a"), seen.alias("b"), html._tag(F.col("h"), "meta", "name", "robots").alias("c"), tag.alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in both)
+    assert sum(r.a != r.h for r in both) > 50 and sum(bool(r.c) for r in both) > 3
