@@ -146,3 +146,17 @@ def test_patterns_of_mark_up_begin_with_one_bracket(spark):
     both = t.select("h", html.visible(F.col("h")).alias("a"), seen.alias("b"), html._tag(F.col("h"), "meta", "name", "robots").alias("c"), tag.alias("d")).collect()
     assert all(r.a == r.b and r.c == r.d for r in both)
     assert sum(r.a != r.h for r in both) > 50 and sum(bool(r.c) for r in both) > 3
+
+
+def test_an_attribute_is_searched_once(spark):
+    """With the values that a search for each kind of quotes gives, on odd tags too."""
+    rng = random.Random(19)
+    words = ["<a", " href", "href", "=", " = ", '"', "'", " ", "\n", "/x", "é", '""', "''", "rel", ">", "HREF=", " href='a\"'", ' href="b\'"']
+    tags = ["<a " + "".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None]
+    pattern = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
+    each = F.when(F.col("t").rlike(pattern), F.concat(*[F.regexp_extract("t", pattern, k) for k in (1, 2, 3)]))
+    t = spark.createDataFrame([(x,) for x in tags], "t string").select("t", html._attribute(F.col("t"), "href").alias("a"), each.alias("b"))
+    both = t.collect()
+    assert all(r.a == r.b for r in both) and len({r.a for r in both}) > 50 and "" in {r.a for r in both}
+    plan = spark.range(1).select(html._attribute(F.lit("<a href=x>"), "href"))._jdf.queryExecution().logical().toString()
+    assert plan.lower().count("regexp_extract") == 1 and "rlike" not in plan.lower()

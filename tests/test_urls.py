@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +39,32 @@ def resolved(spark):
 @pytest.mark.parametrize("i", range(len(PAIRS)))
 def test_pair(resolved, i):
     assert resolved[i] == PAIRS[i][2], PAIRS[i]
+
+
+PIECES = ["http:", "https:", "HTTPS:", "//", "/", "\\", "h.x", "H.x", "1.2", "a", "é", "日", "%20", "%2e", ".", "..", "?", "#", "@", ":80", "[", "|", "`", "^", " ", "\n", "\x7f", "q=1&r"]
+PAGES = [PLAIN, BASE, "https://h.x", "http://1.2/p", "http://h.x:8080/d/", "http://É.x/", "no url", None]
+
+
+def test_known_forms_resolve_as_any_reference(spark):
+    rng = random.Random(19)
+    refs = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 7))) for _ in range(2000)]
+    refs += [rng.choice(["http://h.x/", "https://h.x/a", "/", "/a"]) + "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 5))) for _ in range(3000)]
+    table = spark.createDataFrame([(x, rng.choice(PAGES)) for x in refs] + [(None, PLAIN)], "h string, b string").withColumn("p", urls.base_parts(F.col("b")))
+    both = table.select("h", "b", urls.resolve_on(F.col("h"), F.col("p")).alias("u"), urls._resolved(F.col("h"), F.col("p")).alias("v")).collect()
+    assert [r for r in both if r.u != r.v] == [] and len({r.u for r in both}) > 2000
+
+
+def test_known_forms_are_not_taken_apart(spark, monkeypatch):
+    """URLs that are written out, and paths from the root of a page whose own root is."""
+    monkeypatch.setattr(urls, "_resolved", lambda href, parts: F.lit("taken apart"))
+    pairs = [("https://o.y/p?q=1#top", "https://o.y/p?q=1#top"), ("http://o.y/", "http://o.y/"), ("/p", "http://h.x/p"), ("/ü", "http://h.x/%C3%BC"), ("/", "http://h.x/"), *[(x, "taken apart") for x in ("//o.y", "/..", "p", "/p?q", "http://O.y/", "http://o.y/a/%2E/")]]
+    table = spark.createDataFrame(pairs, "h string, u string")
+    assert [(r.h, r.v) for r in table.select("h", urls.resolve(F.col("h"), F.lit(PLAIN)).alias("v")).collect()] == pairs
+
+
+def test_has_http_host(spark):
+    rng = random.Random(9)
+    table = spark.createDataFrame([(rng.choice(["", "http://", "HTTPs://u@"]) + "".join(rng.choice(PIECES) for _ in range(rng.randint(0, 6))),) for _ in range(3000)] + [(None,), ("http://h.x#a#b",)], "u string")
+    old = urls.is_http(F.col("u")) & urls.host(F.col("u")).isNotNull()
+    rows = table.select("u", urls.has_http_host(F.col("u")).alias("a"), old.alias("b"), urls.strip_fragment(F.col("u")).alias("c"), F.regexp_replace("u", r"(?s)#.*$", "").alias("d")).collect()
+    assert [r for r in rows if (r.a or False) != (r.b or False) or r.c != r.d] == [] and sum(bool(r.a) for r in rows) > 20
