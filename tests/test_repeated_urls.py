@@ -66,6 +66,10 @@ def test_last_record_of_each_page(spark, tmp_path):
     _same(spark, _repeated(spark, tmp_path), "latest_records")
 
 
+def test_records_of_links_once(spark, tmp_path):
+    _same(spark, _repeated(spark, tmp_path), "error_records")
+
+
 def test_advertising_is_no_article():
     html = "<html><body><div class='top ad'>Buy one two three four five six seven eight nine.</div><div id='x'><h1>Short.</h1><p>Short.</p></div></body></html>"
     assert article_of(html)[0] == "Short. Short."
